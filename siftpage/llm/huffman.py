@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from unicodedata import normalize
 
 import numpy as np
 import pandas as pd
@@ -13,9 +14,11 @@ from pyspark.sql import functions as F
 from .common import id_and_text, written
 
 MAX_BITS = 18  # longest code; raised where a vocabulary has more ids than that many bits can tell apart
-BLOCK_IDS = 65536  # ids of a block, unless its last document has more
+BLOCK_IDS = 1 << 18  # ids of a block, unless its last document has more
 LANE_IDS = 256  # a checkpoint holds the bit offset of every so many ids
-CACHED_WORDS = 400_000  # words a worker keeps
+CACHED_WORDS = 400_000  # words a worker keeps, besides those of one slice
+ODD_CASE = frozenset("\u0130\u03a3")  # letters whose lower case depends on more than the letter
+SLICE_TEXTS = 256  # texts whose unknown words are encoded together
 
 _tokenizers: dict[str, WordTokenizer] = {}
 
@@ -23,55 +26,75 @@ _tokenizers: dict[str, WordTokenizer] = {}
 class WordTokenizer:
     """Whole-text encoding through the tokenizers library, word by word with a bounded cache.
 
-    Only for a tokenizer whose pre-tokenizer never joins across a space or a line feed and removes both, as word_bpe has
-    it. Runs of letters that miss the cache are encoded in one call and told apart by the end-of-word mark.
+    Only for a tokenizer whose pre-tokenizer never joins across a space or a line feed and removes both, and whose only
+    normalisation is NFC, white space and lower case, as word_bpe has it. Words that miss the cache are encoded a slice of
+    texts at a time; runs of letters in one call, told apart by the end-of-word mark.
     """
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.lib = Tokenizer.from_file(path)
+        self.letters = Tokenizer.from_file(path)  # the same model for words that are normalised and cut already
+        self.letters.normalizer = None
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.lib.get_vocab()
-        self.last = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.size = max(vocab.values()) + 1
+        self.last = np.zeros(self.size, dtype=bool)
         self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def _encode(self, words: list[str]) -> None:
+    def _encode(self, words: list[str], dtype: str) -> None:
         for w, e in zip(words, self.lib.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
+            self.known[w] = np.array(e.ids, dtype=dtype).tobytes()
 
-    def _letters(self, words: list[str]) -> None:
-        ids = np.array(self.lib.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+    def _letters(self, words: list[str], dtype: str) -> None:
+        plain = " ".join(words)
+        plain = plain.lower() if plain.isascii() else normalize("NFC", plain).lower()
+        ids = np.array(self.letters.encode_batch_fast([plain], add_special_tokens=False)[0].ids, dtype=dtype)
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != len(words) or len(ids) != ends[-1]:
-            return self._encode(words)  # lower-casing or normalising took a word apart
-        data, at = ids.tobytes(), 0
-        for w, end in zip(words, (ends * 4).tolist(), strict=True):
-            self.known[w] = data[at:end]
-            at = end
+            return self._encode(words, dtype)
+        data, marks = ids.tobytes(), (ends * ids.itemsize).tolist()
+        self.known.update(zip(words, map(data.__getitem__, map(slice, [0, *marks], marks)), strict=False))
         return None
 
-    def __call__(self, text: str) -> bytes:
-        words, known = text.replace("\n", " ").split(" "), self.known
-        out = [known.get(w) for w in words]
-        if None in out:
-            if len(known) > CACHED_WORDS:
-                known.clear()
-            miss = {w for w in words if w not in known}
-            tail = {w for w in miss if len(w) > 1 and w[-1] in ".," and w[:-1].isalpha()}
-            plain = {w for w in miss if w.isalpha()} | {w[:-1] for w in tail if w[:-1] not in known}
-            if plain:
-                self._letters(sorted(plain))
-            rest = [w for w in miss | {".", ","} if w not in known and w not in tail]
-            if rest:
-                self._encode(rest)
-            for w in tail:
-                known[w] = known[w[:-1]] + known[w[-1]]
-            out = [known[w] for w in words]
-        return b"".join(out)
+    def _learn(self, miss: set[str], dtype: str) -> None:
+        known, older = self.known, self.older
+        miss |= {".", ","}
+        again = miss & older.keys()
+        known.update(zip(again, map(older.__getitem__, again), strict=True))
+        plain, tail, rest = set(), [], []
+        for w in (miss - again).difference(known):
+            if w.isalpha():
+                plain.add(w) if w.isascii() or not ODD_CASE.intersection(w) else rest.append(w)
+            elif w[-1:] in (".", ",") and w[:-1].isalpha() and (w.isascii() or not ODD_CASE.intersection(w)):
+                tail.append(w)
+            else:
+                rest.append(w)
+        plain.update(w[:-1] for w in tail if w[:-1] not in known)
+        if plain:
+            self._letters(list(plain), dtype)
+        if rest:
+            self._encode(rest, dtype)
+        for w in tail:
+            known[w] = known[w[:-1]] + known[w[-1]]
+
+    def __call__(self, texts: list[str], dtype: str = "<u4") -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(texts), SLICE_TEXTS):
+            split = [t.replace("\n", " ").split(" ") for t in texts[at : at + SLICE_TEXTS]]
+            if len(self.known) > CACHED_WORDS // 2:
+                self.known, self.older = {}, self.known
+            if miss := set().union(*split).difference(self.known):
+                self._learn(miss, dtype)
+            get = self.known.__getitem__
+            out += [b"".join(map(get, words)) for words in split]
+        return out
 
 
 def tokenizer(path: str) -> WordTokenizer:
@@ -80,25 +103,31 @@ def tokenizer(path: str) -> WordTokenizer:
     return _tokenizers[path]
 
 
+def id_type(path: str, end_id: int) -> str:
+    """Ids between the steps take two bytes where all fit."""
+    return "<u2" if max(tokenizer(path).size, end_id + 1) <= 1 << 16 else "<u4"
+
+
 def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """(doc_id, ids): ids as little-endian unsigned 32-bit integers, end_id last."""
+    """(doc_id, ids): ids as little-endian unsigned integers of id_type, end_id last."""
+    dtype = id_type(path, end_id)
 
     @F.pandas_udf("binary")
     def encode(texts: pd.Series) -> pd.Series:
-        tok, end = tokenizer(path), np.array([end_id], dtype="<u4").tobytes()
-        return texts.map(lambda t: tok(t) + end)
+        end = np.array([end_id], dtype=dtype).tobytes()
+        return pd.Series([b + end for b in tokenizer(path)(list(texts), dtype)])
 
     return id_and_text(docs).where("doc_id is not null").select("doc_id", encode("body").alias("ids"))
 
 
-def id_counts(ids: DataFrame) -> DataFrame:
+def id_counts(ids: DataFrame, dtype: str) -> DataFrame:
     """(id, n) over all rows; every task sends at most one row for each id."""
 
     def count(batches):
         total = np.zeros(0, dtype=np.int64)
         for pdf in batches:
             for b in pdf["ids"]:
-                c = np.bincount(np.frombuffer(b, dtype="<u4"))
+                c = np.bincount(np.frombuffer(b, dtype=dtype))
                 if len(c) > len(total):
                     c, total = total, c.astype(np.int64)
                 total[: len(c)] += c
@@ -153,20 +182,24 @@ class Code:
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray, int]:
         """The bits, the bit offset of every LANE_IDS-th id, and how many bits there are."""
-        lens = self.length[ids]
+        lens, code = self.length[ids], self.code[ids]
+        if len(ids) % 2:
+            lens, code = np.append(lens, 0), np.append(code, np.uint64(0))
+        code = (code[::2] << lens[1::2].astype(np.uint64)) | code[1::2]  # two codes are placed as one
+        lens = lens[::2] + lens[1::2]
         ends = np.cumsum(lens)
         total = int(ends[-1]) if len(ends) else 0
         starts = ends - lens
         words = np.zeros(total // 64 + 2, dtype=np.uint64)
         at, shift = starts >> 6, 64 - (starts & 63) - lens
-        code = self.code[ids]
-        head = np.where(shift >= 0, code << np.maximum(shift, 0).astype(np.uint64), code >> np.maximum(-shift, 0).astype(np.uint64))
+        over = np.flatnonzero(shift < 0)  # the one code of a word that reaches into the next
+        head = code << np.maximum(shift, 0).astype(np.uint64)
+        head[over] = code[over] >> (-shift[over]).astype(np.uint64)
         if len(ids):
             runs = np.flatnonzero(np.diff(at, prepend=-1))
             words[at[runs]] = np.bitwise_or.reduceat(head, runs)
-            over = shift < 0  # the one code of a word that reaches into the next
             words[at[over] + 1] |= code[over] << (64 + shift[over]).astype(np.uint64)
-        return words.astype(">u8").tobytes()[: (total + 7) // 8], starts[::LANE_IDS].astype(np.int64), total
+        return words.astype(">u8").tobytes()[: (total + 7) // 8], starts[:: LANE_IDS // 2].astype(np.int64), total
 
     def decode(self, data: bytes, checkpoints: np.ndarray, n: int) -> np.ndarray:
         """All lanes between checkpoints advance together, one id each a step."""
@@ -198,12 +231,14 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, max_bits: int = MAX_BI
     """
     spark = docs.sparkSession
     ids = written(tokenize(docs, path, end_id), "token-ids")
-    counts = id_counts(ids).orderBy("id").toPandas()
+    dtype = id_type(path, end_id)
+    counts = id_counts(ids, dtype).orderBy("id").toPandas()
     lengths = code_lengths(counts["n"].to_numpy(), max_bits)
     code = written(spark.createDataFrame(pd.DataFrame({"id": counts["id"].astype("int64"), "length": lengths.astype("int64")}), "id long, length long").coalesce(1), "token-code")
     table = spark.sparkContext.broadcast((counts["id"].to_numpy(dtype=np.int64), lengths))
 
     def pack(batches):
+        _tokenizers.clear()  # a worker that has tokenised needs that memory no more
         coder, shard, state = Code(*table.value), TaskContext.get().partitionId(), {"start": 0, "block": 0}
         held: list[tuple[int, np.ndarray]] = []
 
@@ -219,8 +254,8 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, max_bits: int = MAX_BI
         size = 0
         for pdf in batches:
             for i, b in zip(pdf["doc_id"], pdf["ids"], strict=True):
-                held.append((i, np.frombuffer(b, dtype="<u4")))
-                size += len(b) // 4
+                held.append((i, np.frombuffer(b, dtype=dtype)))
+                size += len(held[-1][1])
                 if size >= BLOCK_IDS:
                     yield close()
                     size = 0

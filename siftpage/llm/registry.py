@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, exact, huffman, lines, simhash
+from . import chunks, decontam, exact, huffman, licenses, lines, pieces, simhash, toxicity, urls
 from .common import table
 
 END_ID = 2
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
 
 def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,15 +20,38 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.digests(huffman.read_tokens(blocks, code))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    coded = pieces.encode(table(spark, sf_dir, "documents"), path)
+    text = pieces.decoder(spark, path)("ids")
+    return coded.select("doc_id", F.size("ids").alias("n_ids"), pieces.ids_crc32("ids").alias("ids_crc32"), F.md5(text).alias("decoded_md5"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.line_matches(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed", "partners")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.repeated_spans(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
@@ -36,7 +60,9 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"), words=3, bits=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_ids, op4_line_dedup, op7_substring_dedup, op9_exact_dedup, op10_simhash_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_token_ids, op2_decontamination, op3_sentencepiece, op4_line_dedup, op5_license_scan, op6_url_filter, op7_substring_dedup, op8_toxicity, op9_exact_dedup, op10_simhash_near_dedup)
+}
 
 ORACLE_SQL = {
     "op9_exact_dedup": """

@@ -38,7 +38,14 @@ def test_code_round_trip(n):
 def test_word_cache_gives_the_library_ids(texts):
     lib, own = Tokenizer.from_file(PATH), WordTokenizer(PATH)
     for t in [t or "" for _, t in texts] + ["Ünïcode, a.b c., 's it's x's\tq r\nÁ ét 1st", "ﬁ ŉ ǆ.", "a,,", ".", " , ."]:
-        assert np.frombuffer(own(t), dtype="<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(own([t])[0], dtype="<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
+
+
+def test_full_word_cache_starts_over(monkeypatch, texts):
+    monkeypatch.setattr("siftpage.llm.huffman.CACHED_WORDS", 40)
+    lib, own = Tokenizer.from_file(PATH), WordTokenizer(PATH)
+    for t in [t or "" for _, t in texts if t is None or len(t) < 9000]:
+        assert np.frombuffer(own([t, "a b", t])[2], dtype="<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
 
 
 def test_files_round_trip_in_order(make_docs, texts):
