@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from .common import id_and_text, written
 
 SPACE = "▁"
+LONG_WORD = 128  # characters; the fold's work grows with the cube of a word, so longer ones go to the library
 BATCH_CHARS = 16_000_000  # of text that one task puts together
 
 
-def piece_table(spark: SparkSession, path: str) -> tuple[DataFrame, int, float, list[bytes]]:
-    """((piece, id, score), id of byte 0, score of a byte, bytes of each id) of a model with byte fallback."""
+def piece_table(spark: SparkSession, path: str) -> tuple[DataFrame, int, list[bytes]]:
+    """((piece, id, score), id of byte 0, bytes of each id) of a model with byte fallback."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -31,7 +32,7 @@ def piece_table(spark: SparkSession, path: str) -> tuple[DataFrame, int, float,
             surface.append(p.replace(SPACE, " ").encode())
             rows.append((p, i, float(sp.get_score(i))))
     table = spark.createDataFrame(pd.DataFrame(rows, columns=["piece", "id", "score"]), "piece string, id int, score double")
-    return table, sp.piece_to_id("<0x00>"), min(r[2] for r in rows) * 2, surface
+    return table, sp.piece_to_id("<0x00>"), surface
 
 
 def units(body):
@@ -40,29 +41,54 @@ def units(body):
     return F.filter(F.split(marked, f"(?<=[^{SPACE}])(?={SPACE})|(?<=\n)|(?=\n)"), lambda w: w != "")
 
 
-def encode_words(words: DataFrame, pieces: DataFrame, byte0: int, byte_score: float) -> DataFrame:
-    """(word) distinct -> (word, ids): the path with the highest sum of piece scores.
+def encode_words(words: DataFrame, pieces: DataFrame, byte0: int) -> DataFrame:
+    """(word) distinct -> (word, ids), the ids that the model's merges give.
 
     Substrings up to the longest piece are exploded and meet the piece table (as many rows as the model has pieces, so it
-    is broadcast) by equality; characters that are no piece become bytes. Edges are grouped by word, and a fold over the
-    end positions keeps the best way to each (ties: the shorter last piece, then the higher id), then one back.
+    is broadcast) by equality; the edges are grouped by word. A model trained by merges does not take the path of the
+    highest sum, so the fold over a word's edges is not Viterbi: it starts from single characters and takes out one
+    boundary a step, that inside the edge of the highest score (ties: leftmost) that spans two neighbouring pieces.
+    Characters that are no piece become bytes.
     """
     longest = pieces.agg(F.max(F.length("piece"))).first()[0]
-    at = F.explode(F.sequence(F.lit(1), F.length("word"))).alias("start")
-    subs = words.select("word", at).select("word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("start") + 1))).alias("len"))
-    subs = subs.select("word", "start", "len", F.expr("substring(word, start, len)").alias("piece"))
-    edges = subs.join(F.broadcast(pieces), "piece", "left").where("id is not null or len = 1")
-    raw = F.hex(F.encode("piece", "UTF-8"))
-    fallback = F.transform(F.sequence(F.lit(1), F.length(raw), F.lit(2)), lambda i: (F.conv(F.substring(raw, i, F.lit(2)), 16, 10).cast("int") + byte0))
-    edge = F.struct((F.col("start") - 1).alias("from"), F.coalesce("score", F.length(raw) / 2 * byte_score).alias("score"), F.when(F.col("id").isNull(), fallback).otherwise(F.array("id")).alias("ids"))
-    ends = edges.groupBy("word", (F.col("start") + F.col("len") - 1).alias("end")).agg(F.collect_list(edge).alias("edges"))
-    lattice = ends.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("end", "edges"))).alias("ends"))
-    first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("from"), F.array().cast("array<int>").alias("ids")))
-    step = lambda best, e: F.array_append(best, F.array_max(F.transform(e["edges"], lambda x: F.struct((F.element_at(best, x["from"] + 1)["score"] + x["score"]).alias("score"), x["from"].alias("from"), x["ids"].alias("ids")))))
-    best = lattice.select("word", F.aggregate("ends", first, step).alias("best"))
-    start = F.struct((F.size("best") - 1).alias("at"), F.array().cast("array<int>").alias("ids"))
-    back = lambda s, _: F.when(s["at"] <= 0, s).otherwise(F.struct(F.element_at("best", F.greatest(s["at"], F.lit(0)) + 1)["from"].alias("at"), F.concat(F.element_at("best", F.greatest(s["at"], F.lit(0)) + 1)["ids"], s["ids"]).alias("ids")))
-    return best.select("word", F.aggregate("best", start, back)["ids"].alias("ids"))
+    subs = words.select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
+    subs = subs.select("word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("start")))).alias("len"))
+    subs = subs.select("word", "start", (F.col("start") + F.col("len")).alias("end"), F.expr("substring(word, start + 1, len)").alias("piece"))
+    edges = subs.join(F.broadcast(pieces), "piece", "left").where("id is not null or end = start + 1")
+    lattice = edges.groupBy("word").agg(F.collect_list(F.struct("score", "start", "end", "id")).alias("edges"))
+    merges = lattice.select("word", "edges", F.filter("edges", lambda x: x["end"] > x["start"] + 1).alias("merges"))
+
+    def step(bounds, _):
+        def taken(x):
+            at = F.array_position(bounds, x["start"])
+            spans = (at > 0) & (F.array_position(bounds, x["end"]) == at + 2)
+            return F.when(spans, F.struct(x["score"].alias("score"), (-x["start"]).alias("left"), F.get(bounds, at.cast("int")).alias("cut")))
+
+        best = F.array_max(F.transform("merges", taken))
+        return F.when(best.isNull(), bounds).otherwise(F.array_remove(bounds, F.coalesce(best["cut"], F.lit(-1))))
+
+    start = F.sequence(F.lit(0), F.length("word"))
+    cut = merges.select("word", "edges", F.aggregate(F.sequence(F.lit(1), F.least(F.length("word"), F.size("merges") + 1)), start, step).alias("bounds"))
+    spans = F.arrays_zip(F.slice("bounds", F.lit(1), F.size("bounds") - 1).alias("a"), F.slice("bounds", F.lit(2), F.size("bounds") - 1).alias("b"))
+    raw = lambda a: F.hex(F.encode(F.substring("word", a + 1, F.lit(1)), "UTF-8"))
+    fallback = lambda a: F.transform(F.sequence(F.lit(1), F.length(raw(a)), F.lit(2)), lambda i: F.conv(F.substring(raw(a), i, F.lit(2)), 16, 10).cast("int") + byte0)
+
+    def ids(s):
+        own = F.get(F.filter("edges", lambda x: (x["start"] == s["a"]) & (x["end"] == s["b"])), F.lit(0))["id"]
+        return F.when(own.isNull(), fallback(s["a"])).otherwise(F.array(own))
+
+    return cut.select("word", F.flatten(F.transform(spans, ids)).alias("ids"))
+
+
+def _library(path: str):
+    @F.pandas_udf("array<int>")
+    def ids(words: pd.Series) -> pd.Series:
+        import sentencepiece
+
+        lib = sentencepiece.SentencePieceProcessor(model_file=path)
+        return words.map(lambda w: np.array(lib.encode("\n" + w.replace(SPACE, " "))[2:], dtype=np.int32))  # without the space and line feed in front
+
+    return ids
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -70,19 +96,20 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     Words of all texts are made distinct and encoded once by encode_words. Texts are dealt out in batches by a hash of
     doc_id; the batch's distinct words get their ids by a join, and each batch of texts is put together beside its own
-    words, so no task holds more than a batch and no word of all texts passes the driver. ids follow the sums of piece
-    scores; for a model trained by merges they can differ from merge order, decoding gives the same text. Null and empty
-    texts have no ids, which is what the model gives for them; rows with a null doc_id form a batch of their own hash;
+    words, so no task holds more than a batch and no word of all texts passes the driver. The ids are those of the model's own
+    library, for texts without SPACE itself. Null and empty texts have no ids, which is what the model gives for them; rows with a null doc_id form a batch of their own hash;
     repeated rows each give a row; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    pieces, byte0, byte_score, _ = piece_table(spark, path)
+    pieces, byte0, _ = piece_table(spark, path)
     base = id_and_text(docs)
     chars = base.agg(F.sum(F.length("body"))).first()[0] or 0
     batches = max(1, -(-chars // BATCH_CHARS))
     dealt = base.select("doc_id", "body", F.pmod(F.xxhash64("doc_id", F.left("body", F.lit(64))), F.lit(batches)).cast("int").alias("batch"))
     uses = written(dealt.where("body <> ''").select("batch", F.explode(F.array_distinct(units(F.col("body")))).alias("word")).distinct(), "sp-words")
-    coded = written(encode_words(uses.select("word").distinct(), pieces, byte0, byte_score), "sp-ids")
+    words, short = uses.select("word").distinct(), F.length("word") <= LONG_WORD
+    coded = encode_words(words.where(short), pieces, byte0).union(words.where(~short).select("word", _library(path)("word")))
+    coded = written(coded, "sp-ids")
     known = uses.join(coded, "word").select("batch", "word", "ids")
 
     def put_together(texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
@@ -97,7 +124,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 def decoder(spark: SparkSession, path: str):
     """A pandas UDF: ids -> text."""
-    surface = piece_table(spark, path)[3]
+    surface = piece_table(spark, path)[2]
 
     @F.pandas_udf("string")
     def decode(ids: pd.Series) -> pd.Series:
@@ -106,6 +133,11 @@ def decoder(spark: SparkSession, path: str):
     return decode
 
 
-@F.pandas_udf("long")
-def ids_crc32(ids: pd.Series) -> pd.Series:
-    return ids.map(lambda x: zlib.crc32(np.asarray(x, dtype="<u4").tobytes()))
+def ids_crc32(ids: str):
+    """The unsigned CRC-32 of a column of ids as little-endian 32-bit integers."""
+
+    @F.pandas_udf("long")
+    def crc(column: pd.Series) -> pd.Series:
+        return column.map(lambda x: zlib.crc32(np.asarray(x, dtype="<u4").tobytes()))
+
+    return crc(ids)

@@ -11,6 +11,7 @@ from .common import id_and_text, written
 
 TERMS = 512  # words of the index, at most: those tied closest to the label
 LEAST_DOCS = 5  # training documents that such a word is in
+LEAST_RATIO = 12.0  # log-likelihood ratio of such a word, so that chance words stay out of small tables
 LIFT = 2.0  # times as frequent in toxic documents as in others, at least
 EXAMPLES = 2048  # labelled examples of each class, at most
 NEIGHBOURS = 16
@@ -62,8 +63,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted, evidence (the nearest examples with label and cosine).
 
     Learns from labelled rows outside the held-out fold alone. Word statistics of both classes run over all of them, idf
-    over all documents; TERMS words with the highest log-likelihood ratio among those LIFT times as frequent in toxic ones
-    make the vectors (a word counts once in a text). The examples are a bounded sample, EXAMPLES of each class in the order
+    over all documents; TERMS words with the highest log-likelihood ratio, LEAST_RATIO or more, among those LIFT times as frequent in toxic
+    ones make the vectors (a word counts once in a text). The examples are a bounded sample, EXAMPLES of each class in the order
     of a hash of doc_id, weighted back to the classes' sizes. score = weighted votes of the NEIGHBOURS nearest by cosine,
     with PRIOR votes at the base rate, so texts without any of the words, null or empty ones too, get the base rate. The
     base rate without any label is 0. Rows with a null doc_id are scored, never learnt from; documents with several labels
@@ -82,7 +83,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     share = n1 / max(n1 + n0, 1)
     g2 = part(a, F.col("n") * share) + part(b, F.col("n") * (1 - share)) + part(n1 - a, (n1 + n0 - F.col("n")) * share) + part(n0 - b, (n1 + n0 - F.col("n")) * (1 - share))
     picked = terms.where((F.col("n") >= LEAST_DOCS) & (F.col("term") != "") & (a * max(n0, 1) >= LIFT * b * max(n1, 1)))
-    picked = picked.orderBy(F.round(g2, 6).desc(), "term").limit(TERMS)
+    picked = picked.where(g2 >= LEAST_RATIO).orderBy(F.round(g2, 6).desc(), "term").limit(TERMS)
     vocabulary = [r["term"] for r in picked.select("term").collect()] if n1 and n0 else []  # TERMS rows at most
     known = F.array_intersect(F.split(F.lower("body"), r"[^\p{L}\p{N}_]+"), F.lit(vocabulary or ["\u0000"]))
     found = written(base.select("doc_id", known.alias("terms")), "toxic-terms")

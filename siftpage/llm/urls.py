@@ -80,10 +80,10 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url_col: str
     threshold = None
     if accepted and rejected:
         below_a = below_r = 0
-        best = 1.0, bins[0]["bin"]
+        best, last = (2.0, 0.0), bins[0]["bin"] - 1
         for b in bins:
-            best = min(best, (below_a / accepted + 1 - below_r / rejected, b["bin"]))
-            below_a, below_r = below_a + b["a"], below_r + b["r"]
+            best = min(best, (below_a / accepted + 1 - below_r / rejected, (last + 1 + b["bin"]) / 2))  # midway across a gap
+            below_a, below_r, last = below_a + b["a"], below_r + b["r"], b["bin"]
         threshold = best[1] / BUCKETS
     by_model = F.lit("allow") if threshold is None else F.when(F.col("score") >= threshold, "allow").otherwise("block")
     return rows.join(scored.select("u", "score"), "u").select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_model).alias("verdict"), "score")
