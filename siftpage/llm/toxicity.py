@@ -73,7 +73,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     base = id_and_text(docs)
     marked = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("y")).where(~held_out(F.col("doc_id")))
-    train = base.where(~held_out(F.col("doc_id"))).join(marked, "doc_id")
+    train = base.where(~held_out(F.col("doc_id"))).join(marked.hint("merge"), "doc_id")  # one plan at every size: labels grow with the documents
     sets = train.select("doc_id", "y", _words(F.col("body")).alias("words"))
     sizes = {r["y"]: r["n"] for r in marked.join(base.select("doc_id"), "doc_id").groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
