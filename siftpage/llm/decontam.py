@@ -35,13 +35,9 @@ def slots(text: Column, toks: Column) -> Column:
 
 
 def windows(toks: Column, n: int) -> Column:
-    """Hashes of all windows of n tokens, doubled up from hashes of tokens."""
-    h, k = F.transform(toks, lambda w: F.xxhash64(w)), 1
-    while k < n:
-        step = min(k, n - k)
-        h = F.zip_with(h, F.slice(h, F.lit(step + 1), F.greatest(F.size(h) - step, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-        k += step
-    return F.slice(h, F.lit(1), F.greatest(F.size(toks) - (n - 1), F.lit(0)))
+    """Hashes of all windows of n tokens; none where there are fewer."""
+    starts = F.sequence(F.lit(1), F.size(toks) - (n - 1))
+    return F.when(F.size(toks) >= n, F.transform(starts, lambda i: F.xxhash64(F.slice(toks, i, F.lit(n))))).otherwise(F.array().cast("array<bigint>"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
