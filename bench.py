@@ -6,7 +6,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-from siftpage.plans.queries import QUERIES
+from siftpage.plans.registry import QUERIES
 
 sf_dir, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
 spark = SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "8g").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()

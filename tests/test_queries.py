@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 
 duckdb = pytest.importorskip("duckdb")
-from siftpage.plans.queries import ORACLE_SQL, QUERIES  # noqa: E402
+from siftpage.plans.registry import ORACLE_SQL, QUERIES  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
