@@ -45,3 +45,31 @@ def first_visit_after(suggested: DataFrame, visits: DataFrame) -> DataFrame:
 def sessions(events: DataFrame, gap: str) -> DataFrame:
     """events (key, ts) -> (key, started, n): bursts parted by more than the gap."""
     return events.groupBy("key", F.session_window("ts", gap)).agg(F.count(F.lit(1)).alias("n")).select("key", F.col("session_window.start").alias("started"), "n")
+
+
+# Gate verdicts that are walls.
+HARD_WALLS = ["block_page_detected", "anti_bot", "paywall", "blank_page"]
+GONE_AGREED = 2  # observations of not_found that agree
+
+
+def classify_terminal(log: DataFrame) -> DataFrame:
+    """log (fetch_id, seq, kind, verdict, subsystem, authoritative, blocks) -> (fetch_id, verdict, outcome) of every failed fetch.
+
+    An error of the operator stands first, then unreachable, an authoritative "gone", evidence of a wall anywhere in the log,
+    agreeing or lone not_found of tiers, a last gate that found the page thin (with or without a mark of an empty result), else
+    a wall.
+    """
+    gate, gone = F.col("kind") == "gate_outcome", F.col("verdict") == "not_found"
+    any_of = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    facts = log.groupBy("fetch_id").agg(
+        any_of(F.col("authoritative") & gone).alias("gone_said"),
+        any_of((F.col("blocks") > 0) | (gate & F.col("verdict").isin(HARD_WALLS))).alias("walled"),
+        F.count_if((F.col("kind") == "tier_outcome") & gone).alias("gone_seen"),
+        F.max(F.when(gate, F.struct("seq", "verdict")))["verdict"].alias("last_gate"),
+        any_of(gate & (F.col("subsystem") == "empty_result")).alias("marked_empty"),
+    )
+    c = F.col
+    outcome = F.when(c("verdict") == "paid_auth_error", "operator_error").when(c("verdict").isin("dns_error", "content_type_mismatch"), "unreachable").when(c("gone_said"), "gone_confirmed").when(c("walled"), "wall")
+    outcome = outcome.when(c("gone_seen") >= GONE_AGREED, "gone_confirmed").when(c("gone_seen") > 0, "gone_unverified")
+    outcome = outcome.when(c("last_gate") == "length_floor", F.when(c("marked_empty"), "empty_unverified").otherwise("thin_unverified")).otherwise("wall")
+    return resolve_verdicts(log).where("verdict <> 'ok'").join(facts, "fetch_id").select("fetch_id", "verdict", outcome.alias("outcome"))
