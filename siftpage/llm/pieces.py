@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -12,12 +13,17 @@ from pyspark.sql import functions as F
 from .common import id_and_text, written
 
 SPACE = "▁"
-LONG_WORD = 128  # characters; the fold's work grows with the cube of a word, so longer ones go to the library
+LONG_WORD = 61  # characters; a word's boundaries are the bits of one long, so longer ones go to the library
+WORDS_A_TASK = 100_000  # distinct words whose lattices one task holds
 BATCH_CHARS = 16_000_000  # of text that one task puts together
+NO_ID = (1 << 24) - 1  # marks a character that is no piece
 
 
 def piece_table(spark: SparkSession, path: str) -> tuple[DataFrame, int, list[bytes]]:
-    """((piece, id, score), id of byte 0, bytes of each id) of a model with byte fallback."""
+    """((piece, id, rank), id of byte 0, bytes of each id) of a model with byte fallback.
+
+    Pieces have spaces in place of SPACE, and their scores' rank, the highest first.
+    """
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -29,55 +35,76 @@ def piece_table(spark: SparkSession, path: str) -> tuple[DataFrame, int, list[by
         elif sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i):
             surface.append(b"")
         else:
-            surface.append(p.replace(SPACE, " ").encode())
+            p = p.replace(SPACE, " ")
+            surface.append(p.encode())
             rows.append((p, i, float(sp.get_score(i))))
-    table = spark.createDataFrame(pd.DataFrame(rows, columns=["piece", "id", "score"]), "piece string, id int, score double")
-    return table, sp.piece_to_id("<0x00>"), surface
+    own = pd.DataFrame(rows, columns=["piece", "id", "score"])
+    own["rank"] = own.pop("score").rank(method="dense", ascending=False).astype("int64")
+    return spark.createDataFrame(own, "piece string, id int, rank long"), sp.piece_to_id("<0x00>"), surface
 
 
 def units(body):
-    """A text as SentencePiece takes it apart: a space in front, spaces as SPACE, cut before runs of them and at line feeds."""
-    marked = F.translate(F.concat(F.lit(" "), body), " ", SPACE)
-    return F.filter(F.split(marked, f"(?<=[^{SPACE}])(?={SPACE})|(?<=\n)|(?=\n)"), lambda w: w != "")
+    """A text as SentencePiece takes it apart: a space in front, cut before runs of spaces and at line feeds."""
+    spaced = F.concat(F.lit(" "), F.translate(body, SPACE, " "))
+    return F.filter(F.split(spaced, "(?<=[^ ])(?= )|(?<=\n)|(?=\n)"), lambda w: w != "")
 
 
-def encode_words(words: DataFrame, pieces: DataFrame, byte0: int) -> DataFrame:
-    """(word) distinct -> (word, ids), the ids that the model's merges give.
+UNIT = re.compile("\n| *[^ \n]+| +")  # the same for one text at a time
+
+
+def fold_words(words: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(word) distinct, at most LONG_WORD characters -> (word, edges array<long>, bounds long).
 
     Substrings up to the longest piece are exploded and meet the piece table (as many rows as the model has pieces, so it
-    is broadcast) by equality; the edges are grouped by word. A model trained by merges does not take the path of the
-    highest sum, so the fold over a word's edges is not Viterbi: it starts from single characters and takes out one
-    boundary a step, that inside the edge of the highest score (ties: leftmost) that spans two neighbouring pieces.
-    Characters that are no piece become bytes.
+    is broadcast) by equality; the edges are grouped by word, each packed as rank, start, length and id. The bits of bounds
+    are the places between which pieces lie. The fold takes a word's edges by rank, then from the left, and takes out the
+    one boundary inside an edge that spans two neighbouring pieces.
     """
-    longest = pieces.agg(F.max(F.length("piece"))).first()[0]
-    subs = words.select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
-    subs = subs.select("word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("start")))).alias("len"))
-    subs = subs.select("word", "start", (F.col("start") + F.col("len")).alias("end"), F.expr("substring(word, start + 1, len)").alias("piece"))
-    edges = subs.join(F.broadcast(pieces), "piece", "left").where("id is not null or end = start + 1")
-    lattice = edges.groupBy("word").agg(F.collect_list(F.struct("score", "start", "end", "id")).alias("edges"))
-    merges = lattice.select("word", "edges", F.filter("edges", lambda x: x["end"] > x["start"] + 1).alias("merges"))
-
-    def step(bounds, _):
-        def taken(x):
-            at = F.array_position(bounds, x["start"])
-            spans = (at > 0) & (F.array_position(bounds, x["end"]) == at + 2)
-            return F.when(spans, F.struct(x["score"].alias("score"), (-x["start"]).alias("left"), F.get(bounds, at.cast("int")).alias("cut")))
-
-        best = F.array_max(F.transform("merges", taken))
-        return F.when(best.isNull(), bounds).otherwise(F.array_remove(bounds, F.coalesce(best["cut"], F.lit(-1))))
-
-    start = F.sequence(F.lit(0), F.length("word"))
-    cut = merges.select("word", "edges", F.aggregate(F.sequence(F.lit(1), F.least(F.length("word"), F.size("merges") + 1)), start, step).alias("bounds"))
-    spans = F.arrays_zip(F.slice("bounds", F.lit(1), F.size("bounds") - 1).alias("a"), F.slice("bounds", F.lit(2), F.size("bounds") - 1).alias("b"))
-    raw = lambda a: F.hex(F.encode(F.substring("word", a + 1, F.lit(1)), "UTF-8"))
-    fallback = lambda a: F.transform(F.sequence(F.lit(1), F.length(raw(a)), F.lit(2)), lambda i: F.conv(F.substring(raw(a), i, F.lit(2)), 16, 10).cast("int") + byte0)
+    longest = pieces.agg(F.max(F.length("piece"))).first()[0] or 1
+    size = F.length("word")
+    subs = words.select("word", F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
+    subs = subs.select("word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), size - F.col("start")))).alias("len"))
+    subs = subs.select("word", "start", "len", F.expr("substring(word, start + 1, len)").alias("piece"))
+    edges = subs.join(F.broadcast(pieces), "piece", "left").where("id is not null or len = 1")
+    packed = F.shiftleft(F.coalesce("rank", F.lit((1 << 24) - 1)), 36) + F.shiftleft(F.col("start").cast("long"), 30) + F.shiftleft(F.col("len").cast("long"), 24) + F.coalesce("id", F.lit(NO_ID))
+    lattice = edges.select("word", packed.alias("edge")).groupBy("word").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    step = """aggregate(edges, shiftleft(2L, length(word)) - 1, (b, e) ->
+        if(bit_count(shiftright(b, cast(shiftright(e, 30) & 63 as int)) & (shiftleft(2L, cast(shiftright(e, 24) & 63 as int)) - 1)) = 3
+           and (shiftright(b, cast(shiftright(e, 30) & 63 as int)) & 1) = 1
+           and (shiftright(b, cast((shiftright(e, 30) & 63) + (shiftright(e, 24) & 63) as int)) & 1) = 1,
+           b & ~shiftleft(shiftleft(1L, cast(shiftright(e, 24) & 63 as int)) - 2, cast(shiftright(e, 30) & 63 as int)), b))"""
+    return lattice.select("word", "edges", F.expr(step).alias("bounds"))
+
+
+def unsettled_pieces(pieces: DataFrame) -> list[str]:
+    """Pieces that one pass over their own edges does not put together (in common models, runs of spaces).
+
+    What lies between two boundaries that stay comes out as if it stood alone. So a pass by rank gives what the model's step
+    by step merging gives wherever each piece in the word is put together by its own edges; other words take another way.
+    """
+    whole = F.bit_count("bounds") == 2
+    found = fold_words(pieces.where(F.length("piece").between(2, LONG_WORD)).select(F.col("piece").alias("word")), pieces).where(~whole)
+    odd = sorted((r["word"] for r in found.select("word").collect()), key=len)  # of the piece table
+    odd += [r["piece"] for r in pieces.where(F.length("piece") > LONG_WORD).collect()]
+    return [p for i, p in enumerate(odd) if not any(q in p for q in odd[:i])]
+
 
-    def ids(s):
-        own = F.get(F.filter("edges", lambda x: (x["start"] == s["a"]) & (x["end"] == s["b"])), F.lit(0))["id"]
-        return F.when(own.isNull(), fallback(s["a"])).otherwise(F.array(own))
+def encode_words(words: DataFrame, pieces: DataFrame, byte0: int) -> DataFrame:
+    """(word) distinct -> (word, ids), the ids that the model's merges give; characters that are no piece become bytes.
 
-    return cut.select("word", F.flatten(F.transform(spans, ids)).alias("ids"))
+    A model trained by merges does not take the path of the highest sum, so the fold over a word's edges is not Viterbi but
+    that of fold_words.
+    """
+    left = """transform(sort_array(transform(
+        filter(edges, e -> (shiftright(bounds, cast(shiftright(e, 30) & 63 as int)) & (shiftleft(2L, cast(shiftright(e, 24) & 63 as int)) - 1)) = shiftleft(1L, cast(shiftright(e, 24) & 63 as int)) + 1),
+        e -> e & 68719476735)), e -> cast(e & 16777215 as int))"""  # by start, the rank taken off; then the id
+    spans = fold_words(words, pieces).select("word", F.expr(left).alias("ids"), "bounds")
+    missing = F.array_contains("ids", NO_ID)
+    starts = F.filter(F.sequence(F.lit(0), F.length("word") - 1), lambda i: F.call_function("getbit", F.col("bounds"), i) == 1)
+    raw = lambda a: F.hex(F.encode(F.substring("word", a + 1, F.lit(1)), "UTF-8"))
+    fallback = lambda a: F.transform(F.sequence(F.lit(1), F.length(raw(a)), F.lit(2)), lambda i: F.conv(F.substring(raw(a), i, F.lit(2)), 16, 10).cast("int") + byte0)
+    bytewise = F.flatten(F.zip_with(starts, "ids", lambda a, i: F.when(i == NO_ID, fallback(a)).otherwise(F.array(i))))
+    return spans.select("word", F.when(missing, bytewise).otherwise(F.col("ids")).alias("ids"))
 
 
 def _library(path: str):
@@ -86,7 +113,7 @@ def _library(path: str):
         import sentencepiece
 
         lib = sentencepiece.SentencePieceProcessor(model_file=path)
-        return words.map(lambda w: np.array(lib.encode("\n" + w.replace(SPACE, " "))[2:], dtype=np.int32))  # without the space and line feed in front
+        return words.map(lambda w: np.array(lib.encode("\n" + w)[2:], dtype=np.int32))  # without the space and line feed in front
 
     return ids
 
@@ -107,19 +134,22 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     batches = max(1, -(-chars // BATCH_CHARS))
     dealt = base.select("doc_id", "body", F.pmod(F.xxhash64("doc_id", F.left("body", F.lit(64))), F.lit(batches)).cast("int").alias("batch"))
     uses = written(dealt.where("body <> ''").select("batch", F.explode(F.array_distinct(units(F.col("body")))).alias("word")).distinct(), "sp-words")
-    words, short = uses.select("word").distinct(), F.length("word") <= LONG_WORD
-    coded = encode_words(words.where(short), pieces, byte0).union(words.where(~short).select("word", _library(path)("word")))
-    coded = written(coded, "sp-ids")
+    words = written(uses.select("word").distinct(), "sp-distinct")
+    tasks = max(1, -(-words.count() // WORDS_A_TASK))
+    settled = F.length("word") <= LONG_WORD
+    if odd := unsettled_pieces(pieces):
+        settled &= ~F.col("word").rlike("|".join(map(re.escape, odd)))
+    folded = encode_words(words.where(settled).repartition(tasks, "word"), pieces, byte0)
+    coded = written(folded.union(words.where(~settled).select("word", _library(path)("word"))), "sp-ids")
     known = uses.join(coded, "word").select("batch", "word", "ids")
 
     def put_together(texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        ids = {w: np.asarray(i, dtype=np.int32).tobytes() for w, i in zip(words["word"], words["ids"], strict=True)}
-        out = [np.frombuffer(b"".join(map(ids.__getitem__, u)), dtype=np.int32) for u in texts["units"]]
+        ids = {w: i.tobytes() for w, i in zip(words["word"], words["ids"], strict=True)}
+        find = lambda t: UNIT.findall(" " + t.replace(SPACE, " ")) if t else []
+        out = [np.frombuffer(b"".join(map(ids.__getitem__, find(t))), dtype=np.int32) for t in texts["body"]]
         return pd.DataFrame({"doc_id": texts["doc_id"], "ids": out})
 
-    empty = F.array().cast("array<string>")
-    texts = dealt.select("doc_id", "batch", F.when(F.col("body") == "", empty).otherwise(units(F.col("body"))).alias("units"))
-    return texts.groupBy("batch").cogroup(known.groupBy("batch")).applyInPandas(put_together, "doc_id long, ids array<int>")
+    return dealt.groupBy("batch").cogroup(known.groupBy("batch")).applyInPandas(put_together, "doc_id long, ids array<int>")
 
 
 def decoder(spark: SparkSession, path: str):

@@ -8,7 +8,7 @@ PATH = public_tokenizers.path("piece_bpe_32k.model")
 
 def test_ids_match_the_library_and_decode(spark, make_docs, texts):
     lib = sentencepiece.SentencePieceProcessor(model_file=PATH)
-    rows = {i: t for i, t in texts[:-1] if i != 3} | {90: "  two   spaces\t tab\n\nlines 中文 \U0001f600 end ", 91: "a" * 700, 92: "The quick brown foxes' 1234.5 running", 93: "\n", 94: " "}
+    rows = {i: t for i, t in texts[:-1] if i != 3} | {90: "  two   spaces\t tab\n\nlines 中文 \U0001f600 end ", 91: "a" * 700, 92: "The quick brown foxes' 1234.5 running", 93: "\n", 94: " "} | {100 + n: "ab▁" + "déf" * 40 + " " + ("héllo" * 13)[:n] for n in range(58, 65)}
     coded = encode(make_docs(list(rows.items())), PATH)
     got = {r.doc_id: (list(r.ids), r.text) for r in coded.withColumn("text", decoder(spark, PATH)("ids")).collect()}
     assert set(got) == set(rows)
