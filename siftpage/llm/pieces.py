@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +16,8 @@ from .common import id_and_text, written
 SPACE = "▁"
 LONG_WORD = 61  # characters; a word's boundaries are the bits of one long, so longer ones go to the library
 WORDS_A_TASK = 100_000  # distinct words whose lattices one task holds
-BATCH_CHARS = 16_000_000  # of text that one task puts together
+BATCH_CHARS = 10_000_000  # of text that one task puts together
+LAST_RANK = (1 << 24) - 1
 NO_ID = (1 << 24) - 1  # marks a character that is no piece
 
 
@@ -40,13 +42,14 @@ def piece_table(spark: SparkSession, path: str) -> tuple[DataFrame, int, list[by
             rows.append((p, i, float(sp.get_score(i))))
     own = pd.DataFrame(rows, columns=["piece", "id", "score"])
     own["rank"] = own.pop("score").rank(method="dense", ascending=False).astype("int64")
+    own.loc[own["piece"].str.len() == 1, "rank"] = LAST_RANK  # single characters never merge anything
     return spark.createDataFrame(own, "piece string, id int, rank long"), sp.piece_to_id("<0x00>"), surface
 
 
 def units(body):
-    """A text as SentencePiece takes it apart: a space in front, cut before runs of spaces and at line feeds."""
+    """A text as SentencePiece takes it apart, perhaps with empty strings between: a space in front, cut before runs of spaces and at line feeds."""
     spaced = F.concat(F.lit(" "), F.translate(body, SPACE, " "))
-    return F.filter(F.split(spaced, "(?<=[^ ])(?= )|(?<=\n)|(?=\n)"), lambda w: w != "")
+    return F.split(spaced, "(?<=[^ ])(?= )|(?<=\n)|(?=\n)")
 
 
 UNIT = re.compile("\n| *[^ \n]+| +")  # the same for one text at a time
@@ -58,7 +61,8 @@ def fold_words(words: DataFrame, pieces: DataFrame) -> DataFrame:
     Substrings up to the longest piece are exploded and meet the piece table (as many rows as the model has pieces, so it
     is broadcast) by equality; the edges are grouped by word, each packed as rank, start, length and id. The bits of bounds
     are the places between which pieces lie. The fold takes a word's edges by rank, then from the left, and takes out the
-    one boundary inside an edge that spans two neighbouring pieces.
+    one boundary inside an edge that spans two neighbouring pieces. Each place has one edge of one character; these come last
+    and merge nothing, so the fold leaves them out.
     """
     longest = pieces.agg(F.max(F.length("piece"))).first()[0] or 1
     size = F.length("word")
@@ -66,11 +70,11 @@ def fold_words(words: DataFrame, pieces: DataFrame) -> DataFrame:
     subs = subs.select("word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), size - F.col("start")))).alias("len"))
     subs = subs.select("word", "start", "len", F.expr("substring(word, start + 1, len)").alias("piece"))
     edges = subs.join(F.broadcast(pieces), "piece", "left").where("id is not null or len = 1")
-    packed = F.shiftleft(F.coalesce("rank", F.lit((1 << 24) - 1)), 36) + F.shiftleft(F.col("start").cast("long"), 30) + F.shiftleft(F.col("len").cast("long"), 24) + F.coalesce("id", F.lit(NO_ID))
+    packed = F.shiftleft(F.coalesce("rank", F.lit(LAST_RANK)), 36) + F.shiftleft(F.col("start").cast("long"), 30) + F.shiftleft(F.col("len").cast("long"), 24) + F.coalesce("id", F.lit(NO_ID))
     lattice = edges.select("word", packed.alias("edge")).groupBy("word").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-    step = """aggregate(edges, shiftleft(2L, length(word)) - 1, (b, e) ->
-        if(bit_count(shiftright(b, cast(shiftright(e, 30) & 63 as int)) & (shiftleft(2L, cast(shiftright(e, 24) & 63 as int)) - 1)) = 3
-           and (shiftright(b, cast(shiftright(e, 30) & 63 as int)) & 1) = 1
+    step = """aggregate(slice(edges, 1, size(edges) - length(word)), shiftleft(2L, length(word)) - 1, (b, e) ->
+        if((shiftright(b, cast(shiftright(e, 30) & 63 as int)) & 1) = 1
+           and bit_count(shiftright(b, cast(shiftright(e, 30) & 63 as int)) & (shiftleft(2L, cast(shiftright(e, 24) & 63 as int)) - 1)) = 3
            and (shiftright(b, cast((shiftright(e, 30) & 63) + (shiftright(e, 24) & 63) as int)) & 1) = 1,
            b & ~shiftleft(shiftleft(1L, cast(shiftright(e, 24) & 63 as int)) - 2, cast(shiftright(e, 30) & 63 as int)), b))"""
     return lattice.select("word", "edges", F.expr(step).alias("bounds"))
@@ -133,7 +137,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     chars = base.agg(F.sum(F.length("body"))).first()[0] or 0
     batches = max(1, -(-chars // BATCH_CHARS))
     dealt = base.select("doc_id", "body", F.pmod(F.xxhash64("doc_id", F.left("body", F.lit(64))), F.lit(batches)).cast("int").alias("batch"))
-    uses = written(dealt.where("body <> ''").select("batch", F.explode(F.array_distinct(units(F.col("body")))).alias("word")).distinct(), "sp-words")
+    uses = written(dealt.where("body <> ''").select("batch", F.explode(F.array_distinct(units(F.col("body")))).alias("word")).where("word <> ''").distinct(), "sp-words")
     words = written(uses.select("word").distinct(), "sp-distinct")
     tasks = max(1, -(-words.count() // WORDS_A_TASK))
     settled = F.length("word") <= LONG_WORD
@@ -143,13 +147,17 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     coded = written(folded.union(words.where(~settled).select("word", _library(path)("word"))), "sp-ids")
     known = uses.join(coded, "word").select("batch", "word", "ids")
 
-    def put_together(texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        ids = {w: i.tobytes() for w, i in zip(words["word"], words["ids"], strict=True)}
-        find = lambda t: UNIT.findall(" " + t.replace(SPACE, " ")) if t else []
-        out = [np.frombuffer(b"".join(map(ids.__getitem__, find(t))), dtype=np.int32) for t in texts["body"]]
-        return pd.DataFrame({"doc_id": texts["doc_id"], "ids": out})
+    def put_together(texts: pa.Table, words: pa.Table) -> pa.Table:
+        coded = words["ids"].combine_chunks()
+        at = (coded.offsets.to_numpy() * 4).tolist()
+        data = coded.values.to_numpy().tobytes()
+        ids = dict(zip(words["word"].to_numpy().tolist(), map(data.__getitem__, map(slice, at, at[1:])), strict=True))
+        out = [b"".join(map(ids.__getitem__, UNIT.findall(" " + t.replace(SPACE, " ")))) if t else b"" for t in texts["body"].to_numpy().tolist()]
+        ends = np.cumsum([0, *map(len, out)]) // 4
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(out), dtype=np.int32)))
+        return pa.table({"doc_id": texts["doc_id"], "ids": lists})
 
-    return dealt.groupBy("batch").cogroup(known.groupBy("batch")).applyInPandas(put_together, "doc_id long, ids array<int>")
+    return dealt.groupBy("batch").cogroup(known.groupBy("batch")).applyInArrow(put_together, "doc_id long, ids array<int>")
 
 
 def decoder(spark: SparkSession, path: str):
@@ -158,7 +166,7 @@ def decoder(spark: SparkSession, path: str):
 
     @F.pandas_udf("string")
     def decode(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: b"".join([surface[i] for i in x]).decode("utf-8", "replace")[1:])
+        return ids.map(lambda x: b"".join(map(surface.__getitem__, x.tolist())).decode("utf-8", "replace")[1:])
 
     return decode
 

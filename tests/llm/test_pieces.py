@@ -14,7 +14,7 @@ def test_ids_match_the_library_and_decode(spark, make_docs, texts):
     assert set(got) == set(rows)
     for i, t in rows.items():
         assert got[i][0] == lib.encode(t or ""), i
-        assert got[i][1] == (t or "")
+        assert got[i][1] == (t or "").replace("▁", " ")  # the library too reads that mark as a space
 
 
 def test_no_rows_and_null_ids(make_docs):
