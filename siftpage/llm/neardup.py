@@ -14,6 +14,8 @@ from .simhash import links
 
 SKETCH = 64  # shingles with the smallest hashes of a text
 CLASSES = 16  # parts of the sketch, a fingerprint each
+BITS = 1024  # of a bitmap that bounds a similarity from above
+BLOCK = 512  # about as many members of a candidate set meet as many others in one task
 
 
 def _shingles(text: str, words: int) -> np.ndarray:
@@ -24,24 +26,66 @@ def _shingles(text: str, words: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), dtype="<u8"))
 
 
+def _bitmap(s: np.ndarray) -> bytes:
+    """Parities of the counts of hashes by their last bits: two of them differ in no more bits than the sets in members."""
+    return np.packbits(np.bincount(s % BITS, minlength=BITS).astype(np.uint8) & 1).tobytes()
+
+
+def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+
+
+def _open_pairs(pdf: pd.DataFrame, similarity: float):
+    """For each row but the last, its place and those of the later rows of another component that may be similar enough."""
+    sides, comps, sizes = pdf["side"].to_numpy(), pdf["comp"].to_numpy(), pdf["size"].to_numpy()
+    bits = np.frombuffer(b"".join(pdf["bits"]), dtype="<u8").reshape(len(pdf), -1)
+    both = pdf["i"].iloc[0] == pdf["j"].iloc[0]
+    for x in range(len(pdf) - 1):
+        may = np.abs(sizes[x + 1 :] - sizes[x]) <= (sizes[x + 1 :] + sizes[x]) * (1 - similarity) / (1 + similarity) + 1e-6
+        may &= (comps[x + 1 :] != comps[x]) & (both | (sides[x + 1 :] != sides[x]))
+        ys = np.flatnonzero(may) + x + 1
+        if len(ys):
+            apart = np.bitwise_count(bits[ys] ^ bits[x]).sum(axis=1, dtype=np.int64)
+            yield x, ys[apart <= (sizes[ys] + sizes[x]) * (1 - similarity) / (1 + similarity) + 1e-6]
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """(label, rest, doc_id, ...) with the keys (label, i, j) under which the members of a candidate set meet, and side.
+
+    Blocks 0, 1, .. hold the rest, -1, -2, .. the others; each block of the rest meets every block once and itself."""
+    n = rows.groupBy("label").agg(F.count_if("rest").alias("n_rest"), F.count_if(~F.col("rest")).alias("n_other")).where("n_rest > 0")
+    k = lambda c: F.greatest(F.ceil(F.col(c) / BLOCK), F.lit(1)).cast("int")
+    rows = rows.join(n.select("label", k("n_rest").alias("k_rest"), k("n_other").alias("k_other")), "label")
+    at = F.xxhash64("doc_id", F.lit(1))
+    rows = rows.withColumn("side", F.when(F.col("rest"), F.pmod(at, "k_rest")).otherwise(-1 - F.pmod(at, "k_other")).cast("int"))
+    with_rest = F.transform(F.sequence(F.lit(0), F.col("k_rest") - 1), lambda o: F.struct(F.greatest("side", o).alias("i"), F.least("side", o).alias("j")))
+    with_other = F.transform(F.sequence(F.lit(-1), -F.col("k_other")), lambda o: F.struct(F.col("side").alias("i"), o.alias("j")))
+    meets = F.explode(F.when(F.col("rest"), F.concat(with_rest, with_other)).otherwise(with_rest)).alias("m")
+    return rows.select("*", meets).select("label", "m.i", "m.j", "side", *[c for c in rows.columns if c not in ("label", "side", "rest", "k_rest", "k_other")])
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, group_id) of every document with a near-duplicate: group_id is the smallest doc_id of its group.
 
     Two texts are linked if the Jaccard similarity of their sets of `words`-word shingles is `similarity` or more. A whole
     fingerprint moves by many bits at that similarity, so the SKETCH smallest shingle hashes of each text are parted into
     CLASSES by hash, each with a fingerprint of its own, and texts whose fingerprints of a class differ by 2 bits at most
-    (by way of the pivot tables) are candidates: at similarity 0.8 all but one pair in a thousand share one. Each set of
-    candidates is compared with its member of smallest id, in each class anew, so a group costs as many comparisons as it
-    has members. Texts without words are one group. Rows without a doc_id take no part; repeated rows are one document; an
-    empty table gives an empty result.
+    (by way of the pivot tables) are candidates: at similarity 0.8 all but one pair in a thousand share one. Texts with
+    equal shingles are one text. Each set of candidates is first compared with its member of smallest id; then every pair
+    of its members that this leaves in different groups is compared, block by block, where the sizes of both and a bitmap
+    of their hashes (an upper bound of the similarity, so nothing is lost by it) allow it. A task gives only the links that
+    join its groups, so pairs within a large group are not put out. Texts without words are one group. Rows without a
+    doc_id take no part; of repeated rows of a doc_id one counts; an empty table gives an empty result.
     """
     base = id_and_text(docs).where("doc_id is not null")
 
-    @F.pandas_udf("array<long>")
-    def sketch(texts: pd.Series) -> pd.Series:
+    @F.pandas_udf("fps array<long>, size long, bits binary, equal binary")
+    def sketch(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
-            s = _shingles(t, words)[:SKETCH]
+            every = _shingles(t, words)
+            s = every[:SKETCH]
             fps = np.zeros(CLASSES, dtype=np.int64)
             for c in range(CLASSES):
                 own = s[s % CLASSES == c]
@@ -50,35 +94,82 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
                     fps[c] = np.packbits(2 * ones > len(own), bitorder="little").view("<i8")[0]
                 elif len(s):
                     fps[c] = -1
-            out.append(fps if len(s) else np.zeros(CLASSES, dtype=np.int64))
-        return pd.Series(out)
-
-    seen = written(base.select("doc_id", sketch("body").alias("fps")), "near-sketches")
-    each = seen.select("doc_id", F.explode("fps").alias("fp")).where("fp <> -1").distinct()
-    fps = each.groupBy("fp").agg(F.min("doc_id").alias("first"))
+            out.append((fps, len(every), _bitmap(every), xxhash.xxh3_128_digest(every.tobytes())))
+        return pd.DataFrame(out, columns=["fps", "size", "bits", "equal"])
+
+    seen = written(base.select("doc_id", sketch("body").alias("k")).select("doc_id", "k.*"), "near-sketches")
+    one = seen.groupBy("doc_id").agg(F.min("equal").alias("equal")).groupBy("equal").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    one = written(one, "near-equal")
+    copies = seen.join(one.where("n > 1"), "equal").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
+    distinct = seen.join(one.select(F.col("first").alias("doc_id"), "equal"), ["doc_id", "equal"]).dropDuplicates(["doc_id"])
+    distinct = written(distinct, "near-distinct")
+    each = distinct.select("doc_id", F.explode("fps").alias("fp")).where("fp <> -1").distinct()
+    fps = each.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
     joined = components(links(fps.select("fp"), 2)).withColumnRenamed("id", "fp")
-    heads = fps.join(joined, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    heads = heads.join(heads.groupBy("label").agg(F.min("first").alias("head")), "label").select("fp", "head")
-    pairs = written(each.join(heads, "fp").where("doc_id <> head").select("doc_id", "head").distinct(), "near-pairs")
-    asked = pairs.select("doc_id").union(pairs.select("head")).distinct()
+    members = each.join(joined, "fp", "left").select("doc_id", F.coalesce("label", "fp").alias("label")).distinct()
+    # sets of the same members count once
+    sets_of = members.groupBy("label").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("sum")).where("n > 1")
+    sets_of = sets_of.groupBy("head", "n", "sum").agg(F.min("label").alias("label")).select("label", "head", "n")
+    members = written(members.join(sets_of, "label").select("label", "doc_id", "head", "n"), "near-members")
+    pairs = members.where("doc_id <> head").select("doc_id", "head").distinct()
 
     @F.pandas_udf("array<long>")
     def shingles(texts: pd.Series) -> pd.Series:
         return pd.Series([_shingles(t, words).view("<i8") for t in texts])
 
-    sets = written(base.join(asked, "doc_id", "left_semi").select("doc_id", shingles("body").alias("s")).dropDuplicates(["doc_id"]), "near-sets")
+    asked = members.select("doc_id").distinct().join(distinct.select("doc_id", "equal"), "doc_id")
+    same = F.pandas_udf(lambda texts: pd.Series([xxhash.xxh3_128_digest(_shingles(t, words).tobytes()) for t in texts]), "binary")
+    twice = base.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id")
+    bodies = base.join(asked, "doc_id")
+    single = bodies.join(twice, "doc_id", "left_anti").select("doc_id", shingles("body").alias("s"))
+    other = bodies.join(twice, "doc_id", "left_semi").where(same("body") == F.col("equal")).select("doc_id", shingles("body").alias("s")).dropDuplicates(["doc_id"])
+    sets = written(single.union(other), "near-sets")
 
     @F.pandas_udf("double")
     def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0)
-        return pd.Series(out)
-
-    other = sets.select(F.col("doc_id").alias("head"), F.col("s").alias("t"))
-    near = pairs.join(sets, "doc_id").join(other, "head").where(jaccard("s", "t") >= similarity).select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
-    return components(near).select(F.col("id").alias("doc_id"), F.col("label").alias("group_id"))
+        return pd.Series([_jaccard(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    heads = sets.select(F.col("doc_id").alias("head"), F.col("s").alias("t"))
+    near = pairs.join(sets, "doc_id").join(heads, "head").where(jaccard("s", "t") >= similarity).select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
+    near = written(near, "near-links")
+    groups = components(near).select(F.col("id").alias("doc_id"), F.col("label").alias("comp"))
+    # what the heads leave: members outside the head's group against each other and against its other members
+    grouped = written(members.where("n > 2").join(groups, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id")), "near-grouped")
+    main = grouped.where("doc_id = head").select("label", F.col("comp").alias("main"))
+    rest = grouped.where("doc_id <> head").join(main, "label").withColumn("rest", F.col("comp") != F.col("main"))
+    rest = rest.join(distinct.select("doc_id", "size", "bits"), "doc_id").select("label", "doc_id", "rest", "comp", "size", "bits")
+    rest = written(rest, "near-rest")
+
+    def live(pdf: pd.DataFrame) -> pd.DataFrame:
+        hit = np.zeros(len(pdf), dtype=bool)
+        for x, ys in _open_pairs(pdf, similarity):
+            if len(ys):
+                hit[x] = True
+                hit[ys] = True
+        return pdf.loc[hit, ["label", "doc_id"]]
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        root = {c: c for c in pdf["comp"]}
+
+        def find(c):
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        ids, comps, hashes, out = pdf["doc_id"].tolist(), pdf["comp"].tolist(), pdf["s"].tolist(), []
+        for x, ys in _open_pairs(pdf, similarity):
+            for y in ys.tolist():
+                a, b = find(comps[x]), find(comps[y])
+                if a != b and _jaccard(hashes[x], hashes[y]) >= similarity:
+                    root[a] = b
+                    out.append((ids[x], ids[y]))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    open_ = _blocks(rest).groupBy("label", "i", "j").applyInPandas(live, "label long, doc_id long").distinct()
+    left = written(rest.join(written(open_, "near-open"), ["label", "doc_id"], "left_semi"), "near-left")
+    found = _blocks(left).join(sets, "doc_id").groupBy("label", "i", "j").applyInPandas(link, "a long, b long")
+    within = groups.select(F.col("doc_id").alias("a"), F.col("comp").alias("b"))
+    return components(within.union(found).union(copies)).select(F.col("id").alias("doc_id"), F.col("label").alias("group_id"))
 
 
 def drop_near(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
