@@ -12,6 +12,7 @@ from .common import id_and_text, written
 
 RARE = 16  # a line is rare that at most so many documents hold
 MIN_CHARS = 20  # of a line that can bring two documents together or be removed
+PASSAGE_WORDS = 20  # a line of so many words is a passage: it brings documents together however many hold it
 
 
 def patience(a: list, b: list) -> list[tuple[int, int]]:
@@ -62,25 +63,33 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def line_matches(docs: DataFrame, rare: int = RARE, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_matches(docs: DataFrame, rare: int = RARE, min_chars: int = MIN_CHARS, passage_words: int = PASSAGE_WORDS) -> DataFrame:
     """One row per document: doc_id, n_lines, removed (places of lines to delete, ascending), partners (earlier doc_ids).
 
     Lines are what line feeds part, compared by 128-bit hash after trimming spaces; lines under min_chars characters bring
     nobody together. Every line links a document to the earliest document that holds the line, so there are no more pairs
-    than lines, whatever the size of a group. A pair is aligned if it shares a line that at most `rare` documents hold, or
-    two lines and more of any frequency; one frequent line alone is layout, not overlap. Removed are the aligned lines of
-    the later document that are min_chars long or stand between such lines. Copies of a text are aligned with the first.
+    than lines, whatever the size of a group. A pair is aligned if it shares a line that at most `rare` documents hold, a
+    line of `passage_words` words or more, or two lines and more of any frequency; one short frequent line alone is layout,
+    not overlap. Two lines of min_chars that follow one another (shorter lines apart) are a block, which also links a
+    document to the earliest holder of the block, so a block is found though each of its lines was first held elsewhere.
+    Removed are the aligned lines of the later document that are min_chars long or stand between such lines. Copies of a
+    text are aligned with the first.
     Null and empty text is one empty line; repeated rows of a doc_id count as one document with the lines of both; rows
     without doc_id are left out; an empty table gives an empty result.
     """
     each = id_and_text(docs).where("doc_id is not null").select("doc_id", F.posexplode(F.split("body", "\n", -1)).alias("pos", "line"))
     line = F.trim("line")
-    hashed = each.select("doc_id", "pos", F.unhex(F.md5(line)).alias("h"), (F.length(line) >= min_chars).alias("long"))
-    lists = written(hashed.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "h", "long"))).alias("ls")), "line-lists")
-    ls = lists.select("doc_id", F.explode("ls").alias("l")).where("l.long").select("doc_id", F.col("l.h").alias("h")).distinct()
+    hashed = each.select("doc_id", "pos", F.unhex(F.md5(line)).alias("h"), (F.length(line) >= min_chars).alias("long"), (F.size(F.split(line, r"\s+")) >= passage_words).alias("passage"))
+    lists = written(hashed.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "h", "long", "passage"))).alias("ls")), "line-lists")
+    ls = lists.select("doc_id", F.explode("ls").alias("l")).where("l.long").select("doc_id", F.col("l.h").alias("h"), F.col("l.passage").alias("passage")).distinct()
     holders = ls.groupBy("h").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    pairs = ls.join(holders, "h").where("doc_id <> first").groupBy("doc_id", "first").agg(F.count(F.lit(1)).alias("shared"), F.min("n").alias("rarest"))
-    pairs = pairs.where((F.col("rarest") <= rare) | (F.col("shared") >= 2)).select("doc_id", "first")
+    pairs = ls.join(holders, "h").where("doc_id <> first").groupBy("doc_id", "first").agg(F.count(F.lit(1)).alias("shared"), F.min("n").alias("rarest"), F.bool_or("passage").alias("passage"))
+    pairs = pairs.where((F.col("rarest") <= rare) | (F.col("shared") >= 2) | F.col("passage")).select("doc_id", "first")
+    long = F.transform(F.filter("ls", lambda l: l["long"]), lambda l: l["h"])
+    two = F.zip_with(F.slice("hs", 1, F.size("hs") - 1), F.slice("hs", 2, F.size("hs") - 1), lambda x, y: F.unhex(F.md5(F.concat(x, y))))
+    blocks = lists.select("doc_id", long.alias("hs")).where("size(hs) > 1").select("doc_id", F.explode(F.array_distinct(two)).alias("b"))
+    holding = blocks.groupBy("b").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("b", "first")
+    pairs = pairs.union(blocks.join(holding, "b").where("doc_id <> first").select("doc_id", "first")).distinct()
     mine = lists.select("doc_id", F.transform("ls", lambda l: F.struct(l["h"].alias("h"), l["long"].alias("long"))).alias("later"))
     theirs = lists.select(F.col("doc_id").alias("first"), F.transform("ls", lambda l: l["h"]).alias("earlier"))
 

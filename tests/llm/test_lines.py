@@ -44,3 +44,12 @@ def test_one_frequent_line_is_layout_but_two_are_overlap(make_docs):
 def test_empty_table_and_repeated_rows(make_docs):
     assert line_matches(make_docs([])).count() == 0
     assert line_matches(make_docs([(1, line("a")), (1, line("a"))])).count() == 1
+
+
+def test_a_frequent_passage_or_block_leaves_all_but_its_first_holder(make_docs):
+    passage = " ".join(f"word{k}" for k in range(25))
+    rows = [(i, f"{line(i)}\n{passage}\n{line(-i)}") for i in range(1, 31)]
+    assert {r.doc_id: r.removed for r in line_matches(make_docs(rows)).collect()} == {1: []} | {i: [1] for i in range(2, 31)}
+    rows = [(1, f"{line('x')}\n{line(1)}"), (2, f"{line(2)}\n{line('y')}"), *((i, f"{line(i)}\n{line('x')}\n\n{line('y')}\n{line(-i)}") for i in range(3, 31))]
+    got = {r.doc_id: (r.removed, r.partners) for r in line_matches(make_docs(rows)).collect()}
+    assert got == {1: ([], []), 2: ([], []), 3: ([], [])} | {i: ([1, 2, 3], [3]) for i in range(4, 31)}
