@@ -18,20 +18,31 @@ _NAME = r"(?<=[\p{L}\p{N},;] )\p{Lu}\p{L}*"  # a capital inside a sentence
 _NUMBER = r"[0-9]+(?:[.,][0-9]+)*%?"
 
 
+_UNIT = rf"(?i)([0-9]%? ?)((?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}]))"
+NAME, UNIT = "\ue000", "\ue001"  # marks before names and units
+_TOKEN = rf"{NAME}\p{{Lu}}\p{{L}}*|{UNIT}\p{{L}}+|{_NUMBER}|[\p{{L}}\p{{N}}&&[^0-9]]+"
+
+
+def _marked(text: Column) -> Column:
+    """The tokens of a text as written, with NAME before a name and UNIT before the unit of a number."""
+    t = F.regexp_replace(F.translate(text, NAME + UNIT, "  "), _UNIT, f"$1{UNIT}$2")
+    return F.regexp_extract_all(F.regexp_replace(t, _NAME, f"{NAME}$0"), F.lit(_TOKEN), F.lit(0))
+
+
+def _canonical(w: Column) -> Column:
+    first = F.substring(w, 1, 1)
+    return F.when(first == NAME, "0name").when(first == UNIT, "0unit").when(first.between("0", "9"), "0num").otherwise(F.lower(w))
+
+
 def tokens(text: Column) -> Column:
     """Lower-case words with 0name, 0num and 0unit for names, numbers and the units after numbers."""
-    t = F.regexp_replace(text, _NUMBER, " 0 ")
-    t = F.regexp_replace(t, _NAME, " 0name ")
-    t = F.regexp_replace(F.lower(t), r" 0 (?: ?(?:" + "|".join(UNITS) + r")(?![\p{L}\p{N}]))", " 0num 0unit ")
-    t = F.regexp_replace(t, r" 0 ", " 0num ")
-    return F.filter(F.split(t, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.transform(_marked(text), _canonical)
 
 
-def slots(text: Column, toks: Column) -> Column:
-    """(pos, value) of every name and number, in order of place; null where the text's values cannot be told apart."""
-    values = F.regexp_extract_all(text, F.lit(f"({_NAME}|{_NUMBER})"), F.lit(1))
-    places = F.filter(F.transform(toks, lambda w, i: F.when(w.isin("0name", "0num"), i)), lambda i: i.isNotNull())
-    return F.when(F.size(values) == F.size(places), F.zip_with(places, values, lambda p, v: F.struct(p.alias("pos"), v.alias("value"))))
+def slots(text: Column) -> Column:
+    """(pos, value) of every name and number, in order of place, from the same tokens as tokens()."""
+    each = F.transform(_marked(text), lambda w, i: F.struct(i.alias("pos"), F.translate(w, NAME, "").alias("value"), _canonical(w).isin("0name", "0num").alias("slot")))
+    return F.filter(each, lambda s: s["slot"])
 
 
 def windows(toks: Column, n: int) -> Column:
@@ -72,9 +83,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     runs = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("shift")).agg(F.countDistinct("ipos").alias("matched"))
     runs = written(runs.join(sizes, "item_id").where(F.col("matched") >= F.lit(coverage) * F.col("windows")).select("doc_id", "item_id", "shift", "matched", "windows"), "bench-runs")
     # slots, of the documents and items that meet alone
-    met = base.join(runs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "body", tokens(F.col("body")).alias("toks"))
-    theirs = met.select("doc_id", F.explode(slots(F.col("body"), F.col("toks"))).alias("s")).select("doc_id", F.col("s.pos").alias("pos"), F.col("s.value").alias("value"))
-    asked = items.select("item_id", F.explode(slots(F.col("body"), F.col("toks"))).alias("s")).select("item_id", F.col("s.pos").alias("ipos"), F.col("s.value").alias("asked"))
+    met = base.join(runs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "body")
+    theirs = met.select("doc_id", F.explode(slots(F.col("body"))).alias("s")).select("doc_id", F.col("s.pos").alias("pos"), F.col("s.value").alias("value"))
+    asked = items.select("item_id", F.explode(slots(F.col("body"))).alias("s")).select("item_id", F.col("s.pos").alias("ipos"), F.col("s.value").alias("asked"))
     pairs = runs.join(asked, "item_id").withColumn("pos", F.col("ipos") + F.col("shift")).join(theirs, ["doc_id", "pos"])
     by_value = pairs.groupBy("doc_id", "item_id", "shift", "asked").agg(F.countDistinct("value").alias("values"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") != F.col("asked")).alias("changed"))
     checked = by_value.groupBy("doc_id", "item_id", "shift").agg(F.max("values").alias("values"), F.sum("n").alias("slots"), F.sum("changed").alias("changed"))

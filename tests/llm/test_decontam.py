@@ -21,3 +21,11 @@ def test_empty_tables_and_columns(spark, make_docs):
     assert leaks(docs, bench(spark, [])).count() == 0 and leaks(make_docs([]), bench(spark, [(1, ITEM, 1)])).count() == 0
     out = drop_leaks(docs, bench(spark, [(1, ITEM, 1)]))
     assert out.columns == docs.columns and [r.doc_id for r in out.collect()] == [2]
+
+
+def test_a_name_after_a_number_leaves_the_slots_checked(spark, make_docs):
+    changed = ITEM.replace("Maria", "Ines").replace("12", "95")
+    broken = changed.replace("then Ines", "then Karl")
+    rows = [(1, f"it was in 2019 Paris that {changed} and after"), (2, f"it was in 2019 Paris that {broken} and after")]
+    got = {(r.doc_id, r.item_id): (r.slots, r.changed) for r in leaks(make_docs(rows), bench(spark, [(10, ITEM, 1)])).collect()}
+    assert got == {(1, 10): (5, 3)}
