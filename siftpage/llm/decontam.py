@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_and_text, written
 
-WINDOW = 8  # canonical tokens
+WINDOW = 8  # canonical tokens, at most; fewer in short items
+LEAST_WINDOW = 4  # tokens of a window in items that have more than one
+DRIFT = 4  # an alignment may shift by a quarter (1 / DRIFT) of the item's tokens, and by so many at least
 COVERAGE = 0.5  # share of an item's windows that a document must hold
 BROADCAST_ROWS = 200_000  # windows of the benchmark; more are joined by shuffle
 
@@ -20,7 +22,7 @@ _NUMBER = r"[0-9]+(?:[.,][0-9]+)*%?"
 
 _UNIT = rf"(?i)([0-9]%? ?)((?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}]))"
 NAME, UNIT = "\ue000", "\ue001"  # marks before names and units
-_TOKEN = rf"{NAME}\p{{Lu}}\p{{L}}*|{UNIT}\p{{L}}+|{_NUMBER}|[\p{{L}}\p{{N}}&&[^0-9]]+"
+_TOKEN = rf"{NAME}\p{{Lu}}\p{{L}}*(?: {NAME}\p{{Lu}}\p{{L}}*)*|{UNIT}\p{{L}}+|{_NUMBER}|[\p{{L}}\p{{N}}&&[^0-9]]+"
 
 
 def _marked(text: Column) -> Column:
@@ -35,7 +37,7 @@ def _canonical(w: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case words with 0name, 0num and 0unit for names, numbers and the units after numbers."""
+    """Lower-case words with 0name (one for names in a row), 0num and 0unit for names, numbers and the units after numbers."""
     return F.transform(_marked(text), _canonical)
 
 
@@ -54,42 +56,55 @@ def windows(toks: Column, n: int) -> Column:
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """One row per document and item that it leaks: doc_id, item_id, matched, windows, slots, changed.
 
-    Both sides are canonicalised and cut into windows of `window` tokens; items with fewer tokens are one window of their
-    own length. Equal window hashes meet in a hash join. A document leaks an item if, in one alignment, it holds `coverage`
-    of the item's windows and every slot value of the item stands for one value of the document throughout; slots counts
-    the slots compared and changed those whose value differs, so re-parameterised questions show as changed > 0. A capital
-    at the start of a sentence cannot be told from a word and stays one. Null and empty texts and items have no windows;
-    rows without an id are left out; repeated rows give one result; empty tables give an empty result.
+    Both sides are canonicalised and cut into windows of `window` tokens. A token put into an item breaks one window less
+    than a window has tokens, so items of under about 21 tokens take windows of a third of their length (LEAST_WINDOW at
+    least), of which half outlive it; items of fewer than 8 tokens are one window of their own length. Equal window hashes
+    meet in a hash join. A document leaks an item if, in one alignment, it holds `coverage` of the item's windows and every
+    slot value of the item stands for one value of the document throughout. An alignment takes hits at shifts that differ
+    by a quarter of the item's tokens at most (DRIFT at least), so a slot may have more or fewer tokens than in the item; a
+    slot is looked up by the shift of the most windows around it, or by the only shift there is, and not compared where
+    that leads to no slot or parts of different shift leave it out. slots counts the slots compared and changed those whose value differs, so re-parameterised questions show as
+    changed > 0. A capital at the start of a sentence cannot be told from a word and stays one. Null and empty texts and
+    items have no windows; rows without an id are left out; repeated rows give one result; empty tables give an empty result.
     """
     base = id_and_text(docs).where("doc_id is not null")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("body")).where("item_id is not null").dropDuplicates(["item_id"])
-    items = written(items.select("item_id", "body", tokens(F.col("body")).alias("toks")).where("size(toks) > 0"), "bench-items")
-    lengths = [r["n"] for r in items.select(F.least(F.size("toks"), F.lit(window)).alias("n")).distinct().orderBy("n").collect()]  # at most `window` values
+    n = F.size("toks")
+    third = F.greatest(F.lit(min(LEAST_WINDOW, window)), F.floor((n + 3) / 3).cast("int"))
+    items = items.select("item_id", "body", tokens(F.col("body")).alias("toks")).where("size(toks) > 0").withColumn("len", F.when(n < min(window, WINDOW), n).otherwise(F.least(F.lit(window), third)))
+    items = written(items, "bench-items")
+    lengths = [r["len"] for r in items.select("len").distinct().orderBy("len").collect()]  # at most `window` values
     if not lengths:
         lengths = [window]
-    hashed = lambda n: F.transform(windows(F.col("toks"), n), lambda h: F.struct(F.lit(n).alias("len"), h.alias("h")))
-    own = F.array().cast("array<struct<len:int,h:bigint>>")
-    for n in lengths:
-        own = F.when(F.least(F.size("toks"), F.lit(window)) == n, hashed(n)).otherwise(own)
-    marks = written(items.select("item_id", F.posexplode(own).alias("ipos", "w")).select("item_id", "ipos", F.col("w.h").alias("h")), "bench-windows")
-    sizes = marks.groupBy("item_id").agg(F.count(F.lit(1)).alias("windows"))
+    own = F.array().cast("array<bigint>")
+    for k in lengths:
+        own = F.when(F.col("len") == k, windows(F.col("toks"), k)).otherwise(own)
+    marks = written(items.select("item_id", "len", F.posexplode(own).alias("ipos", "h")), "bench-windows")
+    sizes = items.select("item_id", "len", (F.size("toks") - F.col("len") + 1).cast("long").alias("windows"), F.greatest(F.lit(DRIFT), F.size("toks") / DRIFT).alias("drift"))
     toks = base.select("doc_id", tokens(F.col("body")).alias("toks"))
-    seen = None
-    for n in lengths:
-        part = toks.select("doc_id", F.posexplode(windows(F.col("toks"), n)).alias("pos", "h"))
-        seen = part if seen is None else seen.union(part)
+    every = F.concat(*(windows(F.col("toks"), k) for k in lengths))
+    starts = F.concat(*(F.when(n >= k, F.sequence(F.lit(0), n - k)).otherwise(F.array().cast("array<int>")) for k in lengths))
+    seen = toks.select("doc_id", F.explode(F.arrays_zip(starts.alias("pos"), every.alias("h"))).alias("w")).select("doc_id", F.col("w.pos").alias("pos"), F.col("w.h").alias("h"))
     few = marks.count() <= BROADCAST_ROWS
+    marks = marks.select("item_id", "ipos", "h")
     hits = seen.join(F.broadcast(marks) if few else marks, "h")
-    runs = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("shift")).agg(F.countDistinct("ipos").alias("matched"))
-    runs = written(runs.join(sizes, "item_id").where(F.col("matched") >= F.lit(coverage) * F.col("windows")).select("doc_id", "item_id", "shift", "matched", "windows"), "bench-runs")
+    parts = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("shift")).agg(F.array_sort(F.collect_set("ipos")).alias("places"))
+    parts = parts.join(sizes, "item_id")
+    near = Window.partitionBy("doc_id", "item_id").orderBy(F.col("shift") / F.col("drift")).rangeBetween(0, 1)
+    runs = parts.withColumn("chain", F.collect_list(F.struct("shift", "places")).over(near))
+    runs = runs.withColumn("matched", F.size(F.array_distinct(F.flatten("chain.places"))).cast("long"))
+    runs = written(runs.where(F.col("matched") >= F.lit(coverage) * F.col("windows")).select("doc_id", "item_id", "shift", "matched", "windows", "len", "chain"), "bench-runs")
     # slots, of the documents and items that meet alone
     met = base.join(runs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "body")
     theirs = met.select("doc_id", F.explode(slots(F.col("body"))).alias("s")).select("doc_id", F.col("s.pos").alias("pos"), F.col("s.value").alias("value"))
     asked = items.select("item_id", F.explode(slots(F.col("body"))).alias("s")).select("item_id", F.col("s.pos").alias("ipos"), F.col("s.value").alias("asked"))
-    pairs = runs.join(asked, "item_id").withColumn("pos", F.col("ipos") + F.col("shift")).join(theirs, ["doc_id", "pos"])
+    around = lambda c: F.size(F.filter(c["places"], lambda q: (q <= F.col("ipos")) & (F.col("ipos") < q + F.col("len"))))
+    best_part = F.array_max(F.transform("chain", lambda c: F.struct(around(c).alias("n"), F.size(c["places"]).alias("all"), (-c["shift"]).alias("back"))))
+    pairs = runs.join(asked, "item_id").withColumn("part", best_part).where((F.col("part.n") > 0) | (F.size("chain") == 1))
+    pairs = pairs.withColumn("pos", F.col("ipos") - F.col("part.back")).select("doc_id", "item_id", "shift", "asked", "pos").join(theirs, ["doc_id", "pos"])
     by_value = pairs.groupBy("doc_id", "item_id", "shift", "asked").agg(F.countDistinct("value").alias("values"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") != F.col("asked")).alias("changed"))
     checked = by_value.groupBy("doc_id", "item_id", "shift").agg(F.max("values").alias("values"), F.sum("n").alias("slots"), F.sum("changed").alias("changed"))
-    good = runs.join(checked, ["doc_id", "item_id", "shift"], "left").where("coalesce(values, 1) <= 1")
+    good = runs.drop("chain", "len").join(checked, ["doc_id", "item_id", "shift"], "left").where("coalesce(values, 1) <= 1")
     zero = F.lit(0).cast("long")
     best = good.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", -F.col("shift"), "windows", F.coalesce("slots", zero).alias("slots"), F.coalesce("changed", zero).alias("changed"))).alias("b"))
     return best.select("doc_id", "item_id", "b.matched", "b.windows", "b.slots", "b.changed")

@@ -29,3 +29,14 @@ def test_a_name_after_a_number_leaves_the_slots_checked(spark, make_docs):
     rows = [(1, f"it was in 2019 Paris that {changed} and after"), (2, f"it was in 2019 Paris that {broken} and after")]
     got = {(r.doc_id, r.item_id): (r.slots, r.changed) for r in leaks(make_docs(rows), bench(spark, [(10, ITEM, 1)])).collect()}
     assert got == {(1, 10): (5, 3)}
+
+
+def test_a_slot_of_another_length_leaves_the_item_found(spark, make_docs):
+    words = "the old baker near our harbour counts every loaf before dawn and sends them over that narrow bridge to seven quiet villages beyond some hills where nobody ever asked him why he did so".split()
+    items = [(n, " ".join(words[:n]), 1) for n in (9, 12, 15, 20, 27, 35)]
+    rows = [(100 * n + p, " ".join(["intro", *words[:p], "extra", *words[p:n], "outro"])) for n, _, _ in items for p in range(1, n)]
+    item = "a farmer named Maria sells his many green apples to a trader who lives for 12 days in the port and then Maria buys some pears from him at the market"
+    changed = item.replace("Maria", "Ines Lund").replace("12 days", "95 long days")
+    rows += [(1, f"so then {changed} and after"), (2, f"so then {changed.replace('then Ines Lund', 'then Karl')} and after")]
+    got = {(r.doc_id, r.item_id): (r.slots, r.changed) for r in leaks(make_docs(rows), bench(spark, [*items, (50, item, 1)])).collect()}
+    assert {(i, i // 100) for i, _ in rows if i > 2} <= set(got) and got[1, 50] == (3, 3) and (2, 50) not in got
