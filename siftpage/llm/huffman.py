@@ -2,33 +2,35 @@
 
 from __future__ import annotations
 
-import zlib
 from unicodedata import normalize
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, written
+from .common import gather, id_and_text, written
 
 MAX_BITS = 18  # longest code; raised where a vocabulary has more ids than that many bits can tell apart
 BLOCK_IDS = 1 << 18  # ids of a block, unless its last document has more
+LENGTH_BITS = 5  # hold the length of a code
 LANE_IDS = 256  # a checkpoint holds the bit offset of every so many ids
-CACHED_WORDS = 400_000  # words a worker keeps, besides those of one slice
-ODD_CASE = frozenset("\u0130\u03a3")  # letters whose lower case depends on more than the letter
-SLICE_TEXTS = 256  # texts whose unknown words are encoded together
+SLICE_BYTES = 16 << 20  # of texts whose distinct words are encoded together
+ODD_CASE = "\u0130\u03a3"  # letters whose lower case depends on more than the letter
 
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
 class WordTokenizer:
-    """Whole-text encoding through the tokenizers library, word by word with a bounded cache.
+    """Whole-text encoding through the tokenizers library: the distinct words of a slice of texts are encoded once.
 
     Only for a tokenizer whose pre-tokenizer never joins across a space or a line feed and removes both, and whose only
-    normalisation is NFC, white space and lower case, as word_bpe has it. Words that miss the cache are encoded a slice of
-    texts at a time; runs of letters in one call, told apart by the end-of-word mark.
+    normalisation is NFC, white space and lower case, as word_bpe has it. Splitting, finding distinct words and putting the
+    ids together again are Arrow and numpy kernels over the slice; runs of letters are encoded in one call, told apart by the
+    end-of-word mark, and a full stop or comma after letters is taken apart from them.
     """
 
     def __init__(self, path: str):
@@ -45,56 +47,59 @@ class WordTokenizer:
         self.size = max(vocab.values()) + 1
         self.last = np.zeros(self.size, dtype=bool)
         self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _encode(self, words: list[str], dtype: str) -> None:
-        for w, e in zip(words, self.lib.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, dtype=dtype).tobytes()
-
-    def _letters(self, words: list[str], dtype: str) -> None:
-        plain = " ".join(words)
+        self.marks = {m: self._each([m])[0][0] for m in (".", ",")}
+
+    def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of words, one by one."""
+        found = [e.ids for e in self.lib.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([i for x in found for i in x], dtype=np.int64), np.array([len(x) for x in found], dtype=np.int64)
+
+    def _letters(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of words of letters, all in one call."""
+        if not len(words):
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        plain = pc.binary_join(pa.scalar(words.to_pylist(), pa.list_(pa.string())), " ").as_py()
         plain = plain.lower() if plain.isascii() else normalize("NFC", plain).lower()
-        ids = np.array(self.letters.encode_batch_fast([plain], add_special_tokens=False)[0].ids, dtype=dtype)
+        ids = np.array(self.letters.encode_batch_fast([plain], add_special_tokens=False)[0].ids, dtype=np.int64)
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != len(words) or len(ids) != ends[-1]:
-            return self._encode(words, dtype)
-        data, marks = ids.tobytes(), (ends * ids.itemsize).tolist()
-        self.known.update(zip(words, map(data.__getitem__, map(slice, [0, *marks], marks)), strict=False))
-        return None
-
-    def _learn(self, miss: set[str], dtype: str) -> None:
-        known, older = self.known, self.older
-        miss |= {".", ","}
-        again = miss & older.keys()
-        known.update(zip(again, map(older.__getitem__, again), strict=True))
-        plain, tail, rest = set(), [], []
-        for w in (miss - again).difference(known):
-            if w.isalpha():
-                plain.add(w) if w.isascii() or not ODD_CASE.intersection(w) else rest.append(w)
-            elif w[-1:] in (".", ",") and w[:-1].isalpha() and (w.isascii() or not ODD_CASE.intersection(w)):
-                tail.append(w)
-            else:
-                rest.append(w)
-        plain.update(w[:-1] for w in tail if w[:-1] not in known)
-        if plain:
-            self._letters(list(plain), dtype)
-        if rest:
-            self._encode(rest, dtype)
-        for w in tail:
-            known[w] = known[w[:-1]] + known[w[-1]]
-
-    def __call__(self, texts: list[str], dtype: str = "<u4") -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(texts), SLICE_TEXTS):
-            split = [t.replace("\n", " ").split(" ") for t in texts[at : at + SLICE_TEXTS]]
-            if len(self.known) > CACHED_WORDS // 2:
-                self.known, self.older = {}, self.known
-            if miss := set().union(*split).difference(self.known):
-                self._learn(miss, dtype)
-            get = self.known.__getitem__
-            out += [b"".join(map(get, words)) for words in split]
-        return out
+            return self._each(words.to_pylist())
+        return ids, np.diff(ends, prepend=0)
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of distinct words."""
+        n = len(words)
+        mark = pc.utf8_slice_codeunits(words, -1)
+        tail = {m: pc.equal(mark, m).to_numpy(zero_copy_only=False) for m in self.marks}
+        ended = np.logical_or.reduce(list(tail.values()))
+        stems = pc.if_else(pa.array(ended), pc.utf8_slice_codeunits(words, 0, -1), words)
+        odd = pc.match_substring_regex(stems, f"[{ODD_CASE}]")
+        plain = pc.and_(pc.utf8_is_alpha(stems), pc.invert(odd)).to_numpy(zero_copy_only=False)
+        by_stem = stems.filter(pa.array(plain)).dictionary_encode()
+        at = by_stem.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        ids, sizes = self._letters(by_stem.dictionary)
+        rest_ids, rest_sizes = self._each(words.filter(pa.array(~plain)).to_pylist())
+        ends, rest_ends = np.cumsum(sizes), np.cumsum(rest_sizes)
+        starts, out_sizes = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        starts[plain], out_sizes[plain] = (ends - sizes)[at], sizes[at] + ended[plain]
+        starts[~plain], out_sizes[~plain] = len(ids) + rest_ends - rest_sizes, rest_sizes
+        out, out_ends = gather(np.concatenate([ids, rest_ids, [0]]), starts, out_sizes)  # a mark's place holds the next word's id till now
+        for m, has in tail.items():
+            out[out_ends[has & plain] - 1] = self.marks[m]
+        return out, out_sizes
+
+    def __call__(self, texts: pa.Array, end_id: int, dtype: str = "<u4") -> pa.Array:
+        """Binary array: the ids of each text and then end_id, as dtype. texts: a string array without nulls."""
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        words = lists.flatten().dictionary_encode()
+        ids, sizes = self._words(words.dictionary)
+        ids, sizes = np.append(ids, end_id), np.append(sizes, 1)
+        after = lists.offsets.to_numpy().astype(np.int64)
+        after = after[1:] - after[0]
+        order = np.insert(words.indices.to_numpy(zero_copy_only=False), after, len(words.dictionary))
+        out, ends = gather(ids.astype(dtype), (np.cumsum(sizes) - sizes)[order], sizes[order])
+        offsets = np.append(0, ends[after + np.arange(len(after))]) * out.itemsize
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
 
 
 def tokenizer(path: str) -> WordTokenizer:
@@ -103,6 +108,16 @@ def tokenizer(path: str) -> WordTokenizer:
     return _tokenizers[path]
 
 
+def slices(texts: pa.Array, most: int = SLICE_BYTES):
+    """(start, length) of slices of a string array with about `most` bytes each, one text at least."""
+    ends = np.append(0, np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
+        yield at, to - at
+        at = to
+
+
 def id_type(path: str, end_id: int) -> str:
     """Ids between the steps take two bytes where all fit."""
     return "<u2" if max(tokenizer(path).size, end_id + 1) <= 1 << 16 else "<u4"
@@ -112,12 +127,14 @@ def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """(doc_id, ids): ids as little-endian unsigned integers of id_type, end_id last."""
     dtype = id_type(path, end_id)
 
-    @F.pandas_udf("binary")
-    def encode(texts: pd.Series) -> pd.Series:
-        end = np.array([end_id], dtype=dtype).tobytes()
-        return pd.Series([b + end for b in tokenizer(path)(list(texts), dtype)])
+    def encode(batches):
+        own = tokenizer(path)
+        for batch in batches:
+            texts = batch["body"]
+            for at, n in slices(texts):
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(at, n), own(texts.slice(at, n), end_id, dtype)], names=["doc_id", "ids"])
 
-    return id_and_text(docs).where("doc_id is not null").select("doc_id", encode("body").alias("ids"))
+    return id_and_text(docs).where("doc_id is not null").mapInArrow(encode, "doc_id long, ids binary")
 
 
 def id_counts(ids: DataFrame, dtype: str) -> DataFrame:
@@ -125,16 +142,18 @@ def id_counts(ids: DataFrame, dtype: str) -> DataFrame:
 
     def count(batches):
         total = np.zeros(0, dtype=np.int64)
-        for pdf in batches:
-            for b in pdf["ids"]:
-                c = np.bincount(np.frombuffer(b, dtype=dtype))
+        for batch in batches:
+            own = batch["ids"]
+            if len(own):
+                offsets = np.frombuffer(own.buffers()[1], dtype=np.int32)[own.offset : own.offset + len(own) + 1]
+                c = np.bincount(np.frombuffer(own.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]].view(dtype))
                 if len(c) > len(total):
-                    c, total = total, c.astype(np.int64)
+                    c, total = total, c
                 total[: len(c)] += c
         at = np.flatnonzero(total)
-        yield pd.DataFrame({"id": at.astype(np.int64), "n": total[at]})
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
 
-    return ids.select("ids").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return ids.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
@@ -175,10 +194,8 @@ class Code:
         self.code[self.ids] = (first >> (self.bits - lens)).astype(np.uint64)
         self.length[self.ids] = lens
         spans = 1 << (self.bits - lens)
-        self.symbol = np.zeros(1 << self.bits, dtype=np.uint32)
-        self.step = np.ones(1 << self.bits, dtype=np.int64)
-        self.symbol[: spans.sum()] = np.repeat(self.ids, spans)
-        self.step[: spans.sum()] = np.repeat(lens, spans)
+        self.entry = np.ones(1 << self.bits, dtype=np.int64)  # the id and, in the last LENGTH_BITS bits, the length of its code
+        self.entry[: spans.sum()] = np.repeat(self.ids << LENGTH_BITS | lens, spans)
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray, int]:
         """The bits, the bit offset of every LANE_IDS-th id, and how many bits there are."""
@@ -203,21 +220,22 @@ class Code:
 
     def decode(self, data: bytes, checkpoints: np.ndarray, n: int) -> np.ndarray:
         """All lanes between checkpoints advance together, one id each a step."""
-        raw = np.frombuffer(data + b"\0" * 8, dtype=np.uint8).astype(np.uint64)
-        window = (raw[:-4] << np.uint64(32)) | (raw[1:-3] << np.uint64(24)) | (raw[2:-2] << np.uint64(16)) | (raw[3:-1] << np.uint64(8)) | raw[4:]
-        at, lanes = checkpoints.astype(np.int64).copy(), len(checkpoints)
+        window = np.ndarray(len(data), dtype=">u8", buffer=data + b"\0" * 8, strides=(1,))  # eight bytes from every byte on
+        at, lanes = checkpoints.astype(np.int64), len(checkpoints)
         out = np.zeros((LANE_IDS, lanes), dtype=np.uint32)
-        mask = np.uint64((1 << self.bits) - 1)
+        mask, shift, last = (1 << self.bits) - 1, 64 - self.bits, (1 << LENGTH_BITS) - 1
         for k in range(min(LANE_IDS, n)):
             live = lanes if (lanes - 1) * LANE_IDS + k < n else lanes - 1
             pos = at[:live]
-            look = (window[pos >> 3] >> (40 - self.bits - (pos & 7)).astype(np.uint64)) & mask
-            out[k, :live] = self.symbol[look]
-            at[:live] += self.step[look]
+            look = (window[pos >> 3].astype(np.uint64) >> (shift - (pos & 7)).astype(np.uint64)).view(np.int64) & mask
+            found = self.entry[look]
+            out[k, :live] = found >> LENGTH_BITS
+            pos += found & last
         return out.T.reshape(-1)[:n]
 
 
 BLOCKS = "shard int, block int, start_in_shard long, n_ids long, n_bits long, doc_ids array<long>, doc_tokens array<long>, checkpoints array<long>, payload binary"
+BLOCK_SCHEMA = pa.schema([(n, {"int": pa.int32(), "long": pa.int64(), "array<long>": pa.list_(pa.int64()), "binary": pa.binary()}[t]) for n, t in map(str.split, BLOCKS.split(", "))])
 
 
 def write_tokens(docs: DataFrame, path: str, end_id: int, max_bits: int = MAX_BITS) -> tuple[DataFrame, DataFrame]:
@@ -238,32 +256,38 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, max_bits: int = MAX_BI
     table = spark.sparkContext.broadcast((counts["id"].to_numpy(dtype=np.int64), lengths))
 
     def pack(batches):
-        _tokenizers.clear()  # a worker that has tokenised needs that memory no more
-        coder, shard, state = Code(*table.value), TaskContext.get().partitionId(), {"start": 0, "block": 0}
-        held: list[tuple[int, np.ndarray]] = []
-
-        def close():
-            n = [len(x) for _, x in held]
-            data, marks, bits = coder.encode(np.concatenate([x for _, x in held]))
-            row = (shard, state["block"], state["start"], sum(n), bits, [i for i, _ in held], n, marks, data)
-            state["start"] += sum(n)
-            state["block"] += 1
-            held.clear()
-            return pd.DataFrame([row], columns=[c.split()[0] for c in BLOCKS.split(", ")])
-
-        size = 0
-        for pdf in batches:
-            for i, b in zip(pdf["doc_id"], pdf["ids"], strict=True):
-                held.append((i, np.frombuffer(b, dtype=dtype)))
-                size += len(held[-1][1])
+        coder, shard, block, start = Code(*table.value), TaskContext.get().partitionId(), 0, 0
+        docs, sizes, parts = [], [], []
+
+        def close(n):
+            """A row of the first n documents held."""
+            nonlocal docs, sizes, parts, block, start
+            held, own = np.concatenate(parts), np.array(sizes[:n], dtype=np.int64)
+            size = int(own.sum())
+            data, marks, bits = coder.encode(held[:size])
+            row = {"shard": shard, "block": block, "start_in_shard": start, "n_ids": size, "n_bits": bits, "doc_ids": docs[:n], "doc_tokens": own, "checkpoints": marks, "payload": data}
+            docs, sizes, parts, block, start = docs[n:], sizes[n:], [held[size:]], block + 1, start + size
+            return pa.RecordBatch.from_pylist([row], schema=BLOCK_SCHEMA)
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            own = batch["ids"]
+            offsets = np.frombuffer(own.buffers()[1], dtype=np.int32)[own.offset : own.offset + len(own) + 1]
+            parts.append(np.frombuffer(own.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]].view(dtype))
+            docs += batch["doc_id"].to_pylist()
+            sizes += (np.diff(offsets) // parts[-1].itemsize).tolist()
+            size = n = 0
+            for k, x in enumerate(list(sizes), 1):
+                size += x
                 if size >= BLOCK_IDS:
-                    yield close()
-                    size = 0
-        if held:
-            yield close()
+                    yield close(k - n)
+                    size, n = 0, k
+        if docs:
+            yield close(len(docs))
 
     ordered = ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return written(ordered.mapInPandas(pack, BLOCKS), "token-blocks"), code
+    return written(ordered.mapInArrow(pack, BLOCKS), "token-blocks"), code
 
 
 def read_tokens(blocks: DataFrame, code: DataFrame) -> DataFrame:
@@ -276,19 +300,18 @@ def read_tokens(blocks: DataFrame, code: DataFrame) -> DataFrame:
 
     def unpack(batches):
         coder = Code(*table.value)
-        for pdf in batches:
-            for r in pdf.itertuples():
-                ids = coder.decode(r.payload, np.asarray(r.checkpoints), int(r.n_ids))
-                ends = np.cumsum(r.doc_tokens)
-                start = before[r.shard] + r.start_in_shard
-                yield pd.DataFrame({"doc_id": r.doc_ids, "start": start + ends - r.doc_tokens, "ids": [ids[e - n : e].astype("<u4").tobytes() for e, n in zip(ends, r.doc_tokens, strict=True)]})
+        for batch in batches:
+            for r in batch.to_pylist():
+                ids = coder.decode(r["payload"], np.array(r["checkpoints"]), r["n_ids"])
+                sizes = np.array(r["doc_tokens"])
+                ends = np.cumsum(sizes)
+                offsets = np.append(0, ends * ids.itemsize).astype(np.int32)
+                binary = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids, dtype="<u4"))])
+                yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(before[r["shard"]] + r["start_in_shard"] + ends - sizes), binary], names=["doc_id", "start", "ids"])
 
-    return blocks.mapInPandas(unpack, "doc_id long, start long, ids binary")
+    return blocks.mapInArrow(unpack, "doc_id long, start long, ids binary")
 
 
 def digests(tokens: DataFrame) -> DataFrame:
-    @F.pandas_udf("long")
-    def crc(ids: pd.Series) -> pd.Series:
-        return ids.map(zlib.crc32)
-
-    return tokens.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), crc("ids").alias("ids_crc32"))
+    """(doc_id, start, n_tokens, ids_crc32) of each document's ids as read back."""
+    return tokens.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))

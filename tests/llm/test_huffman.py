@@ -3,10 +3,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from siftpage.llm.huffman import LANE_IDS, Code, WordTokenizer, code_lengths, digests, read_tokens, write_tokens
+from siftpage.llm.huffman import LANE_IDS, Code, WordTokenizer, code_lengths, digests, read_tokens, slices, write_tokens
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -35,17 +36,17 @@ def test_code_round_trip(n):
     assert len(data) == (bits + 7) // 8 and (code.decode(data, marks, n) == xs).all()
 
 
-def test_word_cache_gives_the_library_ids(texts):
-    lib, own = Tokenizer.from_file(PATH), WordTokenizer(PATH)
-    for t in [t or "" for _, t in texts] + ["Ünïcode, a.b c., 's it's x's\tq r\nÁ ét 1st", "ﬁ ŉ ǆ.", "a,,", ".", " , ."]:
-        assert np.frombuffer(own([t])[0], dtype="<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
+ODD = ["Ünïcode, a.b c., 's it's x's\tq r\nÁ ét 1st", "ﬁ ŉ ǆ.", "a,,", ".", " , .", "İ. ΑΣ, Σ", "e\u0301, e\u0301.", "x.\n\ny,", ""]
 
 
-def test_full_word_cache_starts_over(monkeypatch, texts):
-    monkeypatch.setattr("siftpage.llm.huffman.CACHED_WORDS", 40)
+@pytest.mark.parametrize("dtype", ["<u2", "<u4"])
+def test_slices_give_the_library_ids(texts, dtype):
     lib, own = Tokenizer.from_file(PATH), WordTokenizer(PATH)
-    for t in [t or "" for _, t in texts if t is None or len(t) < 9000]:
-        assert np.frombuffer(own([t, "a b", t])[2], dtype="<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
+    every = [t or "" for _, t in texts] + ODD
+    array = pa.array(["skip me"] + every).slice(1)
+    for most in (1, 5000, 1 << 24):
+        got = [b for at, n in slices(array, most) for b in own(array.slice(at, n), 2, dtype).to_pylist()]
+        assert [np.frombuffer(b, dtype=dtype).tolist() for b in got] == [[*lib.encode(t, add_special_tokens=False).ids, 2] for t in every]
 
 
 def test_files_round_trip_in_order(make_docs, texts):
