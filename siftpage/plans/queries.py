@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _q = lambda s: "'" + s.replace("'", "''") + "'"
-_VISIBLE = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '(?is)<script\b.*?</script>', ' ', 'g'), '(?is)<style\b.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
+_VISIBLE = "trim(regexp_replace(regexp_replace(regexp_replace({0}, " + _q(P.CODE_BLOCK) + r", ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
 _HOST = r"lower(regexp_extract({0}, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1))"
 _NORM = r"regexp_replace(split_part({0}, '#', 1), '/+$', '')"
 _SITE = "array_to_string(list_slice(string_split(regexp_replace(" + _HOST + r", '^www\.', ''), '.'), -2, -1), '.')"
@@ -38,39 +38,32 @@ def vis1_visible_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.length(visible_text(F.col("html"))).alias("visible_length"))
 
 
-def _gate_sql() -> str:
-    m = lambda p: f"regexp_matches(html, {_q(p)})"
-    rungs = [(m(P.TURNSTILE), "anti_bot", "turnstile"), (m(P.AKAMAI), "anti_bot", "akamai_bmp"), (f"{m(P.ANUBIS)} AND short", "anti_bot", "anubis"), (m(P.REDDIT), "block_page_detected", "reddit_interstitial"), (m(P.BAXIA), "anti_bot", "alibaba_punish"), (m(P.CAPTCHA), "block_page_detected", "captcha_redirect"), (m(P.VHOST), "block_page_detected", "default_vhost_page"), (f"short AND {m(P.CF)}", "block_page_detected", "cf_iuam"), (f"short AND {m(P.BLOCK)}", "block_page_detected", None), (f"short AND {m(P.SCRIPT)} AND {m(P.SHELL)}", "length_floor", "js_required"), ("short AND length(md) < 32 AND NOT contains(lower(html), 'application/ld+json')", "blank_page", None), (f"short AND (regexp_matches(md, {_q(P.EMPTY)}) OR {m(P.EMPTY)})", "length_floor", "empty_result"), ("short", "length_floor", "thin_fallthrough")]
+def gate_sql(pages: str, key: str) -> str:
+    """SQL over pages (key, md, html, content_type) that adds verdict, subsystem and next_tier."""
+    m = lambda p, c="html": f"regexp_matches({c}, {_q(p)})"
+    rungs = [
+        ("coalesce(content_type, '') <> '' AND NOT contains(lower(content_type), 'html')", "content_type_mismatch", None, None),
+        (m(P.TURNSTILE), "anti_bot", "turnstile", "browser"), (m(P.AKAMAI), "anti_bot", "akamai_bmp", "browser"), (f"{m(P.ANUBIS)} AND short", "anti_bot", "anubis", "browser"),
+        (m(P.REDDIT), "block_page_detected", "reddit_interstitial", None), (m(P.BAXIA), "anti_bot", "alibaba_punish", "browser"), (m(P.CAPTCHA), "block_page_detected", "captcha_redirect", None), (m(P.VHOST), "block_page_detected", "default_vhost_page", None),
+        (f"short AND {m(P.CF)}", "block_page_detected", "cf_iuam", "tls_impersonate"), (f"short AND {m(P.BLOCK)}", "block_page_detected", None, None), (f"short AND {m(P.SCRIPT)} AND {m(P.SHELL)}", "length_floor", "js_required", "browser"),
+        (f"short AND length({_VISIBLE.format('html')}) < 32 AND NOT {m(P.LD_JSON)}", "blank_page", None, "browser"), (f"short AND ({m(P.EMPTY, 'md')} OR {m(P.EMPTY)})", "length_floor", "empty_result", None), ("short", "length_floor", "thin_fallthrough", None),
+    ]
     case = lambda k: "CASE " + " ".join(f"WHEN {r[0]} THEN {_q(r[k]) if r[k] else 'NULL'}" for r in rungs)
-    return f"WITH p AS (SELECT page_id, html, {_VISIBLE.format('html')} AS md FROM pages), s AS (SELECT *, length(md) < 500 AS short FROM p) SELECT page_id, {case(1)} ELSE 'ok' END AS verdict, {case(2)} END AS subsystem FROM s"
+    return f"SELECT {key}, md, {case(1)} ELSE 'ok' END AS verdict, {case(2)} END AS subsystem, {case(3)} END AS next_tier FROM (SELECT *, length(md) < 500 AS short FROM {pages})"
 
 
-@query(_gate_sql())
+@query(f"SELECT page_id, verdict, subsystem, next_tier FROM ({gate_sql(f'(SELECT page_id, html, {_VISIBLE.format("html")} AS md, NULL AS content_type FROM pages)', 'page_id')})")
 def gat_page_gate(spark, sf_dir):
     html = F.col("html")
-    return table(spark, sf_dir, "pages").select("page_id", gate(visible_text(html), html, F.lit("text/html")).alias("g")).select("page_id", "g.verdict", "g.subsystem")
+    return table(spark, sf_dir, "pages").select("page_id", gate(visible_text(html), html, F.lit("text/html")).alias("g")).select("page_id", "g.*")
 
 
-@query(f"SELECT page_id, {_HOST.format('url')} AS host, {_SITE.format('url')} AS site, {_NORM.format('url')} AS target, regexp_matches(url, '\\?[^#]') OR regexp_matches(url, '(?i)^[^?#]*/(search|find|s|q|results)(/|$|[?#])') AS search_shaped FROM pages")
+@query(f"SELECT page_id, {_HOST.format('url')} AS host, {_SITE.format('url')} AS site, {_NORM.format('url')} AS target, regexp_matches(url, '^[^?#]*\\?[^#]') OR regexp_matches(url, '(?i)^[^?#]*/(search|arama|ara|results|sr|find|query)(/|$|[?#])') AS search_shaped FROM pages")
 def url_parts(spark, sf_dir):
     url = F.col("url")
     return table(spark, sf_dir, "pages").select("page_id", links.host(url).alias("host"), links.site(url).alias("site"), links.normalised(url).alias("target"), links.search_shaped(url).alias("search_shaped"))
 
 
-@query(rf"""
-    WITH a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href="([^"]*)"[^>]*>.*?</a>')) AS a, generate_subscripts(regexp_extract_all(html, '(?is)<a\s[^>]*?href="([^"]*)"[^>]*>.*?</a>'), 1) AS pos FROM pages),
-    b AS (SELECT page_id, url, pos, regexp_extract(a, '(?is)href="([^"]*)"', 1) AS href, trim(regexp_replace(regexp_replace(a, '(?s)<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS label FROM a),
-    c AS (SELECT *, regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1) AS root FROM b WHERE href <> '' AND href NOT LIKE '#%' AND NOT regexp_matches(lower(href), '^(javascript|data):')),
-    d AS (SELECT *, {_NORM.format("CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href WHEN href LIKE '/%' THEN root || href ELSE root || '/' || href END")} AS key FROM c),
-    l AS (SELECT page_id, url, key, label, min(pos) AS p FROM d WHERE key <> {_NORM.format('url')} GROUP BY ALL),
-    e AS (SELECT page_id, url, key, min(p) AS first, string_agg(label, ' | ' ORDER BY p) AS labels FROM l GROUP BY ALL),
-    h AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY first) AS handle FROM e)
-    SELECT page_id, handle, key AS href, labels, {_SITE.format('key')} <> {_SITE.format('url')} AS off_domain FROM h WHERE handle <= 200
-""")
-def agg26_link_digest(spark, sf_dir):
-    return links.digest(table(spark, sf_dir, "pages"))
-
-
 _LOG = "SELECT user_id AS fetch_id, event_id AS seq, CASE WHEN event_id % 3 = 0 THEN 'gate_outcome' ELSE 'tier_outcome' END AS kind, CASE event_id % 7 WHEN 0 THEN 'not_found' WHEN 1 THEN 'paywall' WHEN 2 THEN 'timeout' WHEN 3 THEN 'anti_bot' WHEN 4 THEN 'length_floor' WHEN 5 THEN 'rate_limited' ELSE CASE WHEN user_id % 2 = 0 THEN 'ok' ELSE 'other' END END AS verdict, event_id % 5 = 0 AS authoritative FROM events"
 
 
@@ -81,11 +74,15 @@ def _log(spark, sf_dir) -> DataFrame:
 _RANKS = "map {" + ", ".join(f"'{k}': {v}" for k, v in P.VERDICT_RANK.items()) + "}"
 
 
-@query(f"""
-    WITH o AS ({_LOG}), r AS (SELECT *, authoritative::int * 100 + ({_RANKS})[verdict] AS w FROM o),
-    g AS (SELECT fetch_id, bool_or(kind = 'gate_outcome' AND verdict = 'ok') AS gate_ok, bool_or(kind = 'tier_outcome' AND verdict = 'ok') AS tier_ok, bool_or(kind = 'gate_outcome') AS gated, arg_max(verdict, w) FILTER (WHERE kind = 'gate_outcome') AS by_gate, arg_max(verdict, w) AS by_any, count(*) AS observations FROM r GROUP BY fetch_id)
-    SELECT fetch_id, coalesce(CASE WHEN gate_ok OR (tier_ok AND NOT gated) THEN 'ok' WHEN tier_ok THEN by_gate ELSE by_any END, 'other') AS verdict, observations FROM g
-""")
+def resolve_sql(log: str) -> str:
+    """SQL over a log: the facts by which a fetch resolves, and its verdict."""
+    best = lambda on: f"arg_max(verdict, authoritative::int * 100 + ({_RANKS})[verdict]) FILTER (WHERE authoritative OR ({on}))"
+    return f"""SELECT *, coalesce(CASE WHEN gate_ok OR (tier_ok AND NOT gated) THEN 'ok' WHEN tier_ok THEN by_gate ELSE by_tier END, 'other') AS verdict FROM (
+        SELECT fetch_id, bool_or(kind = 'gate_outcome' AND verdict = 'ok') AS gate_ok, bool_or(kind = 'tier_outcome' AND verdict = 'ok') AS tier_ok, bool_or(kind = 'gate_outcome') AS gated,
+        {best("kind = 'gate_outcome'")} AS by_gate, {best("kind = 'tier_outcome' AND verdict <> 'ok'")} AS by_tier, count(*) AS observations FROM {log} GROUP BY fetch_id)"""
+
+
+@query(f"SELECT fetch_id, verdict, observations FROM ({resolve_sql(f'({_LOG})')})")
 def agg1_resolve_verdicts(spark, sf_dir):
     return log.resolve_verdicts(_log(spark, sf_dir))
 
