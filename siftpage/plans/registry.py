@@ -1,6 +1,6 @@
 """All registered queries: importing a module of plans adds its own."""
 
-from siftpage.plans import completing, decisions, evaluation, gatekeeping, linking, retrieval  # noqa: F401
+from siftpage.plans import completing, decisions, evaluation, gatekeeping, linking, retrieval, scalar_rules  # noqa: F401
 from siftpage.plans.queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
