@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,3 +44,13 @@ def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[n
     ends = np.cumsum(sizes)
     total = int(ends[-1]) if len(ends) else 0
     return values[np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - sizes), sizes)], ends
+
+
+def slices(texts: pa.Array, most: int):
+    """(start, length) of slices of a string array with about `most` bytes each, one text at least."""
+    ends = np.append(0, np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
+        yield at, to - at
+        at = to

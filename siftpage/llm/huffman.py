@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gather, id_and_text, written
+from .common import gather, id_and_text, slices, written
 
 MAX_BITS = 18  # longest code; raised where a vocabulary has more ids than that many bits can tell apart
 BLOCK_IDS = 1 << 18  # ids of a block, unless its last document has more
@@ -108,16 +108,6 @@ def tokenizer(path: str) -> WordTokenizer:
     return _tokenizers[path]
 
 
-def slices(texts: pa.Array, most: int = SLICE_BYTES):
-    """(start, length) of slices of a string array with about `most` bytes each, one text at least."""
-    ends = np.append(0, np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)))
-    at = 0
-    while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
-        yield at, to - at
-        at = to
-
-
 def id_type(path: str, end_id: int) -> str:
     """Ids between the steps take two bytes where all fit."""
     return "<u2" if max(tokenizer(path).size, end_id + 1) <= 1 << 16 else "<u4"
@@ -131,7 +121,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         own = tokenizer(path)
         for batch in batches:
             texts = batch["body"]
-            for at, n in slices(texts):
+            for at, n in slices(texts, SLICE_BYTES):
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(at, n), own(texts.slice(at, n), end_id, dtype)], names=["doc_id", "ids"])
 
     return id_and_text(docs).where("doc_id is not null").mapInArrow(encode, "doc_id long, ids binary")

@@ -25,10 +25,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    coded = pieces.encode(table(spark, sf_dir, "documents"), path)
-    text = pieces.decoder(spark, path)("ids")
-    return coded.select("doc_id", F.size("ids").alias("n_ids"), pieces.ids_crc32("ids").alias("ids_crc32"), F.md5(text).alias("decoded_md5"))
+    return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

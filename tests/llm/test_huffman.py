@@ -7,7 +7,8 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from siftpage.llm.huffman import LANE_IDS, Code, WordTokenizer, code_lengths, digests, read_tokens, slices, write_tokens
+from siftpage.llm.common import slices
+from siftpage.llm.huffman import LANE_IDS, Code, WordTokenizer, code_lengths, digests, read_tokens, write_tokens
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
