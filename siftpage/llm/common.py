@@ -54,3 +54,18 @@ def slices(texts: pa.Array, most: int):
         to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
         yield at, to - at
         at = to
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    mark = "_"
+    while any((mark + n).lower() in taken or ("_" + mark + n).lower() in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is not in the one column of ids, with all their columns."""
+    gone = ids.toDF(*fresh(docs, "gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone[gone.columns[0]], "left_anti")

@@ -1,6 +1,7 @@
 from collections import Counter
 
 import xxhash
+from pyspark.sql import functions as F
 
 from siftpage.llm.chunks import LEAST, MIN_WORDS, cut_points, drop_repeats, gear_table, repeated_spans
 
@@ -44,9 +45,18 @@ def test_spans_match_brute_force(make_docs, texts):
     assert xxhash.xxh3_128_digest(b"") and repeated_spans(make_docs([])).count() == 0
 
 
+def test_rows_of_one_id_are_texts_of_their_own(make_docs, texts):
+    long, passage = texts[3][1][:1500], dict(texts[:-1])[62]
+    docs = make_docs([(1, passage), (1, "other words " + passage + " and an end"), (1, passage), (2, long), (2, long), (None, passage)])
+    got = sorted((r.doc_id, r.removed_bytes > 100, r.keepers) for r in repeated_spans(docs).collect() if r.doc_id == 1)
+    assert [k for *_, k in got].count([]) == 1 and sum(cut for _, cut, _ in got) == 2
+    out = drop_repeats(docs)
+    assert out.columns == docs.columns and out.count() == 6 and [r.text for r in out.where("doc_id = 2").collect()] == [long, long]
+
+
 def test_drop_cuts_later_copies(make_docs, texts):
-    docs = make_docs(texts[:-1])
-    got, passage = {r.doc_id: r.text for r in drop_repeats(docs).collect()}, texts[52][1]
+    docs = make_docs(texts).withColumns({c: F.lit(7) for c in ("_id", "__same", "_spans", "digests", "rid")})
+    got, passage = {r.doc_id: r.text for r in drop_repeats(docs).where("doc_id <> 21").collect()}, texts[52][1]
     assert drop_repeats(docs).columns == docs.columns
     assert got[60] == dict(texts)[60] and len(got[61]) < len(dict(texts)[61]) - 100 and len(got[62]) < len(passage)
     assert got[0] is None and got[1] == ""
