@@ -5,10 +5,10 @@ from __future__ import annotations
 from bisect import bisect_left
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, written
+from .common import fresh, id_and_text, written
 
 RARE = 16  # a line is rare that at most so many documents hold
 MIN_CHARS = 20  # of a line that can bring two documents together or be removed
@@ -64,7 +64,7 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
 
 
 def line_matches(docs: DataFrame, rare: int = RARE, min_chars: int = MIN_CHARS, passage_words: int = PASSAGE_WORDS) -> DataFrame:
-    """One row per document: doc_id, n_lines, removed (places of lines to delete, ascending), partners (earlier doc_ids).
+    """One row per row of docs: doc_id, n_lines, removed (places of lines to delete, ascending), partners (earlier doc_ids).
 
     Lines are what line feeds part, compared by 128-bit hash after trimming spaces; lines under min_chars characters bring
     nobody together. Every line links a document to the earliest document that holds the line, so there are no more pairs
@@ -74,24 +74,31 @@ def line_matches(docs: DataFrame, rare: int = RARE, min_chars: int = MIN_CHARS,
     document to the earliest holder of the block, so a block is found though each of its lines was first held elsewhere.
     Removed are the aligned lines of the later document that are min_chars long or stand between such lines. Copies of a
     text are aligned with the first.
-    Null and empty text is one empty line; repeated rows of a doc_id count as one document with the lines of both; rows
-    without doc_id are left out; an empty table gives an empty result.
+    Null and empty text is one empty line; rows of one doc_id are documents of their own, told apart and ordered by a hash
+    of the text, and rows equal in both count as one holder; rows without doc_id are left out; an empty table gives an
+    empty result.
     """
-    each = id_and_text(docs).where("doc_id is not null").select("doc_id", F.posexplode(F.split("body", "\n", -1)).alias("pos", "line"))
-    line = F.trim("line")
-    hashed = each.select("doc_id", "pos", F.unhex(F.md5(line)).alias("h"), (F.length(line) >= min_chars).alias("long"), (F.size(F.split(line, r"\s+")) >= passage_words).alias("passage"))
-    lists = written(hashed.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "h", "long", "passage"))).alias("ls")), "line-lists")
-    ls = lists.select("doc_id", F.explode("ls").alias("l")).where("l.long").select("doc_id", F.col("l.h").alias("h"), F.col("l.passage").alias("passage")).distinct()
-    holders = ls.groupBy("h").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    pairs = ls.join(holders, "h").where("doc_id <> first").groupBy("doc_id", "first").agg(F.count(F.lit(1)).alias("shared"), F.min("n").alias("rarest"), F.bool_or("passage").alias("passage"))
-    pairs = pairs.where((F.col("rarest") <= rare) | (F.col("shared") >= 2) | F.col("passage")).select("doc_id", "first")
+    return _matches(docs, rare, min_chars, passage_words).drop("same")
+
+
+def _matches(docs: DataFrame, rare: int, min_chars: int, passage_words: int) -> DataFrame:
+    def hashed(line: Column) -> Column:
+        line = F.trim(line)
+        return F.struct(F.unhex(F.md5(line)).alias("h"), (F.length(line) >= min_chars).alias("long"), (F.size(F.split(line, r"\s+")) >= passage_words).alias("passage"))
+
+    row = F.struct("doc_id", F.unhex(F.md5("body")).alias("same"))
+    lists = written(id_and_text(docs).where("doc_id is not null").select(row.alias("r"), F.transform(F.split("body", "\n", -1), hashed).alias("ls")), "line-lists")
+    ls = lists.select("r", F.explode("ls").alias("l")).where("l.long").select("r", F.col("l.h").alias("h"), F.col("l.passage").alias("passage")).distinct()
+    holders = ls.groupBy("h").agg(F.min("r").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    pairs = ls.join(holders, "h").where("r <> first").groupBy("r", "first").agg(F.count(F.lit(1)).alias("shared"), F.min("n").alias("rarest"), F.bool_or("passage").alias("passage"))
+    pairs = pairs.where((F.col("rarest") <= rare) | (F.col("shared") >= 2) | F.col("passage")).select("r", "first")
     long = F.transform(F.filter("ls", lambda l: l["long"]), lambda l: l["h"])
     two = F.zip_with(F.slice("hs", 1, F.size("hs") - 1), F.slice("hs", 2, F.size("hs") - 1), lambda x, y: F.unhex(F.md5(F.concat(x, y))))
-    blocks = lists.select("doc_id", long.alias("hs")).where("size(hs) > 1").select("doc_id", F.explode(F.array_distinct(two)).alias("b"))
-    holding = blocks.groupBy("b").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("b", "first")
-    pairs = pairs.union(blocks.join(holding, "b").where("doc_id <> first").select("doc_id", "first")).distinct()
-    mine = lists.select("doc_id", F.transform("ls", lambda l: F.struct(l["h"].alias("h"), l["long"].alias("long"))).alias("later"))
-    theirs = lists.select(F.col("doc_id").alias("first"), F.transform("ls", lambda l: l["h"]).alias("earlier"))
+    blocks = lists.select("r", long.alias("hs")).where("size(hs) > 1").select("r", F.explode(F.array_distinct(two)).alias("b"))
+    holding = blocks.groupBy("b").agg(F.min("r").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("b", "first")
+    pairs = pairs.union(blocks.join(holding, "b").where("r <> first").select("r", "first")).distinct()
+    mine = lists.select("r", F.transform("ls", lambda l: F.struct(l["h"].alias("h"), l["long"].alias("long"))).alias("later"))
+    theirs = lists.select(F.col("r").alias("first"), F.transform("ls", lambda l: l["h"]).alias("earlier"))
 
     @F.pandas_udf("array<int>")
     def align(later: pd.Series, earlier: pd.Series) -> pd.Series:
@@ -109,16 +116,17 @@ def line_matches(docs: DataFrame, rare: int = RARE, min_chars: int = MIN_CHARS,
             out.append(keep)
         return pd.Series(out)
 
-    aligned = pairs.join(mine, "doc_id").join(theirs, "first").select("doc_id", "first", align("later", "earlier").alias("gone")).where("size(gone) > 0")
-    gone = aligned.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("removed"), F.array_sort(F.collect_list("first")).alias("partners"))
+    aligned = pairs.join(mine, "r").join(theirs, "first").select("r", "first", align("later", "earlier").alias("gone")).where("size(gone) > 0")
+    gone = aligned.groupBy("r").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("removed"), F.array_sort(F.collect_set("first.doc_id")).alias("partners"))
     empty = F.array().cast("array<int>"), F.array().cast("array<long>")
-    return lists.select("doc_id", F.size("ls").alias("n_lines")).join(gone, "doc_id", "left").select("doc_id", "n_lines", F.coalesce("removed", empty[0]).alias("removed"), F.coalesce("partners", empty[1]).alias("partners"))
+    return lists.select("r", F.size("ls").alias("n_lines")).join(gone, "r", "left").select("r.doc_id", "r.same", "n_lines", F.coalesce("removed", empty[0]).alias("removed"), F.coalesce("partners", empty[1]).alias("partners"))
 
 
 def drop_lines(docs: DataFrame, rare: int = RARE, min_chars: int = MIN_CHARS) -> DataFrame:
     """The documents without the removed lines. A document of which nothing is left stays with an empty text."""
-    gone = line_matches(docs, rare, min_chars).where("size(removed) > 0").select(F.col("doc_id").alias("__id"), F.col("removed").alias("__gone"))
-    joined = docs.join(gone, docs["doc_id"] == F.col("__id"), "left")
+    names = fresh(docs, "id", "same", "removed")
+    gone = _matches(docs, rare, min_chars, PASSAGE_WORDS).where("size(removed) > 0").select("doc_id", "same", "removed").distinct().toDF(*names)
+    joined, removed = docs.join(gone, (docs["doc_id"] == gone[names[0]]) & (F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")))) == gone[names[1]]), "left"), F.col(names[2])
     lines = F.split("text", "\n", -1)
-    kept = F.array_join(F.transform(F.filter(F.transform(lines, lambda l, i: F.struct(l.alias("l"), i.alias("i"))), lambda x: ~F.array_contains("__gone", x["i"])), lambda x: x["l"]), "\n")
-    return joined.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)).drop("__id", "__gone")
+    kept = F.array_join(F.transform(F.filter(F.transform(lines, lambda l, i: F.struct(l.alias("l"), i.alias("i"))), lambda x: ~F.array_contains(removed, x["i"])), lambda x: x["l"]), "\n")
+    return joined.withColumn("text", F.when(removed.isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)

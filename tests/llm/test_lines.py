@@ -1,6 +1,8 @@
 import difflib
 import random
 
+from pyspark.sql import functions as F
+
 from siftpage.llm.lines import drop_lines, line_matches, patience
 
 
@@ -43,7 +45,16 @@ def test_one_frequent_line_is_layout_but_two_are_overlap(make_docs):
 
 def test_empty_table_and_repeated_rows(make_docs):
     assert line_matches(make_docs([])).count() == 0
-    assert line_matches(make_docs([(1, line("a")), (1, line("a"))])).count() == 1
+    docs = make_docs([(1, line("a")), (1, line("a")), (2, f"{line('x')}\n{line('p')}\n{line('q')}"), (3, f"{line('p')}\n{line('q')}"), (3, f"{line('z')}\n{line('y')}\n{line('p')}\n{line('q')}"), (None, line("a"))])
+    got = sorted((r.doc_id, r.n_lines, r.removed, r.partners) for r in line_matches(docs).collect())
+    assert got == [(1, 1, [], []), (1, 1, [], []), (2, 3, [], []), (3, 2, [0, 1], [2]), (3, 4, [2, 3], [2])]
+    assert sorted(r.text for r in drop_lines(docs).where("doc_id = 3").collect()) == ["", f"{line('z')}\n{line('y')}"]
+
+
+def test_clashing_names(make_docs):
+    docs = make_docs([(1, f"{line('a')}\n{line('b')}"), (2, f"{line('a')}\n{line('b')}")]).withColumns({c: F.lit(7) for c in ("_id", "__id", "_same", "_removed", "ls", "r", "first", "body")})
+    out = drop_lines(docs)
+    assert out.columns == docs.columns and {r.doc_id: (r.text, r._id, r.ls) for r in out.collect()} == {1: (f"{line('a')}\n{line('b')}", 7, 7), 2: ("", 7, 7)}
 
 
 def test_a_frequent_passage_or_block_leaves_all_but_its_first_holder(make_docs):
