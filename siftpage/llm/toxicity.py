@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, written
+from .common import id_and_text, without, written
 
 TERMS = 512  # words of the index, at most: those tied closest to the label
 LEAST_DOCS = 5  # training documents that such a word is in
@@ -44,19 +46,23 @@ class BlockMaxIndex:
         self.most = self.weights.max(axis=2)
 
     def top(self, terms: list[int], k: int) -> list[tuple[int, float]]:
-        """(example, cosine) of the k nearest with a cosine above zero, nearest first, ties by example."""
+        """(example, cosine) of the k nearest with a cosine above zero and of all that are as near as the k-th, nearest first."""
         if not terms or not self.n:
             return []
         q = self.idf[terms] / np.sqrt((self.idf[terms] ** 2).sum())
         bound = q @ self.most[terms]
-        best: list[tuple[float, int]] = []
+        places, cosines, least = np.zeros(0, dtype=np.int64), np.zeros(0), 0.0
         for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == k and bound[b] + 1e-12 < -best[-1][0]:
+            if bound[b] <= 0 or bound[b] + 1e-11 < least:
                 break
             cos = np.round(q @ self.weights[terms, b], 12)
-            hit = np.flatnonzero(cos > 0)
-            best = sorted(best + [(-float(cos[j]), int(self.order[b * BLOCK + j])) for j in hit])[:k]
-        return [(i, -c) for c, i in best]
+            hit = np.flatnonzero((cos > 0) & (cos >= least))
+            places, cosines = np.concatenate([places, self.order[b * BLOCK + hit]]), np.concatenate([cosines, cos[hit]])
+            if len(cosines) >= k:
+                least = np.partition(cosines, len(cosines) - k)[len(cosines) - k]
+        near = np.flatnonzero(cosines >= least)
+        near = near[np.lexsort((places[near], -cosines[near]))]
+        return list(zip(places[near].tolist(), cosines[near].tolist(), strict=True))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -65,8 +71,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Learns from labelled rows outside the held-out fold alone. Word statistics of both classes run over all of them, idf
     over all documents; TERMS words with the highest log-likelihood ratio, LEAST_RATIO or more, among those LIFT times as frequent in toxic
     ones make the vectors (a word counts once in a text). The examples are a bounded sample, EXAMPLES of each class in the order
-    of a hash of doc_id, weighted back to the classes' sizes. score = weighted votes of the NEIGHBOURS nearest by cosine,
-    with PRIOR votes at the base rate, so texts without any of the words, null or empty ones too, get the base rate. The
+    of a hash of doc_id, weighted back to the classes' sizes. score = weighted votes of the NEIGHBOURS nearest by cosine and
+    of all others as near as the last of them, with PRIOR votes at the base rate, so texts without any of the words, null or empty ones too, get the base rate. The
     base rate without any label is 0. Rows with a null doc_id are scored, never learnt from; documents with several labels
     count once for each; repeated rows each give a row; empty tables give an empty result.
     """
@@ -96,11 +102,11 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         chosen = marked.where(F.col("y") == y).join(found, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES)
         sample += [(r["doc_id"], y, sorted(place[t] for t in r["terms"])) for r in chosen.select("doc_id", "terms").collect()]  # EXAMPLES rows at most
     weight = {y: n / max(sum(s[1] == y for s in sample), 1) for y, n in ((0, n0), (1, n1))}
-    model = spark.sparkContext.broadcast((vocabulary, idf, sample, weight, share if n1 + n0 else 0.0))
+    model = spark.sparkContext.broadcast((uuid.uuid4().hex, vocabulary, idf, sample, weight, share if n1 + n0 else 0.0))
 
     @F.pandas_udf("score double, evidence array<struct<doc_id:bigint,label:int,cosine:double>>")
     def vote(batches: pd.Series) -> pd.DataFrame:
-        vocabulary, idf, sample, weight, rate = model.value
+        _, vocabulary, _, sample, weight, rate = model.value
         index, place, seen = toxic_index(model), {w: i for i, w in enumerate(vocabulary)}, {}
         rows = []
         for own in batches:
@@ -119,20 +125,18 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "v.score", (F.col("v.score") >= THRESHOLD).cast("int").alias("predicted"), "v.evidence")
 
 
-_indexes: dict[int, BlockMaxIndex] = {}
+_indexes: dict[str, BlockMaxIndex] = {}
 
 
 def toxic_index(model) -> BlockMaxIndex:
-    """Built once a worker for each model."""
-    key = id(model.value)
+    """Built once a worker for each model, which its first value names."""
+    key, _, idf, sample, _, _ = model.value
     if key not in _indexes:
         _indexes.clear()
-        _, idf, sample, _, _ = model.value
         _indexes[key] = BlockMaxIndex([s[2] for s in sample], idf)
     return _indexes[key]
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents not predicted toxic, with all their columns."""
-    bad = score(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(bad, docs["doc_id"] == F.col("__id"), "left_anti")
+    return without(docs, score(docs, labels).where("predicted = 1").select("doc_id"))
