@@ -53,3 +53,62 @@ def test_failures(spark, events):
 def test_first_hints(spark, events):
     once = run(spark, jobs.first_hints(events[1].select("user_id", "event_type", "ts"), ["user_id", "event_type"], "60 days"), "hints", "append")
     assert once.count() == events[0].select("user_id", "event_type").distinct().count()
+
+
+def test_uptake(spark, events):
+    rows = lambda df: df.select(F.col("user_id").alias("target"), "ts", F.when(F.col("event_id") % 10 == 0, F.col("event_id")).alias("id"))
+    batch = rows(events[0])
+    ordered = batch.orderBy("ts").select("target", "ts", "id")
+    assert ordered.count()
+    got = run(spark, jobs.uptake_state(rows(by_time(spark, events))), "uptake", "append")
+    want = log.first_visit_after(batch.where("id is not null").select("id", "target", "ts"), batch.where("id is null").select("target", "ts")).where("followed_at is not null")
+    assert same(got, want.select("id", "target", F.unix_micros("ts").alias("ts"), F.unix_micros("followed_at").alias("followed_at"))) and got.count()
+
+
+def by_time(spark, events):
+    """The events as a stream of three parts in order of time."""
+    import tempfile
+
+    path = tempfile.mkdtemp(prefix="spark-stream-") + "/e"
+    batch = events[0]
+    cuts = batch.select(F.expr("percentile(unix_micros(ts), array(0.33, 0.66))")).first()[0]
+    us = F.unix_micros("ts")
+    for part in (us < cuts[0], (us >= cuts[0]) & (us < cuts[1]), us >= cuts[1]):
+        batch.where(part).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_cache(spark, events):
+    from siftpage.operators import state
+
+    rows = lambda df: df.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), (F.unix_micros("ts") / 1e6).alias("at"), F.when(F.col("event_id") % 2 == 0, F.col("value") * 3600).alias("ttl"))
+    b = rows(events[0])
+    reads = b.where("ttl is null").select(F.col("seq").alias("id"), F.col("key").alias("url"), F.lit("").alias("variant"), "at")
+    writes = b.where("ttl is not null").select(F.col("key").alias("url"), F.lit("").alias("variant"), F.col("at").alias("fetched_at"), "ttl")
+    got = run(spark, jobs.cache_state(rows(by_time(spark, events))), "cache", "append")
+    assert same(got.select(F.col("seq").alias("id"), "hit"), state.cache_hits(reads, writes).select("id", "hit")) and got.where("hit").count()
+
+
+def test_breaker(spark, events):
+    rows = lambda df: df.select(F.col("user_id").alias("host"), F.col("event_id").alias("seq"), F.col("event_id").cast("double").alias("at"), (F.col("value") < 90).alias("failed"))
+    got = {(r.host, r.seq): r.allowed for r in run(spark, jobs.breaker_state(rows(events[1]), 3, 200.0), "breaker", "append").collect()}
+    want, kept = {}, {}
+    for r in sorted(rows(events[0]).collect(), key=lambda r: r.seq):
+        n, until = kept.get(r.host, (0, -1.0))
+        want[r.host, r.seq] = r.at >= until
+        if r.at >= until:
+            n = n + 1 if r.failed else 0
+            kept[r.host] = (n, r.at + 200 if n >= 3 else -1.0)
+    assert got == want and not all(want.values())
+
+
+def test_facts_and_open_cells(spark, events):
+    from siftpage.plans.decisions import OBSERVATIONS
+
+    assert same(jobs.running_facts(OBSERVATIONS.df(spark)), jobs.running_facts(OBSERVATIONS.df(spark).orderBy(F.rand(1))))
+    said = []
+    cells = lambda df: df.select(F.col("event_type").alias("system"), F.col("event_id").alias("cell"), (F.col("event_id") % 3 == 0).alias("ended"))
+    q = jobs.live_summary(cells(events[1]), said.append).trigger(availableNow=True).start()
+    q.awaitTermination()
+    last = {r.system: (r.ended, r.in_flight) for r in jobs.open_cells(cells(events[0])).collect()}
+    assert said[-len(last) :] == [f"{s}: {e} done, {n} in flight" for s, (e, n) in sorted(last.items())]
