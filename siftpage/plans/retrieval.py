@@ -176,6 +176,12 @@ def pln16_deadline(spark, sf_dir):
     return e.groupBy("user_id").agg(F.count_if(F.col("spent") < 500000).alias("dispatched"), F.bool_or(F.col("spent") >= 500000).alias("timed_out"))
 
 
-@query("SELECT user_id, arg_min(event_type, (event_type, event_id)) AS claimant, count(*) - 1 AS refused FROM events GROUP BY user_id")
+# Declared: who may claim the one paid dispatch of a fetch, in order.
+_CLAIMANTS = ["signup", "purchase", "error", "view", "click"]
+
+
+@query(f"SELECT user_id, arg_min(event_type, (coalesce(list_position({_CLAIMANTS}, event_type), 99), event_id)) AS claimant, count(*) - 1 AS refused FROM events GROUP BY user_id")
 def pln13_paid_budget(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.min_by("event_type", F.struct("event_type", "event_id")).alias("claimant"), (F.count(F.lit(1)) - 1).alias("refused"))
+    """The first claimant by the declared order, and by time among its own claims, gets the dispatch."""
+    order = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, _CLAIMANTS)), F.col("event_type")), F.lit(0)), F.lit(99))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.min_by("event_type", F.struct(order, "event_id")).alias("claimant"), (F.count(F.lit(1)) - 1).alias("refused"))
