@@ -138,5 +138,5 @@ def toxic_index(model) -> BlockMaxIndex:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents not predicted toxic, with all their columns."""
-    return without(docs, score(docs, labels).where("predicted = 1").select("doc_id"))
+    """The documents not predicted toxic, with all their columns. A base rate alone, without an example near, drops nothing."""
+    return without(docs, score(docs, labels).where("predicted = 1 and size(evidence) > 0").select("doc_id"))
