@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import fresh, id_and_text
 
 
 def exact_groups(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -32,5 +32,5 @@ def exact_groups(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", tex
 
 def drop_exact(docs: DataFrame, keep: str = "min") -> DataFrame:
     """The documents that stay, with all their columns."""
-    kept = exact_groups(docs, keep).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept_id"]), "left_semi")
+    kept = exact_groups(docs, keep).where("kept").select("doc_id").distinct().toDF(*fresh(docs, "kept"))
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept[kept.columns[0]]), "left_semi")
