@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, written
+from .common import id_and_text, without, written
 
 WINDOW = 8  # canonical tokens, at most; fewer in short items
 LEAST_WINDOW = 4  # tokens of a window in items that have more than one
+STRETCH = 4  # a window may be put together from windows that are shorter by so many tokens at most
 DRIFT = 4  # an alignment may shift by a quarter (1 / DRIFT) of the item's tokens, and by so many at least
 COVERAGE = 0.5  # share of an item's windows that a document must hold
 BROADCAST_ROWS = 200_000  # windows of the benchmark; more are joined by shuffle
@@ -59,7 +60,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     Both sides are canonicalised and cut into windows of `window` tokens. A token put into an item breaks one window less
     than a window has tokens, so items of under about 21 tokens take windows of a third of their length (LEAST_WINDOW at
     least), of which half outlive it; items of fewer than 8 tokens are one window of their own length. Equal window hashes
-    meet in a hash join. A document leaks an item if, in one alignment, it holds `coverage` of the item's windows and every
+    meet in a hash join; longer windows are put together from hits of shorter ones in a row, so each text is hashed once. A document leaks an item if, in one alignment, it holds `coverage` of the item's windows and every
     slot value of the item stands for one value of the document throughout. An alignment takes hits at shifts that differ
     by a quarter of the item's tokens at most (DRIFT at least), so a slot may have more or fewer tokens than in the item; a
     slot is looked up by the shift of the most windows around it, or by the only shift there is, and not compared where
@@ -76,20 +77,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     lengths = [r["len"] for r in items.select("len").distinct().orderBy("len").collect()]  # at most `window` values
     if not lengths:
         lengths = [window]
-    own = F.array().cast("array<bigint>")
+    bases: dict[int, int] = {}  # the length of the windows that are hashed, for each length of window
     for k in lengths:
-        own = F.when(F.col("len") == k, windows(F.col("toks"), k)).otherwise(own)
-    marks = written(items.select("item_id", "len", F.posexplode(own).alias("ipos", "h")), "bench-windows")
-    sizes = items.select("item_id", "len", (F.size("toks") - F.col("len") + 1).cast("long").alias("windows"), F.greatest(F.lit(DRIFT), F.size("toks") / DRIFT).alias("drift"))
+        bases[k] = next((b for b in bases.values() if b >= LEAST_WINDOW and k - b <= STRETCH), k)
+    items = items.withColumn("base", F.element_at(F.create_map(*(F.lit(x) for kb in bases.items() for x in kb)), F.col("len")))
+    own = F.array().cast("array<bigint>")
+    for k in set(bases.values()):
+        own = F.when(F.col("base") == k, windows(F.col("toks"), k)).otherwise(own)
+    marks = written(items.select("item_id", F.posexplode(own).alias("ipos", "h")), "bench-windows")
+    sizes = items.select("item_id", "len", (F.size("toks") - F.col("len") + 1).cast("long").alias("windows"), F.greatest(F.lit(DRIFT), F.size("toks") / DRIFT).alias("drift"), (F.col("len") - F.col("base")).alias("more"))
     toks = base.select("doc_id", tokens(F.col("body")).alias("toks"))
-    every = F.concat(*(windows(F.col("toks"), k) for k in lengths))
-    starts = F.concat(*(F.when(n >= k, F.sequence(F.lit(0), n - k)).otherwise(F.array().cast("array<int>")) for k in lengths))
+    hashed = sorted(set(bases.values()))
+    every = F.concat(*(windows(F.col("toks"), k) for k in hashed))
+    starts = F.concat(*(F.when(n >= k, F.sequence(F.lit(0), n - k)).otherwise(F.array().cast("array<int>")) for k in hashed))
     seen = toks.select("doc_id", F.explode(F.arrays_zip(starts.alias("pos"), every.alias("h"))).alias("w")).select("doc_id", F.col("w.pos").alias("pos"), F.col("w.h").alias("h"))
     few = marks.count() <= BROADCAST_ROWS
     marks = marks.select("item_id", "ipos", "h")
     hits = seen.join(F.broadcast(marks) if few else marks, "h")
     parts = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("shift")).agg(F.array_sort(F.collect_set("ipos")).alias("places"))
-    parts = parts.join(sizes, "item_id")
+    # a window stands at a place where all the shorter ones stand that make it up
+    stands = lambda p: F.forall(F.sequence(F.lit(0), F.col("more")), lambda k: F.array_contains("places", p + k))
+    parts = parts.join(sizes, "item_id").withColumn("places", F.filter("places", stands)).where("size(places) > 0").drop("more")
     near = Window.partitionBy("doc_id", "item_id").orderBy(F.col("shift") / F.col("drift")).rangeBetween(0, 1)
     runs = parts.withColumn("chain", F.collect_list(F.struct("shift", "places")).over(near))
     runs = runs.withColumn("matched", F.size(F.array_distinct(F.flatten("chain.places"))).cast("long"))
@@ -112,5 +120,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that leak no item, with all their columns."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(bad, docs["doc_id"] == F.col("__id"), "left_anti")
+    return without(docs, leaks(docs, benchmark).select("doc_id"))
