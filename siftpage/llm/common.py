@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -17,10 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the cluster names none."""
+    """The folder that driver and executors share. Only a local master may do without one, as in tests; it gets a folder of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(base)
@@ -69,3 +72,12 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is not in the one column of ids, with all their columns."""
     gone = ids.toDF(*fresh(docs, "gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone[gone.columns[0]], "left_anti")
+
+
+def release() -> None:
+    """Give memory that a Python worker has freed back to the system, so that idle workers hold little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass

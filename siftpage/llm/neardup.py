@@ -8,12 +8,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, written
+from .common import id_and_text, release, without, written
 from .components import components
 from .simhash import links
 
-SKETCH = 64  # shingles with the smallest hashes of a text
-CLASSES = 16  # parts of the sketch, a fingerprint each
+CLASSES = 16  # parts of a text's shingles, by hash
+SMALLEST = 4  # hashes of a part that make its fingerprint
+FP_BITS, FP_BLOCKS = 1, 4  # fingerprints that differ in so many bits meet, by way of so many blocks
 BITS = 1024  # of a bitmap that bounds a similarity from above
 BLOCK = 512  # about as many members of a candidate set meet as many others in one task
 
@@ -26,6 +27,19 @@ def _shingles(text: str, words: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), dtype="<u8"))
 
 
+def _fingerprints(s: np.ndarray) -> list[int]:
+    """For each part that has any of the ascending hashes, the SimHash of its smallest."""
+    part = s % CLASSES
+    order = np.argsort(part, kind="stable")
+    s, part = s[order], part[order]
+    own, first, sizes = np.unique(part, return_index=True, return_counts=True)
+    few = np.minimum(sizes, SMALLEST)
+    rank = np.arange(len(s)) - np.repeat(first, sizes)
+    bits = np.unpackbits(s[rank < SMALLEST].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    ones = np.add.reduceat(bits, np.cumsum(few) - few, axis=0, dtype=np.int64) if len(own) else np.zeros((0, 64))
+    return np.packbits(2 * ones > few[:, None], axis=1, bitorder="little").view("<i8")[:, 0].tolist() if len(own) else []
+
+
 def _bitmap(s: np.ndarray) -> bytes:
     """Parities of the counts of hashes by their last bits: two of them differ in no more bits than the sets in members."""
     return np.packbits(np.bincount(s % BITS, minlength=BITS).astype(np.uint8) & 1).tobytes()
@@ -69,9 +83,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     """(doc_id, group_id) of every document with a near-duplicate: group_id is the smallest doc_id of its group.
 
     Two texts are linked if the Jaccard similarity of their sets of `words`-word shingles is `similarity` or more. A whole
-    fingerprint moves by many bits at that similarity, so the SKETCH smallest shingle hashes of each text are parted into
-    CLASSES by hash, each with a fingerprint of its own, and texts whose fingerprints of a class differ by 2 bits at most
-    (by way of the pivot tables) are candidates: at similarity 0.8 all but one pair in a thousand share one. Texts with
+    fingerprint moves by many bits at that similarity, so the shingles of each text are parted into CLASSES by hash and the
+    SMALLEST hashes of each part give a fingerprint of its own. Texts of which one of these fingerprints differs by FP_BITS
+    at most (by way of the pivot tables) are candidates: at similarity 0.8 a part has equal smallest hashes with a chance of
+    0.4, so all but one pair in some thousands share one, and parts with another hash differ by many bits. Texts with
     equal shingles are one text. Each set of candidates is first compared with its member of smallest id; then every pair
     of its members that this leaves in different groups is compared, block by block, where the sizes of both and a bitmap
     of their hashes (an upper bound of the similarity, so nothing is lost by it) allow it. A task gives only the links that
@@ -85,16 +100,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
         out = []
         for t in texts:
             every = _shingles(t, words)
-            s = every[:SKETCH]
-            fps = np.zeros(CLASSES, dtype=np.int64)
-            for c in range(CLASSES):
-                own = s[s % CLASSES == c]
-                if len(own):
-                    ones = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-                    fps[c] = np.packbits(2 * ones > len(own), bitorder="little").view("<i8")[0]
-                elif len(s):
-                    fps[c] = -1
-            out.append((fps, len(every), _bitmap(every), xxhash.xxh3_128_digest(every.tobytes())))
+            out.append((_fingerprints(every), len(every), _bitmap(every), xxhash.xxh3_128_digest(every.tobytes())))
+        release()
         return pd.DataFrame(out, columns=["fps", "size", "bits", "equal"])
 
     seen = written(base.select("doc_id", sketch("body").alias("k")).select("doc_id", "k.*"), "near-sketches")
@@ -103,9 +110,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     copies = seen.join(one.where("n > 1"), "equal").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
     distinct = seen.join(one.select(F.col("first").alias("doc_id"), "equal"), ["doc_id", "equal"]).dropDuplicates(["doc_id"])
     distinct = written(distinct, "near-distinct")
-    each = distinct.select("doc_id", F.explode("fps").alias("fp")).where("fp <> -1").distinct()
+    each = distinct.select("doc_id", F.explode("fps").alias("fp")).distinct()
     fps = each.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
-    joined = components(links(fps.select("fp"), 2)).withColumnRenamed("id", "fp")
+    joined = components(links(fps.select("fp"), FP_BITS, FP_BLOCKS)).withColumnRenamed("id", "fp")
     members = each.join(joined, "fp", "left").select("doc_id", F.coalesce("label", "fp").alias("label")).distinct()
     # sets of the same members count once
     sets_of = members.groupBy("label").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("sum")).where("n > 1")
@@ -113,17 +120,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     members = written(members.join(sets_of, "label").select("label", "doc_id", "head", "n"), "near-members")
     pairs = members.where("doc_id <> head").select("doc_id", "head").distinct()
 
-    @F.pandas_udf("array<long>")
-    def shingles(texts: pd.Series) -> pd.Series:
-        return pd.Series([_shingles(t, words).view("<i8") for t in texts])
+    @F.pandas_udf("s array<long>, equal binary")
+    def shingles(texts: pd.Series) -> pd.DataFrame:
+        every = [_shingles(t, words) for t in texts]
+        release()
+        return pd.DataFrame({"s": [s.view("<i8") for s in every], "equal": [xxhash.xxh3_128_digest(s.tobytes()) for s in every]})
 
+    shingles = shingles.asNondeterministic()  # evaluated once, though a filter and a column read it
+    # of rows that share a doc_id those with the shingles of the chosen one
     asked = members.select("doc_id").distinct().join(distinct.select("doc_id", "equal"), "doc_id")
-    same = F.pandas_udf(lambda texts: pd.Series([xxhash.xxh3_128_digest(_shingles(t, words).tobytes()) for t in texts]), "binary")
-    twice = base.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id")
-    bodies = base.join(asked, "doc_id")
-    single = bodies.join(twice, "doc_id", "left_anti").select("doc_id", shingles("body").alias("s"))
-    other = bodies.join(twice, "doc_id", "left_semi").where(same("body") == F.col("equal")).select("doc_id", shingles("body").alias("s")).dropDuplicates(["doc_id"])
-    sets = written(single.union(other), "near-sets")
+    several = seen.groupBy("doc_id").agg((F.count(F.lit(1)) > 1).alias("several"))
+    bodies = base.join(asked.join(several, "doc_id"), "doc_id").select("doc_id", "equal", "several", shingles("body").alias("k"))
+    sets = bodies.where(~F.col("several") | (F.col("k.equal") == F.col("equal"))).select("doc_id", "several", F.col("k.s").alias("s"))
+    sets = written(sets, "near-sets")
+    sets = sets.where(~F.col("several")).select("doc_id", "s").union(sets.where("several").select("doc_id", "s").dropDuplicates(["doc_id"]))
 
     @F.pandas_udf("double")
     def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -174,5 +184,4 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
 
 def drop_near(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each group stays, that of the smallest doc_id, with all its columns."""
-    gone = near_duplicates(docs, words, similarity).where("doc_id <> group_id").select(F.col("doc_id").alias("__id"))
-    return docs.join(gone, docs["doc_id"] == F.col("__id"), "left_anti")
+    return without(docs, near_duplicates(docs, words, similarity).where("doc_id <> group_id").select("doc_id"))

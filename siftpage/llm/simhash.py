@@ -58,27 +58,27 @@ def _distance(fp: Column, reference: int) -> Column:
     return F.bit_count(fp.bitwiseXOR(F.lit(_signed(reference))))
 
 
-def links(fps: DataFrame, bits: int = 2) -> DataFrame:
+def links(fps: DataFrame, bits: int = 2, blocks: int = BLOCKS) -> DataFrame:
     """Pairs (a, b), a < b, of different fingerprints at `bits` or fewer differing bits. fps: distinct column fp.
 
-    Each fingerprint gets its distances to the reference fingerprints and to their copies with one of BLOCKS blocks turned
+    Each fingerprint gets its distances to the reference fingerprints and to their copies with one of `blocks` blocks turned
     over. Two of these coordinates give the distance within one block, so fingerprints that agree in a block have equal
     coordinates there. At most `bits` blocks differ, so a pair meets under the coordinates of the others for some choice of
     `bits` blocks left out: no pair is lost. Pairs whose coordinates differ by more than `bits` anywhere are discarded and
     the rest verified. A bucket holds different fingerprints that differ in `bits` blocks alone, so its size has a bound
     that the input does not move.
     """
-    width = 64 // BLOCKS
-    masks = [((1 << width) - 1) << (width * b) for b in range(BLOCKS)]
+    width = 64 // blocks
+    masks = [((1 << width) - 1) << (width * b) for b in range(blocks)]
     fp = F.col("fp")
     refs = _references()
     far = [_distance(fp, r).alias(f"d{j}") for j, r in enumerate(refs)]
     turned = [_distance(fp, r ^ m).alias(f"t{j}_{b}") for j, r in enumerate(refs) for b, m in enumerate(masks)]
     coords = fps.select("fp", *far, *turned)
-    within = [sum((F.shiftleft(F.shiftright(F.lit(width) + F.col(f"d{j}") - F.col(f"t{j}_{b}"), 1).cast("long"), 4 * j) for j in range(REFERENCES)), F.lit(0).cast("long")).alias(f"b{b}") for b in range(BLOCKS)]
+    within = [sum((F.shiftleft(F.shiftright(F.lit(width) + F.col(f"d{j}") - F.col(f"t{j}_{b}"), 1).cast("long"), width.bit_length() * j) for j in range(REFERENCES)), F.lit(0).cast("long")).alias(f"b{b}") for b in range(blocks)]
     packed = sum((F.shiftleft(F.col(f"d{j}").cast("long"), 7 * j) for j in range(REFERENCES)), F.lit(0).cast("long")).alias("pivots")
     coords = coords.select("fp", packed, *within)
-    keys = [F.xxhash64(F.lit(i), *(F.col(f"b{b}") for b in range(BLOCKS) if b not in out)) for i, out in enumerate(combinations(range(BLOCKS), bits))]
+    keys = [F.xxhash64(F.lit(i), *(F.col(f"b{b}") for b in range(blocks) if b not in out)) for i, out in enumerate(combinations(range(blocks), bits))]
     keyed = coords.select("fp", "pivots", F.explode(F.array(*keys)).alias("key"))
     x, y = keyed.alias("x"), keyed.alias("y")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")))

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 import xxhash
 
 from siftpage.llm.components import components
@@ -29,15 +30,16 @@ def test_near_groups_match_brute_force(make_docs, texts):
     assert near_groups(make_docs([])).count() == 0
 
 
-def test_links_lose_no_pair(spark):
+@pytest.mark.parametrize("bits,blocks", [(2, 8), (1, 4)])
+def test_links_lose_no_pair(spark, bits, blocks):
     rng = random.Random(3)
     fps = set()
     for _ in range(60):
         x = rng.getrandbits(64)
-        fps |= {x} | {x ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (rng.random() < 0.3) << rng.randrange(64) for _ in range(6)}
+        fps |= {x} | {x ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (rng.random() < 0.3) << rng.randrange(64) for _ in range(6)} | {x ^ (1 << rng.randrange(64)) for _ in range(3)}
     signed = sorted(x - (1 << 64) if x >> 63 else x for x in fps)
-    want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 2}
-    got = {(r.a, r.b) for r in links(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()}
+    want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= bits}
+    got = {(r.a, r.b) for r in links(spark.createDataFrame([(x,) for x in signed], "fp long"), bits, blocks).collect()}
     assert got == want and len(want) > 100
 
 
