@@ -15,11 +15,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gather, id_and_text, slices
+from .common import gather, id_and_text, release, slices
 
 SPACE = "▁"
 BATCH_CHARS = 8_000_000  # of text that is taken apart and put together again at once, unless one text has more
-SLICE_BYTES = 1 << 20  # of text that is cut at once
+SLICE_BYTES = 1 << 18  # of text that is cut at once
 USES = 4096  # about as many batches share one encoding of a word
 UNKNOWN_PENALTY = 10.0  # fixed value: below the lowest score, for a character that is no piece
 
@@ -122,8 +122,11 @@ def take_apart(base: DataFrame, pieces: list[str], batch_chars: int, buckets: in
                 if chars >= batch_chars:
                     yield close(ids, words, sizes)
                     ids, words, sizes, chars = [], [], [], 0
+                    release()
         if ids:
             yield close(ids, words, sizes)
+        ids = words = sizes = cut = batch = None
+        release()
 
     return base.mapInArrow(run, WORDS if buckets else TEXTS)
 
@@ -200,11 +203,13 @@ def _packed(batches):
     for b in batches:
         held.append(b)
         n += len(b)
-        if n >= 1_000_000:
+        if n >= 250_000:
             yield close(held)
             held, n = [], 0
     if n:
         yield close(held)
+    held.clear()
+    release()
 
 
 PACKED = "batch long, n_words int, n_ids int, places binary, sizes binary, ids binary"
@@ -252,11 +257,12 @@ def encode(docs: DataFrame, path: str, batch_chars: int = BATCH_CHARS, then: Cal
                 raise ValueError("the documents changed between two readings")
             units = np.array(r["sizes"], dtype=np.int64)
             places = _restored(r["places"], int(units.sum()))
-            ids = np.concatenate([flat[:0], *(gather(flat, starts[p], own[p])[0] for p in np.array_split(places, len(places) // 500_000 + 1))])
+            ids = np.concatenate([flat[:0], *(gather(flat, starts[p], own[p])[0] for p in np.array_split(places, len(places) // 200_000 + 1))])
             ends = np.append(0, np.cumsum(own[places]))[np.append(0, np.cumsum(units))].astype(np.int32)
             parts.append(then(pa.table({"doc_id": pa.array(r["doc_ids"], pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(ids, pa.int32()))})))
         if not parts:
             raise ValueError("the documents changed between two readings")
+        release()
         return pa.concat_tables(parts)
 
     texts = take_apart(base, names, batch_chars).repartition(tasks, "batch")
