@@ -7,22 +7,45 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-COSINE = 0.6
+COSINE = 0.55
 FILE_SHARE = 0.5  # of a file's words in licence passages, from which it is a licence file by content
 
-# Short statements of public licences, by SPDX name.
-TEMPLATES = [
+# Statements of public licences as files and headers have them, by SPDX name. Each sentence is a template.
+STATEMENTS = [
     ("MIT", "Released under the MIT License."),
+    ("MIT", "SPDX-License-Identifier: MIT"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
     ("GPL", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("GPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("LGPL", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL", "SPDX-License-Identifier: LGPL-3.0-or-later"),
+    ("LGPL", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("AGPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under CC0 1.0 Universal."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted."),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("ISC", "SPDX-License-Identifier: ISC"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
-ANCHOR = r"(?i)licen[cs]|permission is hereby|redistribution and use"  # every template has one; a passage without is none
+# A sentence runs on over single line ends; where it does, its lines are passages of their own too.
+SENTENCE = r"\n[ \t]*\n\s*|(?<=[.!?:]) +|(?<=[.!?:])\n"
 
 
 def _words(text: Column) -> Column:
@@ -32,8 +55,10 @@ def _words(text: Column) -> Column:
 def scan(files: DataFrame, cosine: float = COSINE, file_share: float = FILE_SHARE) -> DataFrame:
     """files (id, path, body) -> one row per file: id, path, license, origin (header, file, inherited), score, directory.
 
-    Passages are sentences and lines of the whole text. Weights are tf * idf; idf counts every passage of all files for the
-    templates' words, and any other word weighs as one that no passage has. A passage is a statement if its best cosine to
+    Passages are the sentences of the whole text, and the lines of those that run over several. Weights are tf * idf; idf
+    counts every passage of all files for the templates' words, and any other word weighs as one that no passage has. Only a
+    passage whose share of weight in the templates' words could reach the cosine goes on to the sparse join, so none is lost
+    before it. A passage is a statement if its best cosine to
     a template is `cosine` or more (ties: the name that sorts first). A file's own statement with the highest cosine is its
     licence. A file is a licence file if named LICENSE, LICENCE, COPYING or NOTICE or if statements hold `file_share` of
     its words; its licence covers its directory. Files without a statement inherit from the nearest directory above that
@@ -42,10 +67,11 @@ def scan(files: DataFrame, cosine: float = COSINE, file_share: float = FILE_SHAR
     """
     spark = files.sparkSession
     base = files.select("id", F.coalesce("path", F.lit("")).alias("path"), F.coalesce("body", F.lit("")).alias("body"))
-    forms = spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(TEMPLATES)], "form int, license string, body string")
+    forms = spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(STATEMENTS)], "form int, license string, body string")
     terms = forms.select("form", "license", F.explode(_words(F.col("body"))).alias("term")).groupBy("form", "license", "term").agg(F.count(F.lit(1)).alias("tf"))
     vocabulary = sorted(r["term"] for r in terms.select("term").distinct().collect())  # of the templates alone
-    passages = base.select("id", F.posexplode(F.split("body", r"\n|(?<=[.!?]) +")).alias("at", "passage"))
+    runs = lambda s: F.when(F.contains(s, F.lit("\n")), F.concat(F.array(s), F.split(s, "\n"))).otherwise(F.array(s))
+    passages = base.select("id", F.posexplode(F.flatten(F.transform(F.split("body", SENTENCE), runs))).alias("at", "passage"))
     known = F.array_intersect(F.split(F.lower("passage"), r"[^\p{L}\p{N}]+"), F.lit(vocabulary))
     counted = passages.select(F.explode(F.array_append(known, F.lit(""))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     df = {r["term"]: r["df"] for r in counted.collect()}  # a row for each word of the templates
@@ -55,7 +81,17 @@ def scan(files: DataFrame, cosine: float = COSINE, file_share: float = FILE_SHAR
     weights = terms.join(idf, "term").select("form", "license", "term", (F.col("tf") * F.col("idf")).alias("w"))
     norms = weights.groupBy("form").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     weights = weights.join(norms, "form").select("form", "license", "term", (F.col("w") / F.col("norm")).alias("w"))
-    near = passages.where(F.col("passage").rlike(ANCHOR)).select("id", "at", F.size(_words(F.col("passage"))).alias("n_words"), F.explode(_words(F.col("passage"))).alias("term"))
+    # of the squared length of a passage its templates' words must hold the square of the cosine
+    square = F.create_map(*(F.lit(x) for w in vocabulary for x in (w, float(smooth_idf(n, df.get(w, 0))) ** 2)))
+
+    def judged(own: Column) -> Column:
+        """The words, and whether they may be a statement; bound once for each passage."""
+        weight = F.aggregate(F.array_intersect(own, F.lit(vocabulary)), F.lit(0.0), lambda s, w: s + square[w] * F.pow(F.size(F.filter(own, lambda x: x == w)), F.lit(2)))
+        other = F.size(F.array_except(own, F.lit(vocabulary)))
+        return F.struct(own.alias("words"), ((F.size(own) > 0) & (weight * (1 - cosine**2) + 1e-9 >= other * (unseen * cosine) ** 2)).alias("may"))
+
+    words = passages.select("id", "at", F.get(F.transform(F.array(_words(F.col("passage"))), judged), F.lit(0)).alias("j")).where("j.may").select("id", "at", "j.words")
+    near = words.select("id", "at", F.size("words").alias("n_words"), F.explode("words").alias("term"))
     tf = near.groupBy("id", "at", "n_words", "term").agg(F.count(F.lit(1)).alias("tf")).join(F.broadcast(idf), "term", "left").withColumn("p", F.col("tf") * F.coalesce("idf", F.lit(unseen)))
     tf = written(tf.select("id", "at", "n_words", "term", "p"), "license-terms")
     length = tf.groupBy("id", "at").agg(F.sqrt(F.sum(F.col("p") * F.col("p"))).alias("norm"))

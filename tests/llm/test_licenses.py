@@ -29,5 +29,51 @@ def test_tree(spark):
     }
 
 
+def brute_force(rows):
+    """Best cosine of any passage of each file, by plain dictionaries."""
+    import math
+    import re
+
+    words = lambda t: [w for w in re.split(r"[^\w]+|_", t.lower()) if w]
+    split = lambda t: [p for s in re.split(licenses.SENTENCE, t) for p in ([s, *s.split("\n")] if "\n" in s else [s])]
+    passages = [(i, words(p)) for i, t in rows for p in split(t)]
+    vocabulary = {w for _, t in licenses.STATEMENTS for w in words(t)}
+    n = len(passages)
+    df = {w: sum(w in p for _, p in passages) for w in vocabulary}
+    idf = lambda w: math.log((1 + n) / (1 + df.get(w, 0))) + 1
+    vector = lambda ws: {w: ws.count(w) * idf(w) for w in ws}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values())) or 1.0
+    forms = [(name, vector(words(t))) for name, t in licenses.STATEMENTS]
+    best = {}
+    for i, p in passages:
+        v = vector(p)
+        for name, f in forms:
+            c = round(sum(x * f.get(w, 0) for w, x in v.items()) / norm(v) / norm(f), 9)
+            if c >= licenses.COSINE:
+                best[i] = min(best.get(i, (0, "")), (-c, name))
+    return {i: (name, -c) for i, (c, name) in best.items()}
+
+
+REAL = [
+    ("MIT", 'Copyright (c) 2020 A. Person\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n'),
+    ("GPL", "# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation; either version 2 of the License, or\n# (at your option) any later version.\n"),
+    ("Apache-2.0", '   Licensed under the Apache License, Version 2.0 (the "License");\n   you may not use this file except in compliance with the License.\n   You may obtain a copy of the License at\n'),
+    ("MIT", "// SPDX-License-Identifier: MIT\nint main() { return 0; }"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public, v. 2.0."),
+    ("ISC", "Permission to use, copy, modify, and distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n"),
+    ("CC-BY-SA-4.0", "The text is available under the Creative Commons Attribution-ShareAlike 4.0 License"),
+]
+
+
+def test_real_statements_and_cosines_match_brute_force(spark):
+    prose = ["The river runs past the mill and the law of the land.", "You may use this path at any time.", "She has the right to copy the text in any form, he said."]
+    rows = [(i, t) for i, (_, t) in enumerate(REAL)] + [(100 + i, " ".join(prose[k % 3] for k in range(i, i + 9)) + f" Number {i}.") for i in range(40)]
+    files = spark.createDataFrame([(i, f"d{i}/x", t) for i, t in rows], "id long, path string, body string")
+    got = {r["id"]: (r["license"], r["score"]) for r in licenses.scan(files).collect() if r["license"]}
+    want = brute_force(rows)
+    assert {i: n for i, (n, _) in got.items()} == {i: n for i, (n, _) in want.items()} == {i: n for i, (n, _) in enumerate(REAL)}
+    assert all(abs(got[i][1] - s) < 1e-6 for i, (_, s) in want.items())
+
+
 def test_empty(spark):
     assert licenses.scan(spark.createDataFrame([], "id long, path string, body string")).count() == 0
