@@ -123,7 +123,7 @@ def distance(p: Column, q: Column) -> Column:
     """Jensen-Shannon divergence of two histograms of one length, in bits; its root is a distance from 0 to 1."""
     term = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
     both = F.zip_with(p, q, lambda x, y: (term(x, (x + y) / 2) + term(y, (x + y) / 2)) / 2)
-    return F.greatest(F.lit(0.0), F.aggregate(both, F.lit(0.0), lambda s, x: s + x))
+    return F.when(both.isNotNull(), F.greatest(F.lit(0.0), F.aggregate(both, F.lit(0.0), lambda s, x: s + x)))
 
 
 def shares(counts: Column) -> Column:
