@@ -79,7 +79,7 @@ def later_copies(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text
     """The rows of `found` (doc_id, same, class) whose text a row with a smaller doc_id has. Texts that refinement leaves together
     are compared whole: grouped by class and text, a hot group shrunk to a row in each task before the shuffle. The first of
     each text is taken out by its id, so no join has a hot key, and texts that all hashes fail to tell apart stay apart."""
-    texts = id_and_text(docs, id_col, text_col).withColumn("same", F.unhex(F.md5("body"))).join(found, ["doc_id", "same"])
+    texts = id_and_text(docs, id_col, text_col).withColumn("same", F.unhex(F.md5("body"))).join(found.hint("merge"), ["doc_id", "same"])  # one plan at every size: what is found grows with the documents
     firsts = texts.groupBy("class", "same", "body").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "same", "class")
     return found.join(firsts, ["doc_id", "same", "class"], "left_anti")
 
