@@ -1,4 +1,4 @@
-"""Which site's own reader takes a URL, the addresses such readers ask for, and comment trees as tables."""
+"""Which site's own reader takes a URL, and the addresses such readers ask for."""
 
 from __future__ import annotations
 
@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from siftpage.operators.links import hostname, path, query_string
 
-# Hosts and paths of sites with a reader of their own, the readers' order, and what they show at most.
+# Hosts and paths of sites with a reader of their own, and the readers' order.
 REDDIT, GITHUB, ARXIV, TWITTER, HABR, V2EX = ["reddit.com", "www.reddit.com", "old.reddit.com", "np.reddit.com"], ["github.com", "www.github.com"], ["arxiv.org", "www.arxiv.org"], ["x.com", "www.x.com", "twitter.com", "www.twitter.com"], ["habr.com", "www.habr.com"], ["v2ex.com", "www.v2ex.com"]
 RESERVED = "about account apps codespaces collections contact customer-stories dashboard enterprise explore features issues join login logout marketplace new notifications orgs pricing pulls readme search security settings sponsors stars topics trending watching".split()
 PRIORITY = {"reddit": 90, "hn": 80, "arxiv": 70, "wikipedia": 60, "github": 50, "twitter": 40, "discourse": 30, "habr": 20, "v2ex": 10}
-COMMENTS, DEEPEST = 400, 20
 REDDIT_SEARCH, REDDIT_COMMENTS, REDDIT_LISTING = r"^(/r/[^/]+)?/search/?$", r"^/r/[^/]+/comments/[^/]+(/|$)", r"^/r/([^/]+)(?:/(top|hot|new|rising|best|controversial))?/?$"
 REDDIT_PERMALINK = r"^/r/[^/]+/comments/[^/]+/[^/]+/[a-z0-9]{1,12}/?$"
 REDDIT_THREAD = r"^/r/([^/]+)/comments/([^/]+)(?:/([^/]+))?"
@@ -31,7 +30,7 @@ def claims(url: Column, forums: list[str]) -> dict[str, Column]:
     repo = p.rlike(r"^/[^/]+/[^/]+?/?$") & ~F.lower(F.regexp_extract(p, "^/([^/]+)/", 1)).isin(RESERVED)
     return {
         "reddit": (h.isin(REDDIT) & reddit_shape(p).isNotNull()) | ((h == "redd.it") & (F.length(p) > 1)),
-        "hn": ((h == "hn.algolia.com") & (F.trim(F.try_url_decode(_parameter(url, "q"))) != "")) | ((h == "news.ycombinator.com") & (p.isin("", "/", "/news") | ((p == "/item") & _parameter(url, "id").rlike(r"^\d+$")))),
+        "hn": ((h == "hn.algolia.com") & (F.trim(F.try_url_decode(_parameter(url, "q"))) != "")) | ((h == "news.ycombinator.com") & (p.isin("", "/", "/news", "/news/") | ((p == "/item") & _parameter(url, "id").rlike(r"^\d+$")))),
         "arxiv": h.isin(ARXIV) & (p.rlike(r"(?i)^/abs/[^/?#]+?(?:v\d+)?/?$") | p.rlike(r"(?i)^/list/[A-Za-z][A-Za-z.-]*/(\d{4,6}|recent|new)/?$")),
         "wikipedia": h.rlike(r"^[a-z]{2,3}\.wikipedia\.org$") & p.rlike("^/wiki/[^?#]+$"),
         "github": h.isin(GITHUB) & (p.rlike(r"^/[^/]+/[^/]+/(issues|pull)/\d+/?$") | repo),
@@ -66,28 +65,6 @@ def address(url: Column, forums: list[str]) -> Column:
     return F.when(by == "reddit", reddit).when((by == "hn") & (p == "/item"), item).when(by == "discourse", forum).when(by == "v2ex", F.concat(F.lit("https://www.v2ex.com/t/"), F.regexp_extract(p, r"^/t/(\d+)", 1)))
 
 
-def comment_paths(comments: DataFrame, deepest: int = DEEPEST) -> DataFrame:
-    """comments (thread, id, parent, pos) -> each with depth and path, the places from the root down; one join a level.
-
-    Comments whose parent is not in the thread are roots. Deeper ones than `deepest` are cut with all below them.
-    """
-    ids = comments.select("thread", F.col("id").alias("parent")).withColumn("known", F.lit(True))
-    rooted = comments.join(ids, ["thread", "parent"], "left").withColumn("parent", F.when(F.col("known"), F.col("parent"))).drop("known")
-    level = rooted.where("parent is null").select("thread", "id", F.lit(1).alias("depth"), F.array("pos").alias("path"))
-    out = level
-    for depth in range(2, deepest + 1):
-        up = level.select("thread", F.col("id").alias("parent"), F.col("path").alias("above"))
-        level = rooted.join(up, ["thread", "parent"]).select("thread", "id", F.lit(depth).alias("depth"), F.concat("above", F.array("pos")).alias("path"))
-        out = out.union(level)
-    return out
-
-
-def shown_comments(comments: DataFrame, most: int = COMMENTS, deepest: int = DEEPEST) -> DataFrame:
-    """(thread, id, depth, place): the first `most` comments of a thread in depth-first order."""
-    place = F.row_number().over(Window.partitionBy("thread").orderBy("path"))
-    return comment_paths(comments, deepest).withColumn("place", place).where(F.col("place") <= most).select("thread", "id", "depth", "place")
-
-
 def mirror_verdict(attempts: DataFrame) -> DataFrame:
     """attempts (id, seq, verdict) at a site's mirrors -> (id, verdict): ok if any was, a wall seen anywhere, else the last."""
     wall = F.col("verdict").isin("anti_bot", "block_page_detected")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from siftpage.operators import sites as T
 from siftpage.plans.fixtures import Fixture
 from siftpage.plans.queries import query
-from siftpage.plans.retrieval import rows
 
 _FORUMS = ["Meta.Discourse.org"]
 # (URL, reader, what it asks for)
@@ -26,18 +25,6 @@ def flt8_url8_readers(spark, sf_dir):
     return URLS.df(spark).select("url", T.reader(u, _FORUMS).alias("reader"), T.address(u, _FORUMS).alias("address"))
 
 
-_COMMENTS = "SELECT conv_id AS thread, turn AS id, CASE WHEN turn % 4 = 0 THEN NULL ELSE turn - 1 - turn % 2 END AS parent, turn AS pos FROM (SELECT DISTINCT conv_id, turn FROM conversations) c"
-
-
-@query(f"""
-    WITH RECURSIVE c AS ({_COMMENTS}), r AS (SELECT thread, id, CASE WHEN EXISTS (SELECT 1 FROM c d WHERE d.thread = c.thread AND d.id = c.parent) THEN parent END AS parent, pos FROM c),
-    t AS (SELECT thread, id, 1 AS depth, [pos] AS path FROM r WHERE parent IS NULL UNION ALL SELECT r.thread, r.id, t.depth + 1, list_append(t.path, r.pos) FROM r JOIN t ON r.thread = t.thread AND r.parent = t.id WHERE t.depth < 6),
-    o AS (SELECT *, row_number() OVER (PARTITION BY thread ORDER BY path)::INT AS place FROM t) SELECT thread, id, depth, place FROM o WHERE place <= 5
-""")
-def win7_win8_jon11_shown_comments(spark, sf_dir):
-    return T.shown_comments(rows(spark, sf_dir, _COMMENTS, "conversations"), 5, 6)
-
-
 _ATTEMPTS = Fixture("id int, seq int, verdict string", [(0, 0, "timeout"), (0, 1, "anti_bot"), (0, 2, "connection_error"), (1, 0, "anti_bot"), (1, 1, "ok"), (2, 0, "not_found"), (2, 1, "timeout")])
 
 
