@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from .common import id_and_text, without, written
 
 TERMS = 512  # words of the index, at most: those tied closest to the label
-LEAST_DOCS = 5  # training documents that such a word is in
-LEAST_RATIO = 12.0  # log-likelihood ratio of such a word, so that chance words stay out of small tables
+LEAST_DOCS = 3  # training documents that such a word is in
+MARGIN = 2.0  # of the log-likelihood ratio over the logarithm of the words weighed: among so many, some are tied to the label by chance
 LIFT = 2.0  # times as frequent in toxic documents as in others, at least
 EXAMPLES = 2048  # labelled examples of each class, at most
 NEIGHBOURS = 16
-PRIOR = 1.0  # votes at the base rate that every document gets
+PRIOR = 1.0  # votes at the rate of documents without such a word, which every document gets
 BLOCK = 64
 THRESHOLD = 0.3
 
@@ -69,11 +69,12 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted, evidence (the nearest examples with label and cosine).
 
     Learns from labelled rows outside the held-out fold alone. Word statistics of both classes run over all of them, idf
-    over all documents; TERMS words with the highest log-likelihood ratio, LEAST_RATIO or more, among those LIFT times as frequent in toxic
-    ones make the vectors (a word counts once in a text). The examples are a bounded sample, EXAMPLES of each class in the order
+    over all documents; the TERMS words with the highest log-likelihood ratio among those LIFT times as frequent in toxic ones
+    make the vectors (a word counts once in a text), if the ratio exceeds the logarithm of how many words were weighed by
+    MARGIN, so the bar follows the size of the corpus. The examples are a bounded sample, EXAMPLES of each class in the order
     of a hash of doc_id, weighted back to the classes' sizes. score = weighted votes of the NEIGHBOURS nearest by cosine and
-    of all others as near as the last of them, with PRIOR votes at the base rate, so texts without any of the words, null or empty ones too, get the base rate. The
-    base rate without any label is 0. Rows with a null doc_id are scored, never learnt from; documents with several labels
+    of all others as near as the last of them, with PRIOR votes at the share of toxic ones among the rows learnt from that have
+    none of the words; texts without any, null or empty ones too, get that share. It is 0 without any label. Rows with a null doc_id are scored, never learnt from; documents with several labels
     count once for each; repeated rows each give a row; empty tables give an empty result.
     """
     spark = docs.sparkSession
@@ -88,8 +89,9 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     part = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
     share = n1 / max(n1 + n0, 1)
     g2 = part(a, F.col("n") * share) + part(b, F.col("n") * (1 - share)) + part(n1 - a, (n1 + n0 - F.col("n")) * share) + part(n0 - b, (n1 + n0 - F.col("n")) * (1 - share))
-    picked = terms.where((F.col("n") >= LEAST_DOCS) & (F.col("term") != "") & (a * max(n0, 1) >= LIFT * b * max(n1, 1)))
-    picked = picked.where(g2 >= LEAST_RATIO).orderBy(F.round(g2, 6).desc(), "term").limit(TERMS)
+    weighed = written(terms.where((F.col("n") >= LEAST_DOCS) & (F.col("term") != "")).select("term", "n", "a", g2.alias("g2")), "toxic-words")
+    least = MARGIN + float(np.log(max(weighed.count(), 1)))
+    picked = weighed.where((a * max(n0, 1) >= LIFT * b * max(n1, 1)) & (F.col("g2") >= least)).orderBy(F.round("g2", 6).desc(), "term").limit(TERMS)
     vocabulary = [r["term"] for r in picked.select("term").collect()] if n1 and n0 else []  # TERMS rows at most
     known = F.array_intersect(F.split(F.lower("body"), r"[^\p{L}\p{N}_]+"), F.lit(vocabulary or ["\u0000"]))
     found = written(base.select("doc_id", known.alias("terms")), "toxic-terms")
@@ -102,7 +104,9 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         chosen = marked.where(F.col("y") == y).join(found, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES)
         sample += [(r["doc_id"], y, sorted(place[t] for t in r["terms"])) for r in chosen.select("doc_id", "terms").collect()]  # EXAMPLES rows at most
     weight = {y: n / max(sum(s[1] == y for s in sample), 1) for y, n in ((0, n0), (1, n1))}
-    model = spark.sparkContext.broadcast((uuid.uuid4().hex, vocabulary, idf, sample, weight, share if n1 + n0 else 0.0))
+    bare = marked.join(found.where("size(terms) = 0").select("doc_id"), "doc_id").agg(F.sum("y").alias("y"), F.count(F.lit(1)).alias("n")).first()
+    rate = ((bare["y"] or 0) + share) / (bare["n"] + 1)
+    model = spark.sparkContext.broadcast((uuid.uuid4().hex, vocabulary, idf, sample, weight, rate))
 
     @F.pandas_udf("score double, evidence array<struct<doc_id:bigint,label:int,cosine:double>>")
     def vote(batches: pd.Series) -> pd.DataFrame:
@@ -138,5 +142,5 @@ def toxic_index(model) -> BlockMaxIndex:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents not predicted toxic, with all their columns. A base rate alone, without an example near, drops nothing."""
+    """The documents not predicted toxic, with all their columns. The rate alone, without an example near, drops nothing."""
     return without(docs, score(docs, labels).where("predicted = 1 and size(evidence) > 0").select("doc_id"))

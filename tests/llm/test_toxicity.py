@@ -47,7 +47,8 @@ def test_score_is_the_vote_of_all_neighbours(spark, make_docs):
     learnt = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2]
     toxic = [i for i in learnt if i % 4 == 0]
     cos = lambda a, b: sum(idf[w] ** 2 for w in set(a) & set(b)) / np.sqrt(sum(idf[w] ** 2 for w in a) * sum(idf[w] ** 2 for w in b)) if a and b else 0.0
-    rate = len(toxic) / len(learnt)
+    bare = [i for i in learnt if not sets[i]]
+    rate = (sum(i % 4 == 0 for i in bare) + len(toxic) / len(learnt)) / (len(bare) + 1)
     for i, _ in rows:
         near = sorted(((round(cos(sets[i], sets[j]), 12), j) for j in learnt if cos(sets[i], sets[j]) > 0), reverse=True)
         near = [x for x in near if x[0] >= near[min(15, len(near) - 1)][0]]
