@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from math import log, sqrt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,40 +52,73 @@ SENTENCE = r"\n[ \t]*\n\s*|(?<=[.!?:]) +|(?<=[.!?:])\n"
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(text), WORD_ENDS), lambda w: w != "")
+
+
+WORD_ENDS = r"[^\p{L}\p{N}]+"
+
+
+def template_words() -> list[list[str]]:
+    return [[w for w in re.split(r"[\W_]+", t.lower()) if w] for _, t in STATEMENTS]
+
+
+def template_weights(idf: dict[str, float]) -> list[dict[str, float]]:
+    """Of each template its words' shares of its length: tf * idf, of length 1."""
+    out = []
+    for words in template_words():
+        own = {w: words.count(w) * idf[w] for w in words}
+        length = sqrt(sum(x * x for x in own.values()))
+        out.append({w: x / length for w, x in own.items()})
+    return out
+
+
+def prefixes(weights: list[dict[str, float]], cosine: float) -> set[str]:
+    """Words of which a passage must hold one to reach the cosine to any template: a template's heaviest, until the rest hold
+    less than the cosine's square of its squared length, as the cosine is at most the length of what is shared."""
+    out: set[str] = set()
+    for own in weights:
+        rest = 1.0
+        for w, x in sorted(own.items(), key=lambda e: (-e[1], e[0])):
+            if rest < cosine * cosine - 1e-9:
+                break
+            out.add(w)
+            rest -= x * x
+    return out
 
 
 def scan(files: DataFrame, cosine: float = COSINE, file_share: float = FILE_SHARE) -> DataFrame:
     """files (id, path, body) -> one row per file: id, path, license, origin (header, file, inherited), score, directory.
 
     Passages are the sentences of the whole text, and the lines of those that run over several. Weights are tf * idf; idf
-    counts every passage of all files for the templates' words, and any other word weighs as one that no passage has. Only a
-    passage whose share of weight in the templates' words could reach the cosine goes on to the sparse join, so none is lost
-    before it. A passage is a statement if its best cosine to
-    a template is `cosine` or more (ties: the name that sorts first). A file's own statement with the highest cosine is its
+    counts all files for the templates' words, and any other word weighs as one that no file has. Only texts with a word of
+    prefixes() are cut into passages, and only passages with one whose share of weight in the templates' words could reach
+    the cosine go on to the sparse join, so none is lost before it. A passage is a statement if its best cosine to a
+    template is `cosine` or more (ties: the name that sorts first). A file's own statement with the highest cosine is its
     licence. A file is a licence file if named LICENSE, LICENCE, COPYING or NOTICE or if statements hold `file_share` of
     its words; its licence covers its directory. Files without a statement inherit from the nearest directory above that
-    is covered. Null or empty text and null paths have no statement; an empty path is the root. Repeated ids are one file;
-    empty tables give empty results.
+    is covered. Null or empty text and null paths have no statement; an empty path is the root. Rows of one id are one file,
+    the one of the smallest path and, of these, of the text with the smallest hash; empty tables give empty results.
     """
     spark = files.sparkSession
     base = files.select("id", F.coalesce("path", F.lit("")).alias("path"), F.coalesce("body", F.lit("")).alias("body"))
-    forms = spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(STATEMENTS)], "form int, license string, body string")
-    terms = forms.select("form", "license", F.explode(_words(F.col("body"))).alias("term")).groupBy("form", "license", "term").agg(F.count(F.lit(1)).alias("tf"))
-    vocabulary = sorted(r["term"] for r in terms.select("term").distinct().collect())  # of the templates alone
-    runs = lambda s: F.when(F.contains(s, F.lit("\n")), F.concat(F.array(s), F.split(s, "\n"))).otherwise(F.array(s))
-    passages = base.select("id", F.posexplode(F.flatten(F.transform(F.split("body", SENTENCE), runs))).alias("at", "passage"))
-    known = F.array_intersect(F.split(F.lower("passage"), r"[^\p{L}\p{N}]+"), F.lit(vocabulary))
-    counted = passages.select(F.explode(F.array_append(known, F.lit(""))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    many = base.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("path", F.xxhash64("body").alias("h"))).alias("first")).where("n > 1").select("id", "first")
+    many = written(many, "license-repeats")
+    if not many.isEmpty():  # ids are as a rule unique; where they are not, one row of each stays
+        again = base.join(many, "id").where((F.col("path") == F.col("first.path")) & (F.xxhash64("body") == F.col("first.h"))).groupBy("id").agg(F.min("path").alias("path"), F.min("body").alias("body"))
+        base = base.join(many.select("id"), "id", "left_anti").union(again)
+    vocabulary = sorted({w for words in template_words() for w in words})
+    texts = base.select("id", "body", F.split(F.lower("body"), WORD_ENDS).alias("every"))
+    counted = texts.select(F.explode(F.array_append(F.array_intersect("every", F.lit(vocabulary)), F.lit(""))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     df = {r["term"]: r["df"] for r in counted.collect()}  # a row for each word of the templates
     n = df.pop("", 0)
-    idf = spark.createDataFrame([(w, float(smooth_idf(n, df.get(w, 0)))) for w in vocabulary], "term string, idf double")
-    unseen = float(smooth_idf(n, 0))
-    weights = terms.join(idf, "term").select("form", "license", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = weights.groupBy("form").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    weights = weights.join(norms, "form").select("form", "license", "term", (F.col("w") / F.col("norm")).alias("w"))
+    weight_of = {w: smooth_idf(n, df.get(w, 0)) for w in vocabulary}
+    unseen = smooth_idf(n, 0)
+    shares = template_weights(weight_of)
+    heads = F.lit(sorted(prefixes(shares, cosine)))
+    idf = spark.createDataFrame(list(weight_of.items()), "term string, idf double")
+    weights = spark.createDataFrame([(i, STATEMENTS[i][0], w, x) for i, own in enumerate(shares) for w, x in own.items()], "form int, license string, term string, w double")
     # of the squared length of a passage its templates' words must hold the square of the cosine
-    square = F.create_map(*(F.lit(x) for w in vocabulary for x in (w, float(smooth_idf(n, df.get(w, 0))) ** 2)))
+    square = F.create_map(*(F.lit(x) for w in vocabulary for x in (w, weight_of[w] ** 2)))
 
     def judged(own: Column) -> Column:
         """The words, and whether they may be a statement; bound once for each passage."""
@@ -90,7 +126,10 @@ def scan(files: DataFrame, cosine: float = COSINE, file_share: float = FILE_SHAR
         other = F.size(F.array_except(own, F.lit(vocabulary)))
         return F.struct(own.alias("words"), ((F.size(own) > 0) & (weight * (1 - cosine**2) + 1e-9 >= other * (unseen * cosine) ** 2)).alias("may"))
 
-    words = passages.select("id", "at", F.get(F.transform(F.array(_words(F.col("passage"))), judged), F.lit(0)).alias("j")).where("j.may").select("id", "at", "j.words")
+    runs = lambda s: F.when(F.contains(s, F.lit("\n")), F.concat(F.array(s), F.split(s, "\n"))).otherwise(F.array(s))
+    near = texts.where(F.arrays_overlap("every", heads)).select("id", F.posexplode(F.flatten(F.transform(F.split("body", SENTENCE), runs))).alias("at", "passage"))
+    near = near.where(F.arrays_overlap(F.split(F.lower("passage"), WORD_ENDS), heads))
+    words = near.select("id", "at", F.get(F.transform(F.array(_words(F.col("passage"))), judged), F.lit(0)).alias("j")).where("j.may").select("id", "at", "j.words")
     near = words.select("id", "at", F.size("words").alias("n_words"), F.explode("words").alias("term"))
     tf = near.groupBy("id", "at", "n_words", "term").agg(F.count(F.lit(1)).alias("tf")).join(F.broadcast(idf), "term", "left").withColumn("p", F.col("tf") * F.coalesce("idf", F.lit(unseen)))
     tf = written(tf.select("id", "at", "n_words", "term", "p"), "license-terms")
@@ -102,22 +141,20 @@ def scan(files: DataFrame, cosine: float = COSINE, file_share: float = FILE_SHAR
     own = written(own, "license-own")
     directory = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
     named = F.regexp_extract("path", r"([^/]*)$", 1).rlike(r"(?i)^(licen[cs]e|copying|notice)")
-    stated = base.join(own, "id").dropDuplicates(["id"]).select("id", "own", "score", directory.alias("directory"), (named | (F.col("words") >= file_share * F.size(_words(F.col("body"))))).alias("is_file"))
+    stated = base.join(own, "id").select("id", "own", "score", directory.alias("directory"), (named | (F.col("words") >= file_share * F.size(_words(F.col("body"))))).alias("is_file"))
     stated = written(stated, "license-stated")
     covers = stated.where("is_file").groupBy("directory").agg(F.min(F.struct(-F.col("score"), F.col("own"))).alias("b")).select(F.col("directory").alias("up"), F.col("b.own").alias("inherited"))
     dirs = base.select(directory.alias("directory")).distinct()
     parts = F.split("directory", "/")
     above = dirs.select("directory", F.explode(F.array_union(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/")), F.array(F.lit("")))).alias("up"))
     nearest = above.join(covers, "up").groupBy("directory").agg(F.max_by("inherited", F.length("up")).alias("inherited"), F.max(F.length("up")).alias("n")).select("directory", "inherited", F.expr("left(directory, n)").alias("from"))
-    rows = base.select("id", "path", directory.alias("directory")).dropDuplicates(["id"]).join(stated.select("id", "own", "score", "is_file"), "id", "left").join(nearest, "directory", "left")
+    rows = base.select("id", "path", directory.alias("directory")).join(stated.select("id", "own", "score", "is_file"), "id", "left").join(nearest, "directory", "left")
     origin = F.when(F.col("own").isNull(), F.when(F.col("inherited").isNotNull(), "inherited")).otherwise(F.when(F.col("is_file"), "file").otherwise("header"))
     return rows.select("id", "path", F.coalesce("own", "inherited").alias("license"), origin.alias("origin"), "score", F.when(F.col("own").isNull(), F.col("from")).alias("directory"))
 
 
 def smooth_idf(n: int, df: int) -> float:
     """Smoothed inverse document frequency."""
-    from math import log
-
     return log((1 + n) / (1 + df)) + 1
 
 

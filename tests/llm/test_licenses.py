@@ -38,8 +38,8 @@ def brute_force(rows):
     split = lambda t: [p for s in re.split(licenses.SENTENCE, t) for p in ([s, *s.split("\n")] if "\n" in s else [s])]
     passages = [(i, words(p)) for i, t in rows for p in split(t)]
     vocabulary = {w for _, t in licenses.STATEMENTS for w in words(t)}
-    n = len(passages)
-    df = {w: sum(w in p for _, p in passages) for w in vocabulary}
+    n = len(rows)
+    df = {w: sum(w in words(t) for _, t in rows) for w in vocabulary}
     idf = lambda w: math.log((1 + n) / (1 + df.get(w, 0))) + 1
     vector = lambda ws: {w: ws.count(w) * idf(w) for w in ws}
     norm = lambda v: math.sqrt(sum(x * x for x in v.values())) or 1.0
@@ -75,5 +75,26 @@ def test_real_statements_and_cosines_match_brute_force(spark):
     assert all(abs(got[i][1] - s) < 1e-6 for i, (_, s) in want.items())
 
 
+def test_rows_of_one_id_are_one_file(spark):
+    """Run on both orders: text and directory come from one row, that of the smallest path."""
+    rows = [(1, "b/y.txt", "Released under the MIT License."), (1, "a/x.txt", "plain text"), (2, "a/z.txt", "other"), (3, "b/w.txt", "other"), (4, "z/c", "Licensed under CC BY 4.0."), (4, "z/c", "Licensed under CC BY 4.0.")]
+    for order in (rows, rows[::-1]):
+        got = {r["id"]: (r["path"], r["license"]) for r in licenses.scan(spark.createDataFrame(order, "id long, path string, body string").coalesce(1)).collect()}
+        assert got == {1: ("a/x.txt", None), 2: ("a/z.txt", None), 3: ("b/w.txt", None), 4: ("z/c", "CC-BY-4.0")}
+
+
+def test_prefixes_lose_no_passage():
+    """Whatever part of a template's words a passage holds, without a word of prefixes() it stays under the cosine."""
+    import random
+
+    rng = random.Random(8)
+    idf = {w: 1 + rng.random() * 9 for words in licenses.template_words() for w in words}
+    weights = licenses.template_weights(idf)
+    heads = licenses.prefixes(weights, 0.55)
+    assert heads < set(idf)
+    for own in weights:
+        assert sum(x * x for w, x in own.items() if w not in heads) < 0.55**2
+
+
 def test_empty(spark):
     assert licenses.scan(spark.createDataFrame([], "id long, path string, body string")).count() == 0
