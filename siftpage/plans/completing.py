@@ -8,12 +8,12 @@ from siftpage.operators import completions as C
 from siftpage.plans.fixtures import Fixture
 from siftpage.plans.queries import query
 
-_FULL = '{"answer": "It is **42**.", "structural_form": "listing", "shape": "records", "obstacle": "paywalled", "also_here": ["a", "", 3, "b"], "other_pages": [{"handle": 3, "reason": "next", "kind": "structural"}, {"url": "https://x.com/", "kind": "odd"}, {"handle": true}, 7, {"url": ""}], "refinement_axes": [{"dimension": "price", "how": "sort"}, {"how": "x"}, {"dimension": "size", "how": 4}], "item_total_seen": 120, "blocked_gate": 2}'
+_FULL = '{"answer": "It is **42** §.", "structural_form": "listing", "shape": "records", "obstacle": "paywalled", "also_here": ["a", "", 3, "b"], "other_pages": [{"handle": 3, "reason": "next", "kind": "structural"}, {"url": "https://x.com/", "kind": "odd"}, {"handle": true}, 7, {"url": ""}], "refinement_axes": [{"dimension": "price", "how": "sort"}, {"how": "x"}, {"dimension": "size", "how": 4}], "item_total_seen": 120, "blocked_gate": 2}'
 _TEXTS = [
-    _FULL, "```json\n" + _FULL + "\n```", '{"answer": "plain"}', '{"answer": "half", "structural_form": "article"}', '{"answer": ""}', '{"answer": 5, "shape": "prose"}', '{"structural_form": "article", "shape": "prose"}', "just prose", "prose ```json\n{\"answer\": 1\n``` tail",
+    _FULL, "```json\n" + _FULL + "\n```", '{"answer": "plain §"}', '{"answer": "half", "structural_form": "article"}', '{"answer": ""}', '{"answer": 5, "shape": "prose"}', '{"structural_form": "article", "shape": "prose"}', "just prose of §", "prose ```json\n{\"answer\": 1\n``` tail",
     '{"answer": "typed", "structural_form": 3, "shape": "", "also_here": "one", "other_pages": {"url": "u"}, "refinement_axes": "", "item_total_seen": true, "blocked_gate": "1"}', '{"answer": "x ```next_links\\n[]\\n``` y", "structural_form": "poem", "shape": "prose", "obstacle": "gone"}', "[1, 2]", "", '{"answer": "n", "structural_form": null, "shape": null, "also_here": null}',
 ]
-ROUTED = Fixture("id int, text string, provider_error string", [(i, t, None) for i, t in enumerate(_TEXTS)] + [(len(_TEXTS), "", "timeout")])
+ROUTED = Fixture("documents: id int, text string, provider_error string", [(i, t, None) for i, t in enumerate(_TEXTS)] + [(len(_TEXTS), "", "timeout")])
 
 _UNWRAP = r"CASE WHEN regexp_matches(text, '(?s)^\s*```[A-Za-z_]*[ \t]*\n(.*?)\n?```\s*$') THEN regexp_extract(text, '(?s)^\s*```[A-Za-z_]*[ \t]*\n(.*?)\n?```\s*$', 1) ELSE text END"
 _PROSE = "trim(regexp_replace({0}, '(?s)```.*?(?:```|$)', '', 'g'))"
@@ -35,7 +35,7 @@ _absent = lambda n: f"CASE WHEN json_type(j, '$.{n}') IS NULL THEN '{n}' END"  #
     CASE WHEN ans IS NOT NULL THEN concat_ws(',', {_absent('structural_form')}, {_absent('shape')}, {_bad('also_here')}, {_bad('other_pages')}, {_bad('refinement_axes')}) END AS wobbles FROM a
 """)
 def jsn1_jsn2_routed(spark, sf_dir):
-    r = ROUTED.df(spark).select("id", C.routed(F.col("text"), F.col("provider_error")).alias("r")).select("id", "r.*")
+    r = ROUTED.df(spark, sf_dir).select("id", C.routed(F.col("text"), F.col("provider_error")).alias("r")).select("id", "r.*")
     page = lambda p: F.concat(F.coalesce(p["handle"].cast("string"), p["url"]), F.lit(" "), p["reason"], F.lit(" "), p["kind"])
     return r.select("id", "answer", "arm", "form", "shape", "obstacle", F.array_join("also_here", "|").alias("also_here"), F.array_join(F.transform("other_pages", page), "|").alias("pages"), F.array_join(F.transform("axes", lambda a: F.concat(a["dimension"], F.lit("="), a["how"])), "|").alias("axes"), "item_total_seen", "blocked_gate", F.array_join("wobbles", ",").alias("wobbles"))
 
@@ -49,7 +49,7 @@ _in = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
     SELECT id, violating, CASE WHEN violating = '' THEN f END AS form, coalesce(violating = '' AND f IN {_in(C.GUIDED)}, false) AS guided FROM w
 """)
 def flt13_jsn6_projected_routing(spark, sf_dir):
-    r = ROUTED.df(spark).select("id", C.routed(F.col("text"), F.col("provider_error")).alias("r")).select("id", "r.*").where("wobbles is not null")
+    r = ROUTED.df(spark, sf_dir).select("id", C.routed(F.col("text"), F.col("provider_error")).alias("r")).select("id", "r.*").where("wobbles is not null")
     bad = F.array_join(C.violations(F.col("form"), F.col("shape"), F.col("obstacle")), ",")
     form = F.when(F.col("violating") == "", F.col("form"))
     guide = F.broadcast(spark.createDataFrame([(g, True) for g in C.GUIDED], "kept string, guided boolean"))
@@ -57,7 +57,7 @@ def flt13_jsn6_projected_routing(spark, sf_dir):
 
 
 _VERDICTS = ['{"scores": [3, 4], "overall": 4, "reached": false, "reasoning": "ok"}', 'Sure: {"scores": ["5", 2.9, true], "overall": "3"} done', "```json\n{\"scores\": [], \"overall\": 2.9}\n```", '{"scores": [1], "overall": [4]}', '{"scores": ["x"], "overall": 4}', '{"overall": 4}', "no object", '{"scores": [1], "overall": 1, "reached": "yes", "reasoning": null}', "", '{"scores": 3, "overall": 3}', '{"scores": [0], "overall": 3, "reached": null}', '{"scores": [2], "overall": 2, "reached": 0}']
-JUDGED = Fixture("id int, text string", list(enumerate(_VERDICTS)))
+JUDGED = Fixture("documents: id int, text string", list(enumerate(_VERDICTS)))
 _INT = r"CASE WHEN json_type({0}) = 'BOOLEAN' THEN ({0})::BOOLEAN::BIGINT WHEN json_type({0}) IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN trunc(({0})::DOUBLE)::BIGINT WHEN json_type({0}) = 'VARCHAR' AND regexp_matches({0}->>'$', '^\s*[+-]?[0-9]+\s*$') THEN TRY_CAST(trim({0}->>'$') AS BIGINT) END"
 
 
@@ -72,11 +72,11 @@ def _judged_sql(j: str) -> str:
     SELECT t.id, array_to_string(scores, ',') AS scores, overall, reached, reasoning FROM {JUDGED.sql} t LEFT JOIN f USING (id)
 """)
 def jsn3_str11_judged(spark, sf_dir):
-    r = JUDGED.df(spark).select("id", C.judged(F.col("text")).alias("j"))
+    r = JUDGED.df(spark, sf_dir).select("id", C.judged(F.col("text")).alias("j"))
     return r.select("id", F.array_join(F.col("j.scores").cast("array<string>"), ",").alias("scores"), "j.overall", "j.reached", "j.reasoning")
 
 
-CLARITY = Fixture("id int, text string", list(enumerate(['{"clarity": 4, "reasoning": "clear"}', 'I say {"clarity": "3"}.', '{"clarity": null}', '{"reasoning": "x"}', "nothing", '{"clarity": 4.7}'])))
+CLARITY = Fixture("documents: id int, text string", list(enumerate(['{"clarity": 4, "reasoning": "clear"}', 'I say {"clarity": "3"}.', '{"clarity": null}', '{"reasoning": "x"}', "nothing", '{"clarity": 4.7}'])))
 
 
 @query(rf"""
@@ -84,11 +84,11 @@ CLARITY = Fixture("id int, text string", list(enumerate(['{"clarity": 4, "reason
     SELECT id, score, CASE WHEN score IS NOT NULL THEN reasoning END AS reasoning FROM s
 """)
 def jsn4_clarity(spark, sf_dir):
-    return CLARITY.df(spark).select("id", C.scored(F.col("text"), "clarity").alias("s")).select("id", "s.score", "s.reasoning")
+    return CLARITY.df(spark, sf_dir).select("id", C.scored(F.col("text"), "clarity").alias("s")).select("id", "s.score", "s.reasoning")
 
 
 _LINKED = ['Answer.\n\n```next_links\n[{"anchor": "a", "url": "u", "reason": "r", "kind": "source"}, {"anchor": "b", "url": "v", "reason": "r", "kind": "discussion"}, {"anchor": 1, "url": "w", "reason": "r", "kind": "related"}, 5]\n```', "No links", "Broken\n```next_links\n[{\n```", "Up\n```NEXT_LINKS\n[]\n```\nafter"]
-LINKED = Fixture("id int, text string", list(enumerate(_LINKED)))
+LINKED = Fixture("documents: id int, text string", list(enumerate(_LINKED)))
 _FENCE = r"'(?is)```next_links\s*\n(.*?)\n```'"
 
 
@@ -98,5 +98,5 @@ _FENCE = r"'(?is)```next_links\s*\n(.*?)\n```'"
     coalesce(array_to_string(list_transform(list_filter(CASE WHEN json_type(j) = 'ARRAY' THEN json_extract(j, '$[*]') ELSE [] END, lambda x: json_type(x, '$.anchor') = 'VARCHAR' AND json_type(x, '$.url') = 'VARCHAR' AND json_type(x, '$.reason') = 'VARCHAR' AND (x->>'$.kind') IN ('drilldown', 'related', 'source')), lambda x: (x->>'$.kind') || ' ' || (x->>'$.url')), '|'), '') AS links FROM p
 """)
 def jsn5_str10_split_links(spark, sf_dir):
-    r = LINKED.df(spark).select("id", C.split_links(F.col("text")).alias("s"))
+    r = LINKED.df(spark, sf_dir).select("id", C.split_links(F.col("text")).alias("s"))
     return r.select("id", F.regexp_replace("s.answer", r"\s+$", "").alias("answer"), F.array_join(F.transform("s.links", lambda x: F.concat(x["kind"], F.lit(" "), x["url"])), "|").alias("links"))

@@ -15,12 +15,12 @@ _GOOD = {
     "content_md": "The body with https://x.com/a in it", "input_menu": "menu text", "narrative": "raw → ok", "hint_severities": {"listing_partial": "info", "content_thin": "warning"}, "confidence": "medium", "page_url": "https://x.com/", "other_pages": [{"url": "https://x.com/p", "anchor": "P", "kind": "drilldown"}, {"url": "https://x.com/q", "anchor": " ", "kind": "structural"}],
     "options": [{"title": "one", "url": "https://x.com/1"}, {"title": "two", "url": None}], "also_here": ["q1"], "refinement_axes": [], "declared_type": "Product", "declared_fields": {"name": "n", "price": "1"}, "declared_omitted": 0}
 _BARE: dict = {"status": "failed", "retrieval_incomplete": True, "confidence": "odd"}
-OBSERVED = Fixture("slug string, observed string", [("good", json.dumps(_GOOD)), ("bare", json.dumps(_BARE))])
+OBSERVED = Fixture("documents: slug string, observed string", [("good", json.dumps(_GOOD)), ("bare", json.dumps(_BARE))])
 _DEMANDS = {
     "tier": "raw", "status": "ok", "has_content": True, "answer_present": True, "retrieval_incomplete": False, "narrative_present": False, "answer_contains": "https", "tokens_full_max": 800, "next_links_min": 2, "operator_hints": ["listing_partial", "content_thin"], "steps": ["raw"], "content_includes": ["body", "gone"], "content_excludes": ["The", "zzz"],
     "input_menu_includes": ["menu"], "input_menu_excludes": ["menu"], "narrative_includes": ["ok"], "answer_excludes": ["made"], "operator_hints_include": ["content_thin", "try_user_browser"], "operator_hints_exclude": ["listing_partial"], "hint_severity": {"content_thin": "critical", "listing_partial": "info", "x": "info"}, "confidence_max": "low", "other_pages_min": 2,
     "other_pages_kinds": ["drilldown"], "other_pages_all_have_anchor": True, "options_min": 3, "options_max": 1, "options_all_have_url": False, "also_here_min": 1, "index_non_empty": True, "answer_urls_traceable": True, "declared_entity_type": "Product", "declared_fields_min": 3, "declared_omitted_min": 0, "no_such_key": 1}
-DEMANDS = Fixture("slug string, key string, expected string", [(s, k, json.dumps(v)) for s in ("good", "bare") for k, v in _DEMANDS.items()])
+DEMANDS = Fixture("documents: slug string, key string, expected string", [(s, k, json.dumps(v)) for s in ("good", "bare") for k, v in _DEMANDS.items()])
 
 _o = lambda n: f"json_extract_string(o, '$.{n}')"
 _num = lambda n: f"coalesce(TRY_CAST({_o(n)} AS BIGINT), 0)"
@@ -53,7 +53,7 @@ del _CHECKS["confidence"]
     SELECT slug, key, CASE WHEN key = 'no_such_key' THEN 'unknown' WHEN key IN ('steps', 'input_menu_includes', 'input_menu_excludes') THEN 'unsupported' WHEN n > 0 THEN 'failed' ELSE 'passed' END AS result, coalesce(n, 0)::INT AS failed FROM f
 """)
 def agg30_jon18_set3_case_contracts(spark, sf_dir):
-    return C.check(DEMANDS.df(spark), OBSERVED.df(spark), [k for k in C.KEYS if k not in C.REPLAY_ONLY])
+    return C.check(DEMANDS.df(spark, sf_dir), OBSERVED.df(spark, sf_dir), [k for k in C.KEYS if k not in C.REPLAY_ONLY])
 
 
 @query(f"""
@@ -61,10 +61,10 @@ def agg30_jon18_set3_case_contracts(spark, sf_dir):
     SELECT slug, key, CASE WHEN n > 0 THEN 'failed' ELSE 'passed' END AS result, n::INT AS failed FROM (SELECT slug, key, CASE {' '.join(f"WHEN key = '{k}' THEN {_CHECKS[k]}" for k in [*C.REPLAY_ONLY, 'content_includes'])} END AS n FROM b)
 """)
 def agg30_replay_contracts(spark, sf_dir):
-    return C.check(DEMANDS.df(spark).where(F.col("key").isin(*C.REPLAY_ONLY, "content_includes")), OBSERVED.df(spark))
+    return C.check(DEMANDS.df(spark, sf_dir).where(F.col("key").isin(*C.REPLAY_ONLY, "content_includes")), OBSERVED.df(spark, sf_dir))
 
 
-_ENVELOPES = Fixture("id int, envelope string, requested string, debug boolean", [(i, json.dumps(e), "https://x.com/", i % 2 == 1) for i, e in enumerate([
+_ENVELOPES = Fixture("events: id int, envelope string, requested string, debug boolean", [(i, json.dumps(e), "https://x.com/", i % 2 == 1) for i, e in enumerate([
     {"answer": "x"}, {"status": "ok", "tier": "raw", "url": "https://x.com/"}, {"url": "https://y.com/", "debug": {}}, {"debug": {"t": 1}}, {"next_links": []}, {"next_links": "  "}, {"next_links": "anchor\turl\nA\tu"}, {"retrieval_incomplete": True}, {"retrieval_incomplete": True, "status": "failed", "narrative": "why", "operator_hints": [{"code": "c"}]}, {"retrieval_incomplete": True, "status": "partial", "narrative": " ", "operator_hints": []}, {"retrieval_incomplete": False, "status": "failed"}])])
 
 
@@ -75,4 +75,4 @@ _ENVELOPES = Fixture("id int, envelope string, requested string, debug boolean",
     CASE WHEN inc AND trim(coalesce(v->>'$.narrative', '')) = '' THEN 'incomplete_no_narrative' END, CASE WHEN inc AND coalesce(json_array_length(v, '$.operator_hints'), 0) = 0 THEN 'incomplete_no_hint' END) AS broken FROM e
 """)
 def agg29_envelope_violations(spark, sf_dir):
-    return _ENVELOPES.df(spark).select("id", F.array_join(C.envelope_violations(F.col("envelope"), F.col("requested"), F.col("debug")), ",").alias("broken"))
+    return _ENVELOPES.df(spark, sf_dir).select("id", F.array_join(C.envelope_violations(F.col("envelope"), F.col("requested"), F.col("debug")), ",").alias("broken"))

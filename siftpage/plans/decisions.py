@@ -88,8 +88,8 @@ _CASES = [
     (_PAGE, (0, 0, 2, 1), False, [_tier("proxy_unavailable", 0)]),
     (_PAGE, (0, 0, 0, 0), False, [_tier("timeout", 0), _tier("ok"), _gate("ok")]),
 ]
-REQUESTS = Fixture("fetch_id int, url string, url_rewrites int, archive_dispatches int, browser_dispatches int, paid_dispatches int, answered boolean", [(i, u, *n, a) for i, (u, n, a, _) in enumerate(_CASES)])
-OBSERVATIONS = Fixture("fetch_id int, seq int, kind string, source string, verdict string, subsystem string, next_tier string, authoritative boolean, status_code int, cloudflare boolean, blocks int", [(i, k, *o) for i, (*_, log_) in enumerate(_CASES) for k, o in enumerate(log_)])
+REQUESTS = Fixture("events: fetch_id int, url string, url_rewrites int, archive_dispatches int, browser_dispatches int, paid_dispatches int, answered boolean", [(i, u, *n, a) for i, (u, n, a, _) in enumerate(_CASES)])
+OBSERVATIONS = Fixture(f"events/{len(_CASES)}: fetch_id int, seq int, kind string, source string, verdict string, subsystem string, next_tier string, authoritative boolean, status_code int, cloudflare boolean, blocks int", [(i, k, *o) for i, (*_, log_) in enumerate(_CASES) for k, o in enumerate(log_)])
 
 _FAILED = "kind = 'tier_outcome' AND browser_dispatches < 2"
 _RULES = [
@@ -116,7 +116,7 @@ _SEEN = f"(SELECT r.*, f.* EXCLUDE (fetch_id, last), last.kind, last.verdict AS
     SELECT fetch_id, rule, action, CASE action WHEN 'rewrite_url' THEN 'https://arxiv.org/abs/' || regexp_extract(url, '(?i)/pdf/([^/?#]+?)(\\.pdf)?([/?#].*)?$', 1) WHEN 'retry_via_archive' THEN url END AS target FROM a
 """)
 def pln1_pln10_decide_next(spark, sf_dir):
-    return planner.decide_next(REQUESTS.df(spark), OBSERVATIONS.df(spark))
+    return planner.decide_next(REQUESTS.df(spark, sf_dir), OBSERVATIONS.df(spark, sf_dir))
 
 
 _CLEAR = "verdict <> 'ok' AND NOT hard_wall AND NOT blocked AND NOT challenged AND tier_ok"
@@ -130,9 +130,9 @@ _CLEAR = "verdict <> 'ok' AND NOT hard_wall AND NOT blocked AND NOT challenged A
     CASE WHEN promoted = 'empty' THEN 'info' WHEN outcome = 'wall' THEN 'critical' WHEN outcome = 'gone_confirmed' AND NOT gone_said THEN 'info' WHEN outcome IN ('gone_unverified', 'thin_unverified', 'empty_unverified') THEN 'warning' END AS severity FROM o
 """)
 def pln14_pln15_agg4_agg5_final_states(spark, sf_dir):
-    return planner.final_states(REQUESTS.df(spark), OBSERVATIONS.df(spark))
+    return planner.final_states(REQUESTS.df(spark, sf_dir), OBSERVATIONS.df(spark, sf_dir))
 
 
 @query(f"SELECT fetch_id, verdict FROM ({_facts_sql(OBSERVATIONS.sql)})")
 def agg1_contention_cases(spark, sf_dir):
-    return log.resolve_verdicts(OBSERVATIONS.df(spark)).select("fetch_id", "verdict")
+    return log.resolve_verdicts(OBSERVATIONS.df(spark, sf_dir)).select("fetch_id", "verdict")

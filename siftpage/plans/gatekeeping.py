@@ -51,12 +51,12 @@ _PAGES = [
     (_LONG, '<script src=a></script><noscript>n</noscript>', None, "raw", "a.com", False, False),
     ("", "", None, "raw", "a.com", False, False),
 ]
-PAGES = Fixture("id int, md string, html string, content_type string, tier string, host string, is_json boolean, structured boolean", [(i, *p) for i, p in enumerate(_PAGES)])
+PAGES = Fixture("pages: id int, md string, html string, content_type string, tier string, host string, is_json boolean, structured boolean", [(i, *p) for i, p in enumerate(_PAGES)])
 
 
 @query(f"SELECT id, verdict, subsystem, next_tier FROM ({gate_sql(PAGES.sql, 'id')})")
 def gat1_gat15_every_rung(spark, sf_dir):
-    return PAGES.df(spark).select("id", G.gate(F.col("md"), F.col("html"), F.col("content_type")).alias("g")).select("id", "g.*")
+    return PAGES.df(spark, sf_dir).select("id", G.gate(F.col("md"), F.col("html"), F.col("content_type")).alias("g")).select("id", "g.*")
 
 
 _HEAVY = ", ".join(f"'{h}'" for h in P.JS_HEAVY)
@@ -69,7 +69,7 @@ _HEAVY = ", ".join(f"'{h}'" for h in P.JS_HEAVY)
     SELECT id, CASE WHEN lift IS NULL THEN verdict ELSE 'ok' END AS verdict, CASE WHEN lift IS NULL THEN subsystem END AS subsystem, CASE WHEN lift IS NULL OR lift = 'bare' THEN next_tier END AS next_tier, coalesce(lift IN ('bare', 'marked'), false) AS promoted FROM b
 """)
 def gat16_gat19_overlays(spark, sf_dir):
-    p = PAGES.df(spark).withColumn("g", G.gate(F.col("md"), F.col("html"), F.col("content_type")))
+    p = PAGES.df(spark, sf_dir).withColumn("g", G.gate(F.col("md"), F.col("html"), F.col("content_type")))
     over = G.overlaid(F.col("g"), F.col("md"), F.col("tier"), F.col("host"), F.col("is_json"), F.col("structured"), P.JS_HEAVY)
     return p.select("id", over.alias("o")).select("id", "o.*")
 
@@ -79,13 +79,13 @@ def gat16_gat19_overlays(spark, sf_dir):
     JOIN (SELECT id, CASE WHEN verdict IN ('anti_bot', 'block_page_detected') THEN verdict END AS challenge FROM ({gate_sql(f'(SELECT id, md, html, NULL AS content_type FROM {PAGES.sql})', 'id')})) c USING (id)
 """)
 def gat20_gat21_regate_and_challenge(spark, sf_dir):
-    p = PAGES.df(spark).select("id", G.regate(F.col("html")).alias("r"), G.challenge(F.col("md"), F.col("html")).alias("c"))
+    p = PAGES.df(spark, sf_dir).select("id", G.regate(F.col("html")).alias("r"), G.challenge(F.col("md"), F.col("html")).alias("c"))
     return p.select("id", F.col("r.verdict").alias("regated"), "r.subsystem", F.col("c.verdict").alias("challenge"))
 
 
 @query(f"SELECT id, regexp_matches(html, {_q(P.SCRIPT)}) AND regexp_matches(html, {_q(P.SPA_MOUNT)}) AS shell, length({_VISIBLE.format('html')}) AS visible FROM {PAGES.sql}")
 def flt3_unrendered_shell(spark, sf_dir):
-    return PAGES.df(spark).select("id", G.unrendered_shell(F.col("html")).alias("shell"), F.length(G.visible_text(F.col("html"))).alias("visible"))
+    return PAGES.df(spark, sf_dir).select("id", G.unrendered_shell(F.col("html")).alias("shell"), F.length(G.visible_text(F.col("html"))).alias("visible"))
 
 
 @query(f"SELECT host, host IN ('x.com', 'shop.example', {_HEAVY}) AS js_heavy FROM (SELECT DISTINCT regexp_replace(lower(host), '^www\\.', '') AS host FROM {PAGES.sql} WHERE host IS NOT NULL UNION SELECT 'shop.example')")
@@ -93,5 +93,5 @@ def flt4_set4_js_heavy_hosts(spark, sf_dir):
     """The seed and the operator's extras, trimmed and in lower case, are one set."""
     extras = spark.createDataFrame([(" Shop.Example ",), ("",), ("x.com",)], "host string").select(F.lower(F.trim("host")).alias("host")).where("host <> ''")
     heavy = spark.createDataFrame([(h,) for h in P.JS_HEAVY], "host string").union(extras).distinct().withColumn("js_heavy", F.lit(True))
-    seen = PAGES.df(spark).where("host is not null").select(F.regexp_replace(F.lower("host"), r"^www\.", "").alias("host")).union(spark.createDataFrame([("shop.example",)], "host string")).distinct()
+    seen = PAGES.df(spark, sf_dir).where("host is not null").select(F.regexp_replace(F.lower("host"), r"^www\.", "").alias("host")).union(spark.createDataFrame([("shop.example",)], "host string")).distinct()
     return seen.join(F.broadcast(heavy), "host", "left").select("host", F.coalesce("js_heavy", F.lit(False)).alias("js_heavy"))

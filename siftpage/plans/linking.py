@@ -11,7 +11,7 @@ from siftpage.plans.queries import _q, query, table
 # One page's links, one row each: page_id, url of the page, place, href, label.
 _BASES = ["https://x.com/a/b/page?q=1#top", "https://www.shop.example.com", "http://h.net:8080/d/"]
 _HREFS = ["c", "../d", "//y.com/z", "/r/./s/../t", "?p=2", "#frag", "", "  ", "mailto:a@b.c", "TEL:+12", "javascript:void(0)", "data:x,y", "https://x.com/a/b/page/?q=1", "HTTP://Other.org/Path/#f", "ftp://f.com/x", "./", "..", "../../../../up", "e//f", "c/?k=v#z", "c", "https://a.shop.example.com/i", "https://example.com/j", "page", "blob:1", "about:blank", "http://h.net/d"]
-HREFS = Fixture("page_id int, url string, pos int, href string, label string", [(p, b, i, h, ["First ", "", "Second", "First"][(i + p) % 4]) for p, b in enumerate(_BASES) for i, h in enumerate(_HREFS)])
+HREFS = Fixture("pages/8: page_id int, url string, pos int, href string, label string", [(p, b, i, h, ["First §", "", "Second", "First §"][(i + p) % 4]) for p, b in enumerate(_BASES) for i, h in enumerate(_HREFS)])
 
 _NETLOC = "regexp_extract({0}, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)"
 _PATHQ = "regexp_extract({0}, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)', 1)"
@@ -45,13 +45,13 @@ def _digest_sql(source: str) -> str:
 
 @query(f"SELECT page_id, pos, abs AS href, key, contact AS is_contact FROM ({_resolve_sql(HREFS.sql)})")
 def url2_lnk2_resolved(spark, sf_dir):
-    found = HREFS.df(spark).select("page_id", "pos", L.resolved(F.col("url"), F.col("href")).alias("r")).where("r is not null")
+    found = HREFS.df(spark, sf_dir).select("page_id", "pos", L.resolved(F.col("url"), F.col("href")).alias("r")).where("r is not null")
     return found.select("page_id", "pos", "r.href", "r.key", "r.is_contact")
 
 
 @query(f"SELECT page_id, handle, array_to_string(labels, '|') AS labels, href, off_domain, is_contact FROM ({_digest_sql(HREFS.sql)})")
 def agg26_win2_digest_of_odd_links(spark, sf_dir):
-    return L.digest(HREFS.df(spark)).withColumn("labels", F.array_join("labels", "|"))
+    return L.digest(HREFS.df(spark, sf_dir)).withColumn("labels", F.array_join("labels", "|"))
 
 
 _A = r"""'(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s>"'']+))[^>]*>(.*?)</a>'"""
@@ -71,11 +71,11 @@ _SHOWN = f"CASE WHEN off_domain THEN {_NETLOC.format('href')} ELSE '' END || CAS
 def str15_digest_block(spark, sf_dir):
     c = F.col
     line = L.rendered(c("handle"), c("labels"), c("href"), c("off_domain"), c("is_contact"))
-    rows = L.digest(HREFS.df(spark)).select("page_id", F.struct("handle", line.alias("line")).alias("r"))
+    rows = L.digest(HREFS.df(spark, sf_dir)).select("page_id", F.struct("handle", line.alias("line")).alias("r"))
     return rows.groupBy("page_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["line"]), "\n").alias("block"))
 
 
-ANSWERS = Fixture("page_id int, text string", [(0, "See {{1}} and {{3}}, not {{99}} or {{ 2 }} {{x}}."), (1, "{{1}}{{1}}"), (2, "no handle"), (7, "lost {{1}}")])
+ANSWERS = Fixture("pages/8: page_id int, text string", [(0, "See {{1}} and {{3}}, not {{99}} or {{ 2 }} {{x}}."), (1, "{{1}}{{1}}"), (2, "no handle"), (7, "lost {{1}}")])
 
 
 @query(rf"""
@@ -84,11 +84,11 @@ ANSWERS = Fixture("page_id int, text string", [(0, "See {{1}} and {{3}}, not {{9
     SELECT page_id, list_reduce(list_prepend(text, list_transform(coalesce(s, []), lambda x: x.h || chr(1) || x.href)), lambda a, x: replace(a, '{{{{' || split_part(x, chr(1), 1) || '}}}}', split_part(x, chr(1), 2))) AS text FROM r
 """)
 def str7_rehydrated(spark, sf_dir):
-    hrefs = L.digest(HREFS.df(spark)).groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("handle", "href"))).alias("t"))
-    return ANSWERS.df(spark).join(hrefs, "page_id", "left").select("page_id", L.rehydrated(F.col("text"), F.coalesce("t", F.create_map().cast("map<int,string>"))).alias("text"))
+    hrefs = L.digest(HREFS.df(spark, sf_dir)).groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("handle", "href"))).alias("t"))
+    return ANSWERS.df(spark, sf_dir).join(hrefs, "page_id", "left").select("page_id", L.rehydrated(F.col("text"), F.coalesce("t", F.create_map().cast("map<int,string>"))).alias("text"))
 
 
-ENTRIES = Fixture("page_id int, pos int, handle int, url string, reason string, kind string", [
+ENTRIES = Fixture("pages/8: page_id int, pos int, handle int, url string, reason string, kind string", [
     (0, 0, 1, None, "specific one", "drilldown"), (0, 1, 999, None, "unknown", "drilldown"), (0, 2, None, "https://x.com/n", "discussed page", "drilldown"), (0, 3, None, "", "empty", "structural"), (0, 4, None, None, "none", "structural"),
     (0, 5, None, "https://x.com/n", "its own words", "drilldown"), (0, 6, None, "https://x.com/m", "item page", "drilldown"), (0, 7, None, "https://x.com/m", "item page", "structural"), (0, 8, None, "https://x.com/m", "discussion thread", "structural"),
     (1, 0, 2, "https://kept.com/", "by handle", "structural"), (1, 1, None, "https://w.com/1", "one", "structural"), (1, 2, None, "https://w.com/1", "two", "drilldown"), (1, 3, None, "https://w.com/1", "three", "structural")] + [(2, i, None, f"https://z.com/{i % 13}", f"r{i}", "drilldown") for i in range(30)])
@@ -96,7 +96,7 @@ ENTRIES = Fixture("page_id int, pos int, handle int, url string, reason string,
 
 @query(f"SELECT e.page_id, pos, coalesce(d.href, url) AS url, reason, kind, coalesce(d.off_domain, false) AS off_domain FROM {ENTRIES.sql} e LEFT JOIN ({_digest_sql(HREFS.sql)}) d ON d.page_id = e.page_id AND d.handle = e.handle WHERE d.href IS NOT NULL OR (e.handle IS NULL AND url <> '')")
 def jon1_handled_pages(spark, sf_dir):
-    return L.handled_pages(ENTRIES.df(spark), L.digest(HREFS.df(spark)))
+    return L.handled_pages(ENTRIES.df(spark, sf_dir), L.digest(HREFS.df(spark, sf_dir)))
 
 
 @query(f"""
@@ -105,28 +105,28 @@ def jon1_handled_pages(spark, sf_dir):
     SELECT page_id, place, url, reason, kind FROM o WHERE place <= 10
 """)
 def agg27_pln23_merged_pages(spark, sf_dir):
-    return L.merged_pages(ENTRIES.df(spark).where("url <> ''"))
+    return L.merged_pages(ENTRIES.df(spark, sf_dir).where("url <> ''"))
 
 
-GATES = Fixture("page_id int, handle int, label string, stated_count int", [(0, 1, "Reviews", 12), (0, 2, "Specs", None), (1, 1, "Q&A", 3)])
-BLOCKED = Fixture("page_id int, blocked_gate int", [(0, 2), (0, 9), (1, None), (2, 1)])
+GATES = Fixture("pages/8: page_id int, handle int, label string, stated_count int", [(0, 1, "Reviews", 12), (0, 2, "Specs", None), (1, 1, "Q&A", 3)])
+BLOCKED = Fixture("pages/8: page_id int, blocked_gate int", [(0, 2), (0, 9), (1, None), (2, 1)])
 
 
 @query(f"SELECT b.page_id, b.blocked_gate, g.label, CASE WHEN g.stated_count IS NULL THEN g.label ELSE g.label || ' (' || g.stated_count || ')' END AS shown FROM {BLOCKED.sql} b LEFT JOIN {GATES.sql} g ON g.page_id = b.page_id AND g.handle = b.blocked_gate")
 def jon2_str16_blocked_gate(spark, sf_dir):
-    g = GATES.df(spark).withColumnRenamed("handle", "blocked_gate")
+    g = GATES.df(spark, sf_dir).withColumnRenamed("handle", "blocked_gate")
     shown = F.when(F.col("stated_count").isNull(), F.col("label")).otherwise(F.concat("label", F.lit(" ("), F.col("stated_count").cast("string"), F.lit(")")))
-    return BLOCKED.df(spark).join(g, ["page_id", "blocked_gate"], "left").select("page_id", "blocked_gate", "label", shown.alias("shown"))
+    return BLOCKED.df(spark, sf_dir).join(g, ["page_id", "blocked_gate"], "left").select("page_id", "blocked_gate", "label", shown.alias("shown"))
 
 
-MODEL = Fixture("page_id int, pos int, url string, anchor string, kind string", [(0, 0, "https://a.com/1", "one", "drilldown"), (0, 1, "https://made.up/", "gone", "source"), (0, 2, "https://h.com/2", "two", "related"), (1, 0, "https://a.com/1", "x", "related")] + [(3, i, f"https://m.com/{i}", "m", "related") for i in range(7)])
-HANDLER = Fixture("page_id int, pos int, url string, anchor string, kind string", [(0, 0, "https://h.com/2", "two", "drilldown"), (0, 1, "https://h.com/3", "three", "discussion"), (2, 0, "https://h.com/4", "four", "drilldown")] + [(3, i, f"https://m.com/{i + 5}", "h", "drilldown") for i in range(9)])
-BODIES = Fixture("page_id int, markdown string", [(0, "see [one](https://a.com/1) there"), (3, "https://m.com/0")])
+MODEL = Fixture("pages/8: page_id int, pos int, url string, anchor string, kind string", [(0, 0, "https://a.com/1", "one", "drilldown"), (0, 1, "https://made.up/", "gone", "source"), (0, 2, "https://h.com/2", "two", "related"), (1, 0, "https://a.com/1", "x", "related")] + [(3, i, f"https://m.com/{i}", "m", "related") for i in range(7)])
+HANDLER = Fixture("pages/8: page_id int, pos int, url string, anchor string, kind string", [(0, 0, "https://h.com/2", "two", "drilldown"), (0, 1, "https://h.com/3", "three", "discussion"), (2, 0, "https://h.com/4", "four", "drilldown")] + [(3, i, f"https://m.com/{i + 5}", "h", "drilldown") for i in range(9)])
+BODIES = Fixture("pages/8: page_id int, markdown string", [(0, "see [one](https://a.com/1) there"), (3, "https://m.com/0")])
 
 
 @query(f"SELECT m.page_id, pos, m.url, anchor, kind, coalesce(contains(markdown, m.url), false) OR EXISTS (SELECT 1 FROM {HANDLER.sql} h WHERE h.page_id = m.page_id AND h.url = m.url) AS kept FROM {MODEL.sql} m LEFT JOIN {BODIES.sql} b ON b.page_id = m.page_id")
 def jon3_grounded_links(spark, sf_dir):
-    return L.grounded(MODEL.df(spark), BODIES.df(spark), HANDLER.df(spark))
+    return L.grounded(MODEL.df(spark, sf_dir), BODIES.df(spark, sf_dir), HANDLER.df(spark, sf_dir))
 
 
 @query(f"""
@@ -134,24 +134,24 @@ def jon3_grounded_links(spark, sf_dir):
     SELECT page_id, place, url, anchor, kind FROM o WHERE place <= 10
 """)
 def jon4_set1_lim1_composed_links(spark, sf_dir):
-    return L.composed(MODEL.df(spark), HANDLER.df(spark))
+    return L.composed(MODEL.df(spark, sf_dir), HANDLER.df(spark, sf_dir))
 
 
-_HOSTS = Fixture("url string", [("https://web.archive.org/web/2020/x",), ("http://x.archive.org/",), ("https://archive.ph/abc",), ("https://notarchive.org/",), ("https://User@Archive.is:443/q",), ("https://live.example.com/a?b=c#d",), ("https://example.com",), ("https://badexample.com/",), ("/relative/path?x#y",), ("mailto:a@b.c",)])
+_HOSTS = Fixture("events: id int, url string", [(i, *u) for i, u in enumerate([("https://web.archive.org/web/2020/x",), ("http://x.archive.org/",), ("https://archive.ph/abc",), ("https://notarchive.org/",), ("https://User@Archive.is:443/q",), ("https://live.example.com/a?b=c#d",), ("https://example.com",), ("https://badexample.com/",), ("/relative/path?x#y",), ("mailto:a@b.c",)])])
 
 
 @query(f"""
-    SELECT url, lower({_NETLOC.format('url')}) AS host, {_PATHQ.format('url')} AS path, {_QUERY.format('url')} AS query, regexp_extract(url, '^[^#]*#(.*)$', 1) AS fragment,
+    SELECT id, url, lower({_NETLOC.format('url')}) AS host, {_PATHQ.format('url')} AS path, {_QUERY.format('url')} AS query, regexp_extract(url, '^[^#]*#(.*)$', 1) AS fragment,
     {_HOSTNAME.format('url')} IN ({', '.join(_q(h) for h in L.ARCHIVES)}) OR {_HOSTNAME.format('url')} LIKE '%.archive.org' AS mirror, {_HOSTNAME.format('url')} = 'example.com' OR {_HOSTNAME.format('url')} LIKE '%.example.com' AS live_only FROM {_HOSTS.sql}
 """)
 def url1_flt1_flt5_hosts(spark, sf_dir):
     u = F.col("url")
-    return _HOSTS.df(spark).select("url", L.host(u).alias("host"), L.path(u).alias("path"), L.query_string(u).alias("query"), L.fragment(u).alias("fragment"), L.archive_mirror(u).alias("mirror"), L.under(L.hostname(u), ["example.com"]).alias("live_only"))
+    return _HOSTS.df(spark, sf_dir).select("id", "url", L.host(u).alias("host"), L.path(u).alias("path"), L.query_string(u).alias("query"), L.fragment(u).alias("fragment"), L.archive_mirror(u).alias("mirror"), L.under(L.hostname(u), ["example.com"]).alias("live_only"))
 
 
 # Records of three pages: heading anchor and href, and one further link.
 _RECORDS = [(0, "https://news.x.com/", 0, "Story", "https://blog.org/1", "12 comments", "https://news.x.com/item?id=1"), (0, "https://news.x.com/", 1, "", "https://www.news.x.com/2", "comments", "https://news.x.com/item?id=2"), (0, "https://news.x.com/", 2, "Again", "https://blog.org/1", "1 comment", "/item?id=3"), (0, "https://news.x.com/", 3, None, None, "5 Comments", "https://other.org/5"), (1, "https://www.shop.com/l", 0, "Item", "https://shop.com/i", "see", "https://shop.com/r"), (1, "https://www.shop.com/l", 1, "Old", "https://web.archive.org/x", "3 comments", "https://web.archive.org/y")]
-RECORDS = Fixture("page_id int, url string, pos int, anchor string, href string, anchor2 string, href2 string", _RECORDS)
+RECORDS = Fixture("pages: page_id int, url string, pos int, anchor string, href string, anchor2 string, href2 string", _RECORDS)
 
 
 @query(rf"""
@@ -162,4 +162,4 @@ RECORDS = Fixture("page_id int, url string, pos int, anchor string, href string,
 """)
 def pln22_record_links(spark, sf_dir):
     link = lambda a, h: F.struct(F.col(a).alias("anchor"), F.col(h).alias("href"))
-    return L.record_links(RECORDS.df(spark).select("page_id", "url", "pos", link("anchor", "href").alias("heading"), F.array(link("anchor2", "href2")).alias("links")))
+    return L.record_links(RECORDS.df(spark, sf_dir).select("page_id", "url", "pos", link("anchor", "href").alias("heading"), F.array(link("anchor2", "href2")).alias("links")))

@@ -9,64 +9,64 @@ from siftpage.plans.fixtures import Fixture
 from siftpage.plans.queries import query, table
 
 _HTML = [
-    '<html><head><title> The  Title </title><meta property="og:title" content="OG"><meta name="author" content="Ann"><meta name="author" content="Bob"><meta property="article:published_time" content="2018-01-01"><script>var p = "<p>no</p>";</script></head><body><nav><p>menu <a href="/m">m</a></p></nav><h1>Head &amp; more</h1><p>One <a href="/x">link <b>bold</b></a> end.<p>Two<ul><li>a<li>b</ul><blockquote>said</blockquote><time datetime="2020-03-04T05:00">then</time><footer><p>foot</p></footer></body></html>',
-    "<div class='list'>" + "".join(f"<div class='card x'><h3><a href='/i{i}'>Item {i}</a></h3><span>price {i}</span></div>" for i in range(4)) + "</div><ul class='menu'><li class='m'>a</li></ul>",
-    "<div role=tablist><button role=tab aria-controls=p1 aria-selected=true>Info</button><button role=tab aria-controls=p2>Reviews (12)</button><button role=tab aria-controls=p3>Specs</button><button role=tab>Loose 3</button></div><div id=p1></div><div id=p2> </div><div id=p3>filled</div><nav><button role=tab>Nav</button></nav><details><summary>More</summary></details><details><summary>Full</summary>body</details><details open><summary>Open</summary></details><details><summary>Reviews 7</summary></details>",
+    '<html><head><title> The  Title § </title><meta property="og:title" content="OG §"><meta name="author" content="Ann"><meta name="author" content="Bob"><meta property="article:published_time" content="2018-01-01"><script>var p = "<p>no</p>";</script></head><body><nav><p>menu <a href="/m">m</a></p></nav><h1>Head &amp; more</h1><p>One <a href="/x">link <b>bold</b></a> end.<p>Two<ul><li>a<li>b</ul><blockquote>said</blockquote><time datetime="2020-03-04T05:00">then</time><footer><p>foot</p></footer></body></html>',
+    "<div class='list'>" + "".join(f"<div class='card x'><h3><a href='/i{i}'>Item § {i}</a></h3><span>price {i}</span></div>" for i in range(4)) + "</div><ul class='menu'><li class='m'>a</li></ul>",
+    "<div role=tablist><button role=tab aria-controls=p1 aria-selected=true>Info</button><button role=tab aria-controls=p2>Reviews (12)</button><button role=tab aria-controls=p3>Specs</button><button role=tab>Loose § 3</button></div><div id=p1></div><div id=p2> </div><div id=p3>filled</div><nav><button role=tab>Nav</button></nav><details><summary>More</summary></details><details><summary>Full</summary>body</details><details open><summary>Open</summary></details><details><summary>Reviews 7</summary></details>",
     "<table class=t><tr><td class=n>one</td><td class=v>1 <i>x</i></td></tr><tr><td class=n>two</td></tr></table>",
     "<table class=t></table>", "<p>none</p>", "<table class=t><tr><th>changed</th></tr></table>", None]
-PAGES = Fixture("page_id long, html string", list(enumerate(_HTML)))
+PAGES = Fixture("pages: page_id long, html string", list(enumerate(_HTML)))
 
 
-def _nodes(spark, *pages):
-    p = PAGES.df(spark)
-    return M.nodes(p.where(F.col("page_id").isin(*pages)) if pages else p)
+def _nodes(spark, sf_dir, *cases):
+    p = PAGES.df(spark, sf_dir)
+    return M.nodes(p.where((F.col("page_id") % 8).isin(*cases)))
 
 
-_ARTICLE = Fixture("page_id long, title string, markdown string, headings string", [(0, "The Title", "# Head & more\n\nOne [link](/x) [bold](/x) end.\n\nTwo\n\n- a\n\n- b\n\n> said", "1 Head & more")])
+_ARTICLE = Fixture("pages/8: page_id long, title string, markdown string, headings string", [(0, "The Title §", "# Head & more\n\nOne [link](/x) [bold](/x) end.\n\nTwo\n\n- a\n\n- b\n\n> said", "1 Head & more")])
 
 
 @query(f"SELECT * FROM {_ARTICLE.sql}")
 def ext1_ext29_articles(spark, sf_dir):
-    return M.articles(_nodes(spark, 0)).withColumn("headings", F.array_join("headings", "|"))
+    return M.articles(_nodes(spark, sf_dir, 0)).withColumn("headings", F.array_join("headings", "|"))
 
 
-@query("SELECT 0::BIGINT AS page_id, 'Ann' AS author, 'OG' AS title, DATE '2020-03-04' AS published")
+@query("SELECT page_id, 'Ann' AS author, 'OG p' || page_id AS title, DATE '2020-03-04' AS published FROM pages WHERE page_id % 8 = 0")
 def ext2_ext3_metadata(spark, sf_dir):
-    n = _nodes(spark, 0)
+    n = _nodes(spark, sf_dir, 0)
     m = M.metadata(n).groupBy("page_id").agg(F.max(F.when(F.col("key") == "author", F.col("value"))).alias("author"), F.max(F.when(F.col("key") == "og.title", F.col("value"))).alias("title"))
     return m.join(M.published(n), "page_id")
 
 
-_RECORDS = Fixture("page_id long, nth int, signature string, heading string, href string, text string", [(1, i, "div.card", f"Item {i}", f"/i{i}", f"Item {i} price {i}") for i in range(4)])
+_RECORDS = Fixture("pages/8: page_id long, nth int, signature string, heading string, href string, text string", [(1, i, "div.card", f"Item § {i}", f"/i{i}", f"Item § {i} price {i}") for i in range(4)])
 
 
 @query(f"SELECT * FROM {_RECORDS.sql}")
 def ext22_records(spark, sf_dir):
     from pyspark.sql import Window
 
-    r = M.records(_nodes(spark, 0, 1, 5))
+    r = M.records(_nodes(spark, sf_dir, 0, 1, 5))
     return r.select("page_id", (F.row_number().over(Window.partitionBy("page_id").orderBy("pos")) - 1).alias("nth"), "signature", "heading", "href", "text")
 
 
-@query("SELECT 1::BIGINT AS page_id, string_agg('- [Item ' || i || '](/i' || i || ') price ' || i, chr(10) ORDER BY i) AS text FROM range(4) t(i)")
+@query("SELECT page_id, string_agg('- [Item p' || page_id || ' ' || i || '](/i' || i || ') price ' || i, chr(10) ORDER BY i) AS text FROM pages, range(4) t(i) WHERE page_id % 8 = 1 GROUP BY page_id")
 def ext23_record_texts(spark, sf_dir):
-    return M.record_texts(M.records(_nodes(spark, 0, 1, 5)))
+    return M.record_texts(M.records(_nodes(spark, sf_dir, 0, 1, 5)))
 
 
-_GATES = Fixture("page_id long, handle int, label string, stated_count int", [(2, 1, "Reviews", 12), (2, 2, "Loose", 3), (2, 3, "More", None)])
+_GATES = Fixture("pages/8: page_id long, handle int, label string, stated_count int", [(2, 1, "Reviews", 12), (2, 2, "Loose §", 3), (2, 3, "More", None)])
 
 
 @query(f"SELECT * FROM {_GATES.sql}")
 def ext28_gated_sections(spark, sf_dir):
-    return M.gated_sections(_nodes(spark, 2, 5))
+    return M.gated_sections(_nodes(spark, sf_dir, 2, 5))
 
 
-_DECLARED = Fixture("page_id long, verdict string, name string, val string", [(3, "OK", "one", "1 x"), (3, "OK", "two", None), (4, "EMPTY", None, None), (5, "ROT", None, None), (6, "ROT", None, None)])
+_DECLARED = Fixture("pages/8: page_id long, verdict string, name string, val string", [(3, "OK", "one", "1 x"), (3, "OK", "two", None), (4, "EMPTY", None, None), (5, "ROT", None, None), (6, "ROT", None, None)])
 
 
 @query(f"SELECT * FROM {_DECLARED.sql}")
 def ext30_declared_rows(spark, sf_dir):
-    d = M.declared_rows(_nodes(spark, 3, 4, 5, 6), "table.t", "tr", {"name": "td.n", "val": "td.v"})
+    d = M.declared_rows(_nodes(spark, sf_dir, 3, 4, 5, 6), "table.t", "tr", {"name": "td.n", "val": "td.v"})
     return d.select("page_id", "verdict", F.try_element_at("fields", F.lit("name")).alias("name"), F.try_element_at("fields", F.lit("val")).alias("val"))
 
 

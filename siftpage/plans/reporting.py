@@ -97,7 +97,7 @@ def lim4_corpus_subset(spark, sf_dir):
     return _eval(spark, sf_dir).where(F.col("class").isin("de", "fr") & (F.col("quality_disposition") == "scored") & ~F.col("slug").isin(3, 5)).select("slug", "system")
 
 
-_HINTS = Fixture("id int, rows string", [(i, json.dumps(r)) for i, r in enumerate([[{"code": "a", "message": "one\ttab"}, {"code": "b", "message": "two\nlines", "severity": "critical"}], [], [{"x": "back\\slash"}, {"y": "cr\r"}, {}], [{"only": None}]])])
+_HINTS = Fixture("events: id int, rows string", [(i, json.dumps(r)) for i, r in enumerate([[{"code": "a", "message": "one\ttab"}, {"code": "b", "message": "two\nlines", "severity": "critical"}], [], [{"x": "back\\slash"}, {"y": "cr\r"}, {}], [{"only": None}]])])
 
 
 @query(r"""
@@ -108,7 +108,7 @@ _HINTS = Fixture("id int, rows string", [(i, json.dumps(r)) for i, r in enumerat
 """)
 def snk1_snk2_union_table(spark, sf_dir):
     entries = F.transform(F.from_json("rows", "array<map<string,string>>"), F.map_entries)
-    t = _HINTS.df(spark).select("id", R.tsv(entries).alias("t"))
+    t = _HINTS.df(spark, sf_dir).select("id", R.tsv(entries).alias("t"))
     body = F.expr("substring(t, locate('\\n', t) + 1)")
     return t.select("id", F.split_part("t", F.lit("\n"), F.lit(1)).alias("head"), F.when(F.locate("\n", "t") > 0, body).alias("body"))
 
@@ -122,12 +122,12 @@ def snk5_prj14_span_sink(spark, sf_dir):
     return e.where(F.col("name").endswith("Ended")).select("event_id", "name", p["step"].alias("step"), p["dur_ms"].alias("dur_ms"))
 
 
-_TIERS = Fixture("name string, priority int, declared int", [("reader", 10, 0), ("raw", 20, 1), ("site_handler", 30, 2), ("browser", -1, 3), ("archive", -1, 4), ("paid", -1, 5)])
+_TIERS = Fixture("events: id int, name string, priority int, declared int", [(0, *t) for t in [("reader", 10, 0), ("raw", 20, 1), ("site_handler", 30, 2), ("browser", -1, 3), ("archive", -1, 4), ("paid", -1, 5)]])
 
 
-@query(f"SELECT name, row_number() OVER (ORDER BY priority DESC, declared)::INT AS place FROM {_TIERS.sql} WHERE priority >= 0")
+@query(f"SELECT id, name, row_number() OVER (PARTITION BY id ORDER BY priority DESC, declared)::INT AS place FROM {_TIERS.sql} WHERE priority >= 0")
 def srt2_tier_order(spark, sf_dir):
     """The tiers of the walk, the highest priority first; those below zero are only ever dispatched to."""
     from pyspark.sql import Window
 
-    return _TIERS.df(spark).where("priority >= 0").select("name", F.row_number().over(Window.orderBy(F.desc("priority"), "declared")).alias("place"))
+    return _TIERS.df(spark, sf_dir).where("priority >= 0").select("id", "name", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("priority"), "declared")).alias("place"))
