@@ -94,29 +94,29 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     picked = weighed.where((a * max(n0, 1) >= LIFT * b * max(n1, 1)) & (F.col("g2") >= least)).orderBy(F.round("g2", 6).desc(), "term").limit(TERMS)
     vocabulary = [r["term"] for r in picked.select("term").collect()] if n1 and n0 else []  # TERMS rows at most
     known = F.array_intersect(F.split(F.lower("body"), r"[^\p{L}\p{N}_]+"), F.lit(vocabulary or ["\u0000"]))
-    found = written(base.select("doc_id", known.alias("terms")), "toxic-terms")
-    counts = found.select(F.explode(F.array_append("terms", F.lit(""))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()  # a row for each word of the index
+    places = F.array_sort(F.transform(known, lambda w: F.array_position(F.lit(vocabulary or ["\u0000"]), w).cast("int") - 1))  # numbers, as they are handed to Python
+    found = written(base.select("doc_id", places.alias("terms")), "toxic-terms")
+    counts = found.select(F.explode(F.array_append("terms", F.lit(-1))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()  # a row for each word of the index
     df = {r["term"]: r["df"] for r in counts}
-    idf = np.array([np.log((1 + df.get("", 0)) / (1 + df.get(w, 0))) + 1 for w in vocabulary])
-    place = {w: i for i, w in enumerate(vocabulary)}
+    idf = np.array([np.log((1 + df.get(-1, 0)) / (1 + df.get(i, 0))) + 1 for i in range(len(vocabulary))])
     sample = []
     for y in (0, 1):
         chosen = marked.where(F.col("y") == y).join(found, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES)
-        sample += [(r["doc_id"], y, sorted(place[t] for t in r["terms"])) for r in chosen.select("doc_id", "terms").collect()]  # EXAMPLES rows at most
+        sample += [(r["doc_id"], y, list(r["terms"])) for r in chosen.select("doc_id", "terms").collect()]  # EXAMPLES rows at most
     weight = {y: n / max(sum(s[1] == y for s in sample), 1) for y, n in ((0, n0), (1, n1))}
     bare = marked.join(found.where("size(terms) = 0").select("doc_id"), "doc_id").agg(F.sum("y").alias("y"), F.count(F.lit(1)).alias("n")).first()
     rate = ((bare["y"] or 0) + share) / (bare["n"] + 1)
-    model = spark.sparkContext.broadcast((uuid.uuid4().hex, vocabulary, idf, sample, weight, rate))
+    model = spark.sparkContext.broadcast((uuid.uuid4().hex, idf, sample, weight, rate))
 
     @F.pandas_udf("score double, evidence array<struct<doc_id:bigint,label:int,cosine:double>>")
     def vote(batches: pd.Series) -> pd.DataFrame:
-        _, vocabulary, _, sample, weight, rate = model.value
-        index, place, seen = toxic_index(model), {w: i for i, w in enumerate(vocabulary)}, {}
+        _, _, sample, weight, rate = model.value
+        index, seen = toxic_index(model), {}
         rows = []
         for own in batches:
-            key = tuple(sorted(place[t] for t in own if t in place))
+            key = own.tobytes()
             if key not in seen:
-                near = index.top(list(key), NEIGHBOURS)
+                near = index.top(own.tolist(), NEIGHBOURS)
                 for_, all_ = PRIOR * rate, PRIOR
                 for i, c in near:
                     w = c * weight[sample[i][1]]
@@ -134,7 +134,7 @@ _indexes: dict[str, BlockMaxIndex] = {}
 
 def toxic_index(model) -> BlockMaxIndex:
     """Built once a worker for each model, which its first value names."""
-    key, _, idf, sample, _, _ = model.value
+    key, idf, sample, _, _ = model.value
     if key not in _indexes:
         _indexes.clear()
         _indexes[key] = BlockMaxIndex([s[2] for s in sample], idf)
