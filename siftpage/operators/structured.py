@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from siftpage.functions.patterns import LENGTH_FLOOR
+from siftpage.operators.links import joined
 
 # Kinds whose entities carry answers, kinds of the document itself, keys that are machinery, caps.
 STRONG = ["Product", "Article", "ItemList", "BreadcrumbList", "NewsArticle", "LocalBusiness", "Organization", "ContactPoint", "Event", "Recipe"]
@@ -18,9 +21,13 @@ WINDOW_VARS = ["state", "__INITIAL_STATE__", "__PRELOADED_STATE__", "__APP_DATA_
 LABELS = {"recipeYield": "Yield", "prepTime": "Prep", "cookTime": "Cook", "totalTime": "Total", "recipeIngredient": "Ingredients", "recipeInstructions": "Instructions", "nutrition": "Nutrition"}
 POPULATED, ENTITIES, DEPTH, ITEMS, VALUE, ROWS, COLUMNS, CELL, FIELDS, FENCE = 3, 12, 3, 10, 500, 50, 8, 200, 20, 20_000
 
+LISTS = ["products", "items", "results", "entities", "list"]  # keys under which framework state keeps its rows, in the order they are tried
+NESTED = 6  # levels below the top at which such a key is looked for
+PRETTY = 20_000  # characters of an answer shown as it is
+
 SCRIPT = r"(?is)<script\b([^>]*)>(.*?)</script>"
 META = r"(?is)<meta\b[^>]*>"
-_ENTRY = "struct<key:string,value:string>"
+_ENTRY = "struct<key:string,value:string,kind:string>"
 
 
 def _attribute(tag: Column, name: str) -> Column:
@@ -62,9 +69,37 @@ def entries(data: Column) -> Column:
     return F.filter(F.flatten(F.transform(items, lambda x: F.coalesce(graph(x), F.array(x)))), is_object)
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with the value worked out once, also inside of a lambda, where nothing is shared otherwise."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def kind_of(v: Column) -> Column:
+    """What a JSON value is: OBJECT, ARRAY, STRING, BOOLEAN, VOID or a kind of number."""
+    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+
+
+def _value(text: Column, kind: Column) -> Column:
+    """A value as text, true and false with a capital."""
+    return F.when(kind == "BOOLEAN", F.initcap(text)).otherwise(text)
+
+
 def fields(entity: Column) -> Column:
-    """(key, value) of an entity in the publisher's order; values that are objects or lists are JSON texts."""
-    return F.coalesce(F.map_entries(F.from_json(entity, "map<string,string>")), F.array().cast(f"array<{_ENTRY}>"))
+    """(key, value, kind) of an entity in the publisher's order; values that are objects or lists are JSON texts. A text that
+    only looks like an object stays a text."""
+    texts, kinds = F.map_entries(F.from_json(entity, "map<string,string>")), F.map_entries(F.from_json(entity, "map<string,variant>"))
+    typed = F.zip_with(texts, kinds, lambda t, k: F.struct(t["key"].alias("key"), _value(t["value"], kind_of(k["value"])).alias("value"), F.coalesce(kind_of(k["value"]), F.lit("VOID")).alias("kind")))
+    return F.coalesce(typed, F.array().cast(f"array<{_ENTRY}>"))
+
+
+def elements(text: Column) -> Column:
+    """(value, kind) of a JSON list; null for what is none."""
+    texts, kinds = F.from_json(text, "array<string>"), F.from_json(text, "array<variant>")
+    return F.zip_with(texts, kinds, lambda t, k: F.struct(_value(t, kind_of(k)).alias("value"), F.coalesce(kind_of(k), F.lit("VOID")).alias("kind")))
+
+
+def scalar(kind: Column) -> Column:
+    return ~kind.isin("OBJECT", "ARRAY", "VOID")
 
 
 def type_of(entity: Column) -> Column:
@@ -104,37 +139,54 @@ def _kept(f: Column) -> Column:
 
 def _pairs(obj: Column) -> Column:
     """key=value of an object's scalars."""
-    plain = F.filter(fields(obj), lambda e: ~e["key"].startswith("@") & (F.coalesce(e["value"], F.lit("")) != "") & ~is_object(e["value"]) & ~is_list(e["value"]))
+    plain = F.filter(fields(obj), lambda e: ~e["key"].startswith("@") & scalar(e["kind"]) & (e["value"] != ""))
     return F.array_join(F.transform(plain, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ", ")
 
 
 def entity_text(entity: Column, kind: Column) -> Column:
     """An entity as text: a heading with its name, then every field that is not machinery; nothing for a nameless stub."""
-    m = F.from_json(entity, "map<string,string>")
-    name = F.coalesce(F.nullif(m["name"], F.lit("")), F.nullif(m["headline"], F.lit("")), F.lit("unnamed"))
     labels = F.create_map(*(F.lit(x) for x in chain.from_iterable(LABELS.items())))
 
     def line(f: Column) -> Column:
         v, label = f["value"], F.concat(F.lit("- **"), F.coalesce(labels[f["key"]], f["key"]), F.lit(":**"))
-        items = F.from_json(v, "array<string>")
-        inner, objects = _pairs(v), F.slice(F.filter(items, is_object), 1, ITEMS)
-        subs = F.filter(F.transform(objects, _pairs), lambda s: s != "")
-        scalars = F.array_join(F.filter(items, lambda x: x.isNotNull() & (x != "") & ~is_list(x)), ", ")
-        of_list = F.when(F.size(objects) > 0, F.concat(label, F.array_join(F.transform(subs, lambda s: F.concat(F.lit("\n  - "), s)), ""))).when(scalars != "", F.concat(label, F.lit(" "), capped(scalars)))
-        return F.when(is_object(v), F.when(inner != "", F.concat(label, F.lit(" "), inner))).when(is_list(v), of_list).when(v != "", F.concat(label, F.lit(" "), capped(v)))
 
-    lines = F.array_compact(F.transform(F.filter(fields(entity), _kept), line))
-    head = F.concat(F.lit("## "), kind, F.lit(": "), name)
-    return F.when((F.size(lines) > 0) | (name != "unnamed"), F.array_join(F.concat(F.array(head), lines), "\n"))
+        def of_list(items: Column) -> Column:
+            objects = F.slice(F.filter(items, lambda x: x["kind"] == "OBJECT"), 1, ITEMS)
+            subs = F.filter(F.transform(objects, lambda x: _pairs(x["value"])), lambda s: s != "")
+            scalars = F.array_join(F.transform(F.filter(items, lambda x: scalar(x["kind"]) & (x["value"] != "")), lambda x: x["value"]), ", ")
+            return F.when(F.exists(items, lambda x: x["kind"] == "OBJECT"), F.concat(label, F.array_join(F.transform(subs, lambda s: F.concat(F.lit("\n  - "), s)), ""))).when(scalars != "", F.concat(label, F.lit(" "), capped(scalars)))
+
+        of_object = bound(_pairs(v), lambda inner: F.when(inner != "", F.concat(label, F.lit(" "), inner)))
+        return F.when(f["kind"] == "OBJECT", of_object).when(f["kind"] == "ARRAY", bound(elements(v), of_list)).when(v != "", F.concat(label, F.lit(" "), capped(v)))
+
+    def text(own: Column) -> Column:
+        said = lambda k: F.nullif(F.get(F.filter(own, lambda f: f["key"] == k), F.lit(0))["value"], F.lit(""))
+        name = F.coalesce(said("name"), said("headline"), F.lit("unnamed"))
+        lines = F.array_compact(F.transform(F.filter(own, _kept), line))
+        head = F.concat(F.lit("## "), kind, F.lit(": "), name)
+        return bound(lines, lambda found: F.when((F.size(found) > 0) | (name != "unnamed"), F.array_join(F.concat(F.array(head), found), "\n")))
+
+    return bound(fields(entity), text)
+
+
+def breadcrumbs(entity: Column) -> Column:
+    """The names of a trail on one line; nothing without any."""
+    names = F.transform(F.from_json(F.from_json(entity, "map<string,string>")["itemListElement"], "array<string>"), lambda x: F.when(is_object(x), F.from_json(x, "name string")["name"]))
+    trail = lambda found: F.when(F.size(found) > 0, F.concat(F.lit("**Breadcrumbs:** "), F.array_join(found, " > ")))
+    return bound(F.filter(names, lambda x: F.coalesce(x, F.lit("")) != ""), trail)
 
 
 def entity_texts(found: DataFrame) -> DataFrame:
-    """payloads of linked data -> (page_id, ord, text): its first ENTITIES entities but for lists, and how many more there are."""
-    each = found.where("source = 'ld_json'").select("page_id", "ord", F.posexplode(entries(F.col("data"))).alias("at", "entity")).withColumn("kind", type_of(F.col("entity")))
-    plain = each.where(~F.coalesce(F.col("kind").isin("ItemList", "BreadcrumbList"), F.lit(False))).withColumn("text", entity_text(F.col("entity"), F.coalesce("kind", F.lit("Thing"))))
-    shown = plain.withColumn("nth", F.count("text").over(Window.partitionBy("page_id", "ord").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)))
-    full = F.coalesce(F.col("nth"), F.lit(0)) >= ENTITIES
-    g = shown.groupBy("page_id", "ord").agg(F.transform(F.sort_array(F.collect_list(F.when(~full & F.col("text").isNotNull(), F.struct("at", "text")))), lambda x: x["text"]).alias("texts"), F.count_if(full).alias("dropped"))
+    """payloads of linked data and microdata -> (page_id, ord, text): in their order the first ENTITIES entities, trails and lists,
+    and how many more entities there are. A list has lines if it is priced or linked, else a table."""
+    each = found.where("source in ('ld_json', 'microdata')").select("page_id", "ord", F.posexplode(entries(F.col("data"))).alias("at", "entity")).withColumn("kind", type_of(F.col("entity")))
+    special = F.coalesce(F.col("kind").isin("ItemList", "BreadcrumbList"), F.lit(False))
+    own = F.when(special, F.when(F.col("kind") == "ItemList", rows_text(list_rows(F.col("entity")), F.lit("ItemList"))).otherwise(breadcrumbs(F.col("entity")))).otherwise(entity_text(F.col("entity"), F.coalesce("kind", F.lit("Thing"))))
+    texts = each.select("page_id", "ord", "at", special.alias("special"), own.alias("text"))
+    shown = texts.withColumn("nth", F.count(F.when(~F.col("special"), F.col("text"))).over(Window.partitionBy("page_id", "ord").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)))
+    full = ~F.col("special") & (F.coalesce(F.col("nth"), F.lit(0)) >= ENTITIES)
+    g = shown.groupBy("page_id", "ord").agg(F.transform(F.sort_array(F.collect_list(F.when(~full & (F.col("text") != ""), F.struct("at", "text")))), lambda x: x["text"]).alias("texts"), F.count_if(full).alias("dropped"))
+    # fixed values: what is said of entities that are not shown
     note = F.when(F.col("dropped") > 0, F.concat(F.lit("_… "), F.col("dropped").cast("string"), F.when(F.col("dropped") == 1, " further structured entity not shown._").otherwise(" further structured entities not shown._")))
     return g.select("page_id", "ord", F.array_join(F.array_compact(F.array_append("texts", note)), "\n\n").alias("text")).where("text <> ''")
 
@@ -146,16 +198,16 @@ def flat_fields(entities: DataFrame) -> DataFrame:
     done = None
     for level in range(DEPTH + 1):
         each = todo.select("id", "path", "prefix", F.posexplode(F.filter(fields(F.col("object")), _kept)).alias("at", "f"))
-        each = each.select("id", F.concat("path", F.array("at")).alias("path"), F.concat("prefix", "f.key").alias("key"), F.col("f.value").alias("v"))
-        items = F.from_json("v", "array<string>")
-        scalars = F.filter(items, lambda x: x.isNotNull() & (x != "") & ~is_object(x) & ~is_list(x))
-        value = F.when(is_object(F.col("v")), F.lit(None)).when(is_list(F.col("v")), F.when(F.size(scalars) > 0, capped(F.array_join(F.slice(scalars, 1, ITEMS), "; ")))).when(F.col("v") != "", capped(F.col("v")))
+        each = each.select("id", F.concat("path", F.array("at")).alias("path"), F.concat("prefix", "f.key").alias("key"), F.col("f.value").alias("v"), F.col("f.kind").alias("kind"))
+        items = elements(F.col("v"))
+        scalars = F.transform(F.filter(items, lambda x: ~x["kind"].isin("OBJECT", "ARRAY") & (F.coalesce(x["value"], F.lit("None")) != "")), lambda x: F.coalesce(x["value"], F.lit("None")))
+        value = F.when(F.col("kind") == "OBJECT", F.lit(None)).when(F.col("kind") == "ARRAY", F.when(F.size(scalars) > 0, capped(F.array_join(F.slice(scalars, 1, ITEMS), "; ")))).when(F.col("v") != "", capped(F.col("v")))
         rows = each.select("id", "path", "key", value.alias("value")).where("value is not null")
         done = rows if done is None else done.union(rows)
         if level < DEPTH:
-            within = F.transform(F.slice(items, 1, ITEMS), lambda x, i: F.struct(i.alias("i"), F.concat(F.col("key"), F.lit("["), i.cast("string"), F.lit("].")).alias("prefix"), x.alias("object")))
-            lists = F.when(is_list(F.col("v")) & (F.size(scalars) == 0), F.filter(within, lambda w: is_object(w["object"])))
-            one = F.when(is_object(F.col("v")), F.array(F.struct(F.lit(0).alias("i"), F.concat("key", F.lit(".")).alias("prefix"), F.col("v").alias("object"))))
+            within = F.transform(F.slice(items, 1, ITEMS), lambda x, i: F.struct(i.alias("i"), F.concat(F.col("key"), F.lit("["), i.cast("string"), F.lit("].")).alias("prefix"), x["value"].alias("object"), x["kind"].alias("kind")))
+            lists = F.when((F.col("kind") == "ARRAY") & (F.size(scalars) == 0), F.filter(within, lambda w: w["kind"] == "OBJECT"))
+            one = F.when(F.col("kind") == "OBJECT", F.array(F.struct(F.lit(0).alias("i"), F.concat("key", F.lit(".")).alias("prefix"), F.col("v").alias("object"), F.col("kind").alias("kind"))))
             todo = each.select("id", "path", F.explode(F.coalesce(one, lists)).alias("w")).select("id", F.concat("path", F.array("w.i")).alias("path"), "w.prefix", "w.object")
     return done
 
@@ -177,24 +229,124 @@ ROW = "name string, headline string, title string, url string, price string, cur
 
 def commerce(row: Column) -> Column:
     """struct(name, url, price, currency, rating, stock, seller) of a listed item: its own fields, else those of its offer and rating."""
-    r = F.from_json(row, ROW)
-    o, rating = F.from_json(r["offers"], "price string, priceCurrency string, url string, availability string, seller string"), F.from_json(r["aggregateRating"], "ratingValue string")
     filled = lambda c: F.nullif(c, F.lit(""))
-    seller = F.when(is_object(o["seller"]), F.get_json_object(o["seller"], "$.name")).otherwise(o["seller"])
-    lifted = r["price"].isNull() & o["price"].isNotNull()
-    return F.struct(
-        F.coalesce(filled(r["name"]), filled(r["headline"]), filled(r["title"])).alias("name"), F.coalesce(filled(r["url"]), filled(o["url"])).alias("url"), F.coalesce(r["price"], o["price"]).alias("price"), F.coalesce(r["currency"], F.when(lifted, filled(o["priceCurrency"]))).alias("currency"),
-        F.coalesce(r["rating"], rating["ratingValue"]).alias("rating"), F.coalesce(r["stock"], filled(F.substring_index(o["availability"], "/", -1))).alias("stock"), F.coalesce(r["seller"], filled(seller)).alias("seller"),
-    )
+
+    def of(x: Column) -> Column:
+        r, o, rating = x["r"], x["o"], x["rating"]
+        seller = F.when(is_object(o["seller"]), F.get_json_object(o["seller"], "$.name")).otherwise(o["seller"])
+        lifted = r["price"].isNull() & o["price"].isNotNull()
+        return F.struct(
+            F.coalesce(filled(r["name"]), filled(r["headline"]), filled(r["title"])).alias("name"), F.coalesce(filled(r["url"]), filled(o["url"])).alias("url"), F.coalesce(r["price"], o["price"]).alias("price"), F.coalesce(r["currency"], F.when(lifted, filled(o["priceCurrency"]))).alias("currency"),
+            F.coalesce(r["rating"], rating["ratingValue"]).alias("rating"), F.coalesce(r["stock"], filled(F.substring_index(o["availability"], "/", -1))).alias("stock"), F.coalesce(r["seller"], filled(seller)).alias("seller"),
+        )
+
+    offer = lambda r: F.from_json(r["offers"], "price string, priceCurrency string, url string, availability string, seller string")
+    return bound(bound(F.from_json(row, ROW), lambda r: F.struct(r.alias("r"), offer(r).alias("o"), F.from_json(r["aggregateRating"], "ratingValue string").alias("rating"))), of)
+
+
+def list_rows(entity: Column) -> Column:
+    """The items of a list of linked data as JSON texts."""
+    items = F.from_json(F.from_json(entity, "map<string,string>")["itemListElement"], "array<string>")
+    own = F.transform(F.filter(items, lambda i: F.coalesce(is_object(i), F.lit(False))), lambda i: F.coalesce(F.from_json(i, "map<string,string>")["item"], i))
+    return F.filter(own, is_object)
+
+
+def framework_lists(found: DataFrame) -> DataFrame:
+    """payloads of framework state -> (page_id, ord, rows): of the first list of objects under one of LISTS its first ROWS.
+
+    The search goes down every branch before the next one, tries the keys of an object before what is in it, and looks NESTED
+    levels deep. A place in it is the array of the places on the way down, and such arrays sort depth first, what holds
+    before what is held; so all levels are taken apart at once and the first find is the smallest place.
+    """
+    todo = found.where(F.col("source").isin("next_data", "nuxt_data", "window_var", "generic")).select("page_id", "ord", F.array().cast("array<int>").alias("path"), F.col("data").alias("v"))
+    hits = None
+    for level in range(NESTED + 1):
+        at = F.from_json("v", "map<string,string>")
+        candidate = lambda k: F.struct(F.lit(LISTS.index(k)).alias("rank"), F.when(F.col("v").startswith("{"), elements(at[k])).alias("rows"))
+        whole = lambda c: (F.size(c["rows"]) > 0) & F.forall(c["rows"], lambda x: x["kind"] == "OBJECT")
+        first = F.get(F.filter(F.array(*map(candidate, LISTS)), whole), F.lit(0))
+        level_hits = todo.select("page_id", "ord", "path", first["rows"].alias("rows")).where("rows is not null")
+        hits = level_hits if hits is None else hits.union(level_hits)
+        if level < NESTED:
+            inner = F.when(F.col("v").startswith("{"), F.transform(fields(F.col("v")), lambda f: F.struct(f["value"].alias("value"), f["kind"].alias("kind")))).otherwise(elements(F.col("v")))
+            below = F.filter(F.transform(inner, lambda x, i: F.struct(i.alias("i"), x["value"].alias("value"), x["kind"].alias("kind"))), lambda x: x["kind"].isin("OBJECT", "ARRAY"))
+            todo = todo.select("page_id", "ord", "path", F.explode(below).alias("b")).select("page_id", "ord", F.concat("path", F.array("b.i")).alias("path"), F.col("b.value").alias("v"))
+    rows = F.transform(F.slice("rows", 1, ROWS), lambda x: x["value"])
+    return hits.groupBy("page_id", "ord").agg(F.min_by(rows, "path").alias("rows"))
+
+
+def listings(found: DataFrame) -> DataFrame:
+    """payloads -> (page_id, ord, title, rows): the rows behind them, of every list of linked data and microdata, or of framework state."""
+    linked = found.where("source in ('ld_json', 'microdata')").select("page_id", "ord", F.posexplode(entries(F.col("data"))).alias("at", "e")).where(type_of(F.col("e")) == "ItemList").select("page_id", "ord", "at", list_rows(F.col("e")).alias("rows"))
+    linked = linked.groupBy("page_id", "ord").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "rows"))), lambda x: x["rows"])).alias("rows"))
+    state = framework_lists(found)
+    return linked.select("page_id", "ord", F.lit("ItemList").alias("title"), "rows").union(state.select("page_id", "ord", F.lit("Listings").alias("title"), "rows"))
 
 
 def listing_rows(found: DataFrame) -> DataFrame:
-    """(page_id, ord, pos, row, c): the items of every ItemList of linked data, and of each its commerce fields."""
-    lists = found.where("source = 'ld_json'").select("page_id", "ord", F.explode(entries(F.col("data"))).alias("e")).where(type_of(F.col("e")) == "ItemList")
-    items = F.from_json(F.from_json("e", "map<string,string>")["itemListElement"], "array<string>")
-    each = lists.select("page_id", "ord", F.posexplode(items).alias("pos", "i")).where(is_object(F.col("i")))
-    row = F.coalesce(F.from_json("i", "map<string,string>")["item"], F.col("i"))
-    return each.select("page_id", "ord", "pos", row.alias("row")).where(is_object(F.col("row"))).withColumn("c", commerce(F.col("row")))
+    """(page_id, ord, pos, row, c): the rows behind every payload, and of each its commerce fields."""
+    each = listings(found).select("page_id", "ord", F.posexplode("rows").alias("pos", "row"))
+    return each.withColumn("c", commerce(F.col("row")))
+
+
+def records_of(rows: DataFrame, pages: DataFrame) -> DataFrame:
+    """listing_rows() and pages (page_id, url) -> (page_id, ord, pos, title, link, text): rows as records, their links resolved
+    against the page; a row without a URL stays without a link, one without a name and a URL goes."""
+    c = F.col("c")
+    named = rows.where("c.name is not null or c.url is not null").join(pages.select("page_id", F.col("url").alias("base")), "page_id")
+    title = F.coalesce(F.trim(F.regexp_replace(c["name"], r"\s+", " ")), c["url"])
+    price = F.when(F.coalesce(c["price"], F.lit("")) != "", F.concat_ws(" ", c["price"], F.nullif(c["currency"], F.lit(""))))
+    extras = F.concat_ws(" ", price, F.nullif(c["rating"], F.lit("")))
+    text = F.concat(title, F.when(extras != "", F.concat(F.lit(" — "), extras)).otherwise(""))
+    return named.select("page_id", "ord", "pos", title.alias("title"), F.when(c["url"].isNotNull(), joined(F.col("base"), c["url"])).alias("link"), text.alias("text"))
+
+
+def lifted(own: Column, c: Column) -> Column:
+    """fields() of a row with what its offer and rating say put in: in place where the row has the key, else behind."""
+    text = lambda k, v: F.struct(k.alias("key"), v.alias("value"), F.lit("STRING").alias("kind"))
+
+    def put(x: Column) -> Column:
+        own, said = x["own"], x["said"]
+        of = lambda k: F.get(F.filter(said, lambda e: e["key"] == k), F.lit(0))["value"]
+        blank = lambda f: (f["kind"] == "VOID") | ((f["key"] == "url") & (F.coalesce(f["value"], F.lit("")) == ""))
+        mine = F.transform(own, lambda f: F.when(blank(f) & of(f["key"]).isNotNull(), text(f["key"], of(f["key"]))).otherwise(f))
+        return F.concat(mine, F.filter(said, lambda e: ~F.exists(own, lambda f: f["key"] == e["key"])))
+
+    said = F.filter(F.array(*(text(F.lit(k), c[k]) for k in ("price", "currency", "url", "stock", "seller", "rating"))), lambda e: e["value"].isNotNull())
+    return bound(F.struct(own.alias("own"), said.alias("said")), put)
+
+
+def rows_text(rows: Column, title: Column) -> Column:
+    """Rows as lines with links where half of them have a price or a URL, else as a table."""
+
+    def text(xs: Column) -> Column:
+        priced = F.size(F.filter(xs, lambda x: x["c"]["price"].isNotNull() | x["c"]["url"].isNotNull()))
+        lines = F.array_compact(F.transform(F.slice(xs, 1, ROWS), lambda x: record_line(x["c"])))
+        listed = bound(lines, lambda found: F.when(F.size(found) > 0, F.concat(F.lit("### "), title, F.lit("\n\n"), F.array_join(found, "\n"))))
+        table = table_text(F.transform(xs, lambda x: lifted(x["own"], x["c"])), title)
+        return F.when(F.size(xs) > 0, F.when(2 * priced >= F.size(xs), listed).otherwise(table))
+
+    return bound(F.transform(rows, lambda r: F.struct(fields(r).alias("own"), commerce(r).alias("c"))), text)
+
+
+def payload_texts(found: DataFrame) -> DataFrame:
+    """payloads -> (page_id, ord, source, text): each as text by what it is; those that are no known shape have none."""
+    state = framework_lists(found).select("page_id", "ord", rows_text(F.col("rows"), F.lit("Listings")).alias("text"))
+    graph = found.where("source = 'opengraph'").select("page_id", "ord", graph_text(F.col("data")).alias("text"))
+    return entity_texts(found).union(state).union(graph).where("text <> ''").join(found.select("page_id", "ord", "source"), ["page_id", "ord"]).select("page_id", "ord", "source", "text")
+
+
+def _fence(text: str | None) -> str | None:
+    try:
+        shown = json.dumps(json.loads(text), indent=2, ensure_ascii=False)
+    except (TypeError, ValueError, RecursionError):
+        return None
+    return "```json\n" + (shown if len(shown) <= PRETTY else shown[:PRETTY] + "\n… (truncated)") + "\n```"
+
+
+def fenced(data: Column) -> Column:
+    """A JSON answer of no known shape as it is, set in by two and cut after PRETTY characters; null for what is no JSON."""
+    return F.pandas_udf(lambda texts: texts.map(_fence), StringType())(data)
 
 
 def record_line(c: Column) -> Column:
@@ -215,22 +367,28 @@ def commerce_lists(rows: DataFrame) -> DataFrame:
     return g.select("page_id", "ord", "shaped", F.when(F.col("shaped") & (F.col("lines") != ""), F.concat(F.lit("### ItemList\n\n"), "lines")).alias("text"))
 
 
-def table_text(rows: Column, title: str) -> Column:
-    """rows: array of arrays of (key, value) -> a table: COLUMNS of the union of all rows' keys, ROWS rows, cells of CELL characters."""
-    plain = F.transform(rows, lambda r: F.filter(r, lambda e: ~e["key"].startswith("@") & ~F.coalesce(is_object(e["value"]) | is_list(e["value"]), F.lit(False))))
-    keys = F.slice(F.array_distinct(F.flatten(F.transform(plain, lambda r: F.transform(r, lambda e: e["key"])))), 1, COLUMNS)
-    cell = lambda r, k: F.left(F.replace(F.coalesce(F.get(F.filter(r, lambda e: e["key"] == k), F.lit(0))["value"], F.lit("")), F.lit("|"), F.lit("/")), F.lit(CELL))
+def table_text(rows: Column, title: Column) -> Column:
+    """rows: array of arrays of (key, value, kind) -> a table: COLUMNS of the union of all rows' keys, ROWS rows, cells of CELL characters."""
+    # a fixed value: what is said of rows that are not shown
+    more = lambda rows: F.when(F.size(rows) > ROWS, F.concat(F.lit(f"\n\n_Showing {ROWS} of "), F.size(rows).cast("string"), F.lit(" rows — this is a partial view._"))).otherwise("")
     bar = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
-    body = F.transform(F.slice(plain, 1, ROWS), lambda r: bar(F.transform(keys, lambda k: cell(r, k))))
-    more = F.when(F.size(rows) > ROWS, F.concat(F.lit(f"\n\n_Showing {ROWS} of "), F.size(rows).cast("string"), F.lit(" rows — this is a partial view._"))).otherwise("")
-    lines = F.concat(F.array(bar(keys), bar(F.transform(keys, lambda k: F.lit("---")))), body)
-    return F.when(F.size(keys) > 0, F.concat(F.lit(f"### {title}\n\n"), F.array_join(lines, "\n"), more))
+    cell = lambda r, k: F.left(F.replace(F.coalesce(F.get(F.filter(r, lambda e: e["key"] == k), F.lit(0))["value"], F.lit("")), F.lit("|"), F.lit("/")), F.lit(CELL))
+
+    def text(x: Column) -> Column:
+        rows, keys = x["rows"], x["keys"]
+        body = F.transform(F.slice(rows, 1, ROWS), lambda r: bar(F.transform(keys, lambda k: cell(r, k))))
+        lines = F.concat(F.array(bar(keys), bar(F.transform(keys, lambda k: F.lit("---")))), body)
+        return F.when(F.size(keys) > 0, F.concat(F.lit("### "), title, F.lit("\n\n"), F.array_join(lines, "\n"), more(rows)))
+
+    plain = F.transform(rows, lambda r: F.filter(r, lambda e: ~e["key"].startswith("@") & ~e["kind"].isin("OBJECT", "ARRAY")))
+    keys = lambda rows: F.slice(F.array_distinct(F.flatten(F.transform(rows, lambda r: F.transform(r, lambda e: e["key"])))), 1, COLUMNS)
+    return bound(bound(plain, lambda rows: F.struct(rows.alias("rows"), keys(rows).alias("keys"))), text)
 
 
 def graph_text(data: Column) -> Column:
     """A page's own metadata as a table of two columns."""
-    pair = lambda e: F.array(F.struct(F.lit("property").alias("key"), e["key"].alias("value")), F.struct(F.lit("value").alias("key"), e["value"].alias("value")))
-    return table_text(F.transform(fields(data), pair), "OpenGraph")
+    cell = lambda k, v: F.struct(F.lit(k).alias("key"), v.alias("value"), F.lit("STRING").alias("kind"))
+    return table_text(F.transform(fields(data), lambda e: F.array(cell("property", e["key"]), cell("value", e["value"]))), F.lit("OpenGraph"))
 
 
 def bodies(candidates: DataFrame) -> DataFrame:

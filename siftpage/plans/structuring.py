@@ -1,4 +1,4 @@
-"""Registered queries over written-out pages with embedded data."""
+"""Registered queries over pages with embedded data."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siftpage.operators import structured as S
 from siftpage.plans.fixtures import Fixture
 from siftpage.plans.queries import query
+from siftpage.plans.retrieval import rows
 
 _LD = '<script type="application/ld+json">{}</script>'.format
 _HTML = [
@@ -55,6 +56,7 @@ def ext6_ext7_ext24_win3_ranked(spark, sf_dir):
 _TEXTS = Fixture("pages/6: page_id int, ord int, text string", [
     (0, 0, "## Product: Lamp §\n- **name:** Lamp §\n- **sku:** 12\n- **offers:** price=9.90, priceCurrency=EUR\n- **color:** red, blue\n- **review:**\n  - author=A, stars=4\n  - author=B"),
     (1, 0, "## Store: Shop §\n- **name:** Shop §\n\n## WebSite: S\n- **name:** S\n- **url:** u\n\n## NewsArticle: H\n- **headline:** H\n- **datePublished:** 2024\n- **author:** name=Z"),
+    (3, 0, "### ItemList\n\n- [One 1](/1) — 5 TRY ⭐ 4.5\n- [Two](/2) — 7\n- Three"),
     (3, 1, "## Recipe: Soup\n- **name:** Soup\n- **Yield:** 4\n- **Ingredients:** a, b\n- **Instructions:** " + ("Stir. " * 100)[:499].rstrip() + "…"),
     (4, 0, "\n\n".join(f"## Event: E{i}\n- **name:** E{i}" for i in range(12)) + "\n\n_… 5 further structured entities not shown._")])
 
@@ -107,8 +109,8 @@ _BARS = Fixture("events/4: id int, lines int, head string, last string", [(0, 6,
 
 @query(f"SELECT * FROM {_BARS.sql}")
 def ext16_tables(spark, sf_dir):
-    rows = F.transform(F.from_json("rows", "array<map<string,string>>"), F.map_entries)
-    t = _WIDE.df(spark, sf_dir).select("id", F.split(S.table_text(rows, "T"), "\n").alias("t")).where("t is not null")
+    rows = F.transform(S.elements(F.col("rows")), lambda x: S.fields(x["value"]))
+    t = _WIDE.df(spark, sf_dir).select("id", F.split(S.table_text(rows, F.lit("T")), "\n").alias("t")).where("t is not null")
     return t.select("id", F.size("t").alias("lines"), F.col("t")[2].alias("head"), F.element_at("t", -1).alias("last"))
 
 
@@ -129,3 +131,54 @@ _BODIES = Fixture("pages/8: page_id int, body string, menu string", [
 @query(f"SELECT * FROM {_BODIES.sql}")
 def ext4_ext25_ext26_bodies(spark, sf_dir):
     return S.bodies(_CANDIDATES.df(spark, sf_dir))
+
+
+# Framework state in a page: a list of rows as deep as the page's number says, and a rival beside it: a list on top, or one in the next branch.
+_ROWS = """concat('[{"name":"A', page_id, '","url":"/a', page_id, '","price":', page_id, '},{"name":"B"}]')"""
+_INNER = f"""concat(repeat('{{"k":', CAST(page_id % 8 AS INT)), '{{"x":[1,{{"items":"no"}}],"items":[],"products":[1,2],"results":', {_ROWS}, '}}', repeat('}}', CAST(page_id % 8 AS INT)))"""
+_STATE = f"""CASE page_id % 3 WHEN 0 THEN concat('{{"first":', {_INNER}, ',"list":[{{"name":"R', page_id, '"}}]}}') WHEN 1 THEN concat('{{"first":', {_INNER}, ',"second":{{"items":[{{"name":"S', page_id, '"}}]}}}}') ELSE {_INNER} END"""
+_STATED = f"""SELECT page_id, url, concat(html, '<script id="__NEXT_DATA__" type="application/json">', {_STATE}, '</script>') AS html FROM pages"""
+_WINS = "CASE WHEN page_id % 3 = 0 THEN 'R' WHEN page_id % 3 = 1 AND page_id % 8 > 5 THEN 'S' WHEN page_id % 8 < 7 THEN 'A' END"
+_JOINED = r"regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*', 0) || '/a' || page_id"
+
+
+@query(f"""
+    SELECT page_id, 'next_data' AS source, '### Listings' || chr(10) || chr(10) || CASE WHEN w = 'A' THEN '- [A' || page_id || '](/a' || page_id || ') — ' || page_id || chr(10) || '- B' ELSE '| name |' || chr(10) || '| --- |' || chr(10) || '| ' || w || page_id || ' |' END AS text
+    FROM (SELECT page_id, {_WINS} AS w FROM pages) WHERE w IS NOT NULL
+""")
+def ext17_ext8_state_texts(spark, sf_dir):
+    found = S.payloads(rows(spark, sf_dir, _STATED, "pages"))
+    return S.payload_texts(found).where("source = 'next_data'").select("page_id", "source", "text")
+
+
+@query(f"""
+    SELECT page_id, 0 AS pos, w || page_id AS title, CASE WHEN w = 'A' THEN {_JOINED} END AS link, w || page_id || CASE WHEN w = 'A' THEN ' — ' || page_id ELSE '' END AS text FROM (SELECT page_id, url, {_WINS} AS w FROM pages) WHERE w IS NOT NULL
+    UNION ALL SELECT page_id, 1, 'B', NULL, 'B' FROM (SELECT page_id, {_WINS} AS w FROM pages) WHERE w = 'A'
+""")
+def ext20_ext21_state_records(spark, sf_dir):
+    pages = rows(spark, sf_dir, _STATED, "pages")
+    return S.records_of(S.listing_rows(S.payloads(pages)), pages).select("page_id", "pos", "title", "link", "text")
+
+
+# Linked data: a trail, a list that is not commerce, and an entity whose texts look like objects.
+_LINKED = """concat('[{"@type":"BreadcrumbList","itemListElement":[{"name":"Home"},{"name":"P', page_id, '"},{"x":1},7]},{"@type":"ItemList","itemListElement":[{"item":{"name":"one","size":1,"deep":{"a":1}}},{"name":"two ', page_id, '","ok":true}]},{"@type":"Product","name":"{odd}","ok":false,"n":[null,"a",true],"list":"[1]"}]')"""
+
+
+@query("""
+    SELECT page_id, '**Breadcrumbs:** Home > P' || page_id || chr(10) || chr(10) || '### ItemList' || chr(10) || chr(10) || '| name | size | ok |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| one | 1 |  |' || chr(10) || '| two ' || page_id || ' |  | True |' || chr(10) || chr(10)
+        || '## Product: {odd}' || chr(10) || '- **name:** {odd}' || chr(10) || '- **ok:** False' || chr(10) || '- **n:** a, True' || chr(10) || '- **list:** [1]' AS text FROM pages
+""")
+def ext9_ext10_trails_and_lists(spark, sf_dir):
+    pages = rows(spark, sf_dir, f"""SELECT page_id, concat(html, '<script type="application/ld+json">', {_LINKED}, '</script>') AS html FROM pages""", "pages")
+    return S.payload_texts(S.payloads(pages)).where("source = 'ld_json'").select("page_id", "text")
+
+
+_ODD = """concat('{"id":', page_id, ',"tags":["a",{}],"u":"', CASE WHEN page_id % 10 = 0 THEN repeat('x', 25000) ELSE url END, '"}')"""
+
+
+@query("""
+    SELECT page_id, '```json' || chr(10) || CASE WHEN length(t) > 20000 THEN left(t, 20000) || chr(10) || '… (truncated)' ELSE t END || chr(10) || '```' AS text FROM (SELECT page_id, '{' || chr(10) || '  "id": ' || page_id || ',' || chr(10) || '  "tags": [' || chr(10) || '    "a",' || chr(10) || '    {}' || chr(10) || '  ],' || chr(10)
+        || '  "u": "' || CASE WHEN page_id % 10 = 0 THEN repeat('x', 25000) ELSE url END || '"' || chr(10) || '}' AS t FROM pages)
+""")
+def ext19_fenced_answers(spark, sf_dir):
+    return rows(spark, sf_dir, f"SELECT page_id, {_ODD} AS data FROM pages", "pages").select("page_id", S.fenced(F.col("data")).alias("text"))
