@@ -10,9 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh, id_and_text, written
 
-RARE = 16  # a line is rare that at most so many documents hold
 MIN_CHARS = 20  # of a line that can bring two documents together or be removed
-PASSAGE_WORDS = 20  # a line of so many words is a passage: it brings documents together however many hold it
 
 
 def patience(a: list, b: list) -> list[tuple[int, int]]:
@@ -63,14 +61,12 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def line_matches(docs: DataFrame, rare: int = RARE, min_chars: int = MIN_CHARS, passage_words: int = PASSAGE_WORDS) -> DataFrame:
+def line_matches(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """One row per row of docs: doc_id, n_lines, removed (places of lines to delete, ascending), partners (earlier doc_ids).
 
     Lines are what line feeds part, compared by 128-bit hash after trimming spaces; lines under min_chars characters bring
     nobody together. Every line links a document to the earliest document that holds the line, so there are no more pairs
-    than lines, whatever the size of a group. A pair is aligned if it shares a line that at most `rare` documents hold, a
-    line of `passage_words` words or more, or two lines and more of any frequency; one short frequent line alone is layout,
-    not overlap. Two lines of min_chars that follow one another (shorter lines apart) are a block, which also links a
+    than lines, whatever the size of a group, and no line is too frequent: a line of 40 documents leaves 39 of them. Two lines of min_chars that follow one another (shorter lines apart) are a block, which also links a
     document to the earliest holder of the block, so a block is found though each of its lines was first held elsewhere.
     Removed are the aligned lines of the later document that are min_chars long or stand between such lines. Copies of a
     text are aligned with the first.
@@ -78,20 +74,19 @@ def line_matches(docs: DataFrame, rare: int = RARE, min_chars: int = MIN_CHARS,
     of the text, and rows equal in both count as one holder; rows without doc_id are left out; an empty table gives an
     empty result.
     """
-    return _matches(docs, rare, min_chars, passage_words).drop("same")
+    return _matches(docs, min_chars).drop("same")
 
 
-def _matches(docs: DataFrame, rare: int, min_chars: int, passage_words: int) -> DataFrame:
+def _matches(docs: DataFrame, min_chars: int) -> DataFrame:
     def hashed(line: Column) -> Column:
         line = F.trim(line)
-        return F.struct(F.unhex(F.md5(line)).alias("h"), (F.length(line) >= min_chars).alias("long"), (F.size(F.split(line, r"\s+")) >= passage_words).alias("passage"))
+        return F.struct(F.unhex(F.md5(line)).alias("h"), (F.length(line) >= min_chars).alias("long"))
 
     row = F.struct("doc_id", F.unhex(F.md5("body")).alias("same"))
     lists = written(id_and_text(docs).where("doc_id is not null").select(row.alias("r"), F.transform(F.split("body", "\n", -1), hashed).alias("ls")), "line-lists")
-    ls = lists.select("r", F.explode("ls").alias("l")).where("l.long").select("r", F.col("l.h").alias("h"), F.col("l.passage").alias("passage")).distinct()
-    holders = ls.groupBy("h").agg(F.min("r").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    pairs = ls.join(holders, "h").where("r <> first").groupBy("r", "first").agg(F.count(F.lit(1)).alias("shared"), F.min("n").alias("rarest"), F.bool_or("passage").alias("passage"))
-    pairs = pairs.where((F.col("rarest") <= rare) | (F.col("shared") >= 2) | F.col("passage")).select("r", "first")
+    ls = lists.select("r", F.explode("ls").alias("l")).where("l.long").select("r", F.col("l.h").alias("h")).distinct()
+    holders = ls.groupBy("h").agg(F.min("r").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "first")
+    pairs = ls.join(holders, "h").where("r <> first").select("r", "first").distinct()
     long = F.transform(F.filter("ls", lambda l: l["long"]), lambda l: l["h"])
     two = F.zip_with(F.slice("hs", 1, F.size("hs") - 1), F.slice("hs", 2, F.size("hs") - 1), lambda x, y: F.unhex(F.md5(F.concat(x, y))))
     blocks = lists.select("r", long.alias("hs")).where("size(hs) > 1").select("r", F.explode(F.array_distinct(two)).alias("b"))
@@ -122,10 +117,10 @@ def _matches(docs: DataFrame, rare: int, min_chars: int, passage_words: int) ->
     return lists.select("r", F.size("ls").alias("n_lines")).join(gone, "r", "left").select("r.doc_id", "r.same", "n_lines", F.coalesce("removed", empty[0]).alias("removed"), F.coalesce("partners", empty[1]).alias("partners"))
 
 
-def drop_lines(docs: DataFrame, rare: int = RARE, min_chars: int = MIN_CHARS) -> DataFrame:
+def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """The documents without the removed lines. A document of which nothing is left stays with an empty text."""
     names = fresh(docs, "id", "same", "removed")
-    gone = _matches(docs, rare, min_chars, PASSAGE_WORDS).where("size(removed) > 0").select("doc_id", "same", "removed").distinct().toDF(*names)
+    gone = _matches(docs, min_chars).where("size(removed) > 0").select("doc_id", "same", "removed").distinct().toDF(*names)
     joined, removed = docs.join(gone, (docs["doc_id"] == gone[names[0]]) & (F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")))) == gone[names[1]]), "left"), F.col(names[2])
     lines = F.split("text", "\n", -1)
     kept = F.array_join(F.transform(F.filter(F.transform(lines, lambda l, i: F.struct(l.alias("l"), i.alias("i"))), lambda x: ~F.array_contains(removed, x["i"])), lambda x: x["l"]), "\n")

@@ -36,11 +36,42 @@ def test_common_blocks_leave_the_later_document(make_docs):
     assert out.columns == docs.columns and text[2] == line("c") and text[6] == line("e") and text[4] is None and text[1] == rows[0][1]
 
 
-def test_one_frequent_line_is_layout_but_two_are_overlap(make_docs):
-    rows = [(i, f"{line(i)}\n{line('menu')}\n{line(-i)}") for i in range(30)]
-    assert all(not r.removed for r in line_matches(make_docs(rows), rare=5).collect())
-    rows = [(i, f"{line(i)}\n{line('menu')}\n{line('foot')}") for i in range(30)]
-    assert {r.doc_id: r.removed for r in line_matches(make_docs(rows), rare=5).collect()} == {0: []} | {i: [1, 2] for i in range(1, 30)}
+def test_a_frequent_line_leaves_all_but_its_first_holder(make_docs):
+    for n in (16, 17, 40, 120):
+        rows = [(i, f"{line(i)}\n{line('menu')}\n{line(-i)}") for i in range(n)]
+        assert {r.doc_id: r.removed for r in line_matches(make_docs(rows)).collect()} == {0: []} | {i: [1] for i in range(1, n)}
+
+
+def brute(rows):
+    """Every document aligned with the earliest holder of each of its lines and of each two lines that follow one another."""
+    docs = {i: t.split("\n") for i, t in rows}
+    long = {i: [x.strip(" ") for x in ls if len(x.strip(" ")) >= 20] for i, ls in docs.items()}
+    holds = {}
+    for i in sorted(docs):
+        for x in [*long[i], *zip(long[i], long[i][1:])]:
+            holds.setdefault(x, i)
+    out = {}
+    for i, ls in docs.items():
+        gone, with_ = set(), set()
+        for j in {holds[x] for x in [*long[i], *zip(long[i], long[i][1:])]} - {i}:
+            found, run, own = [k for k, _ in patience([x.strip(" ") for x in ls], [x.strip(" ") for x in docs[j]])], [], set()
+            for k in [*found, None]:
+                if run and (k is None or k != run[-1] + 1):
+                    own |= set(run) if any(len(ls[m].strip(" ")) >= 20 for m in run) else set()
+                    run = []
+                run += [] if k is None else [k]
+            gone |= own
+            with_ |= {j} if own else set()
+        out[i] = (sorted(gone), sorted(with_))
+    return out
+
+
+def test_matches_brute_force_over_all_documents(make_docs):
+    rng = random.Random(12)
+    pool = [line(f"{'abcdefghij'[k % 10]}{k}") for k in range(30)] + ["short", "", "  "]
+    rows = [(i, "\n".join(rng.choice(pool if rng.random() < 0.6 else pool[:4]) for _ in range(rng.randint(1, 12)))) for i in range(1, 90)]
+    got = {r.doc_id: (r.removed, r.partners) for r in line_matches(make_docs(rows)).collect()}
+    assert got == brute(rows)
 
 
 def test_empty_table_and_repeated_rows(make_docs):
@@ -63,4 +94,4 @@ def test_a_frequent_passage_or_block_leaves_all_but_its_first_holder(make_docs):
     assert {r.doc_id: r.removed for r in line_matches(make_docs(rows)).collect()} == {1: []} | {i: [1] for i in range(2, 31)}
     rows = [(1, f"{line('x')}\n{line(1)}"), (2, f"{line(2)}\n{line('y')}"), *((i, f"{line(i)}\n{line('x')}\n\n{line('y')}\n{line(-i)}") for i in range(3, 31))]
     got = {r.doc_id: (r.removed, r.partners) for r in line_matches(make_docs(rows)).collect()}
-    assert got == {1: ([], []), 2: ([], []), 3: ([], [])} | {i: ([1, 2, 3], [3]) for i in range(4, 31)}
+    assert got == {1: ([], []), 2: ([], []), 3: ([1, 3], [1, 2])} | {i: ([1, 2, 3], [1, 2, 3]) for i in range(4, 31)}
