@@ -9,6 +9,7 @@ from html import unescape
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftpage.functions.fragments import fragment_markdown, fragment_text
 from siftpage.functions.texts import quoted
 from siftpage.operators.trees import ordered, rooted, shown
 
@@ -125,32 +126,3 @@ def topics(answers: DataFrame, deepest: int = DEEPEST) -> DataFrame:
     out = a.join(opening, "tree").join(g, "tree", "left").select("tree", title.alias("title"), F.col("op.author").alias("author"), F.nullif(F.col("op.body"), F.lit("")).alias("body"), "posts", F.coalesce("shown", F.lit(0)).alias("shown"), "texts")
     head = F.array(F.concat(F.lit("# "), "title", F.lit("\n")), F.concat(F.lit("by "), "author", F.lit("\n")), F.concat("body", F.lit("\n")), F.lit("---\n"), F.lit("## Discussion\n"))
     return out.select("tree", "title", "author", "posts", "shown", _closed(F.array_compact(F.concat(head, F.coalesce("texts", F.array().cast("array<string>"))))).alias("markdown"))
-
-
-# The characters that named references stand for; numbered ones of those are read too.
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&#x22;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#x27;", "'"), ("&#x2F;", "/"), ("&#47;", "/"), ("&nbsp;", " "), ("&#160;", " "), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&amp;", "&")]
-
-
-def unescaped(text: Column) -> Column:
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
-
-
-def fragment_text(html: Column) -> Column:
-    """A fragment of markup as one line of text."""
-    return F.trim(F.regexp_replace(unescaped(F.regexp_replace(html, "<[^>]*>", " ")), r"\s+", " "))
-
-
-def fragment_markdown(html: Column) -> Column:
-    """A fragment of markup as Markdown: paragraphs, breaks, links, emphasis, code, lists, headings and quotes; other tags go."""
-    rules = [
-        (r"(?is)<(script|style)\b.*?</\1\s*>", ""), (r"[ \t]+\n", "\n"),
-        (r"(?is)<pre\b[^>]*>\s*(?:<code\b[^>]*>)?(.*?)(?:</code\s*>)?\s*</pre\s*>", "\n\n```\n$1\n```\n\n"),
-        (r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a\s*>", "[$2]($1)"), (r"(?is)<(?:b|strong)\b[^>]*>(.*?)</(?:b|strong)\s*>", "**$1**"), (r"(?is)<(?:i|em)\b[^>]*>(.*?)</(?:i|em)\s*>", "*$1*"), (r"(?is)<code\b[^>]*>(.*?)</code\s*>", "`$1`"),
-        (r"(?i)<br\s*/?>", "\n"), (r"(?i)<li\b[^>]*>", "\n- "), *((rf"(?i)<h{k}\b[^>]*>", "\n\n" + "#" * k + " ") for k in range(1, 7)), (r"(?i)<blockquote\b[^>]*>\s*(?:<p\b[^>]*>)?", "\n\n> "), (r"(?i)</?(?:p|div|ul|ol|blockquote|table|tr|h[1-6])\b[^>]*>", "\n\n"), (r"<[^>]*>", ""),
-        (r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n"),
-    ]
-    for pattern, by in rules:
-        html = F.regexp_replace(html, pattern, by)
-    return unescaped(F.regexp_replace(html, r"^\s+|\s+$", ""))

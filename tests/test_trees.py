@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from siftpage.functions.fragments import fragment_markdown
 from siftpage.operators import threads as T
 from siftpage.operators import trees
 
@@ -92,5 +93,5 @@ def test_fragments(spark):
         ("<p>a</p><p>b <a class=x href='https://e.com/?a=1&amp;b=2'>c</a></p>", "a\n\nb [c](https://e.com/?a=1&b=2)"), ("x<br/>y", "x\ny"), ("<ul><li>1</li><li>2</li></ul>", "- 1\n- 2"), ("<pre><code>if a &lt; b:\n  c</code></pre>", "```\nif a < b:\n  c\n```"),
         ("<h2>T</h2><blockquote><p>q</p></blockquote>z", "## T\n\n> q\n\nz"), ("<em>i</em> <strong>b</strong> <code>c</code><script>no()</script>", "*i* **b** `c`"), ("", ""), (" <p> </p> ", ""), (None, None),
     ]
-    df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(cases)], "i int, h string").select("i", T.fragment_markdown(F.col("h")).alias("m"))
+    df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(cases)], "i int, h string").select("i", fragment_markdown(F.col("h")).alias("m"))
     assert [r.m for r in df.orderBy("i").collect()] == [m for _, m in cases]
