@@ -31,7 +31,7 @@ def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    coded = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), batch_chars=4_000_000)  # smaller batches: more shuffle, less memory
+    coded = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), batch_chars=2_000_000)  # smaller batches: more shuffle, less memory
     return coded.select("doc_id", "ids", F.size("ids").alias("n_ids"))
 
 
