@@ -44,51 +44,6 @@ def failure_state(events: DataFrame, threshold: int) -> DataFrame:
     return events.groupBy("key").applyInPandasWithState(update, "key long, seen long, longest_run long, opened long", "seen long, run long, longest long, opened long", "update", GroupStateTimeout.NoTimeout)
 
 
-def uptake_state(rows: DataFrame) -> DataFrame:
-    """rows (target, ts, id): suggestions have an id, visits none -> (id, target, ts, followed_at) as visits close suggestions.
-
-    A visit closes all that are open and earlier. State: the open suggestions of a target; the batch twin is first_visit_after.
-    Rows of a target are taken in order of time within a trigger, so triggers must not go back in time.
-    """
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ids, times = map(list, state.get) if state.exists else ([], [])
-        closed = []
-        for r in pd.concat(batches).sort_values("ts", kind="stable").itertuples():
-            at = r.ts.value // 1000
-            if pd.isna(r.id):
-                closed += [(i, key[0], t, at) for i, t in zip(ids, times) if t < at]
-                left = [(i, t) for i, t in zip(ids, times) if t >= at]
-                ids, times = [i for i, _ in left], [t for _, t in left]
-            else:
-                ids.append(int(r.id))
-                times.append(at)
-        state.update((ids, times))
-        yield pd.DataFrame(closed, columns=["id", "target", "ts", "followed_at"])
-
-    return rows.groupBy("target").applyInPandasWithState(update, "id long, target long, ts long, followed_at long", "ids array<long>, times array<long>", "append", GroupStateTimeout.NoTimeout)
-
-
-def cache_state(rows: DataFrame) -> DataFrame:
-    """rows (key, seq, at, ttl): writes have a ttl, reads none -> (key, seq, hit) for each read, against the key's last write so far.
-
-    State: when that was and when it ends. The batch twin is cache_hits.
-    """
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (ends,) = state.get if state.exists else (float("-inf"),)
-        out = []
-        for r in pd.concat(batches).sort_values(["at", "seq"]).itertuples():
-            if pd.isna(r.ttl):
-                out.append((key[0], r.seq, bool(ends > r.at)))
-            else:
-                ends = r.at + r.ttl
-        state.update((float(ends),))
-        yield pd.DataFrame(out, columns=["key", "seq", "hit"])
-
-    return rows.groupBy("key").applyInPandasWithState(update, "key string, seq long, hit boolean", "ends double", "append", GroupStateTimeout.NoTimeout)
-
-
 def breaker_state(rows: DataFrame, threshold: int = 5, ttl: float = 30.0) -> DataFrame:
     """rows (host, seq, at, failed) -> (host, seq, allowed): a breaker opens after so many failures in a row and lets a trial
     through when ttl seconds have gone; a call that is not allowed changes nothing. State: failures in a row, and open till when."""

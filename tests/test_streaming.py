@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftpage.operators import log
-from siftpage.streaming import jobs
+from siftpage.streaming import jobs, stateful
 
 SF = "/root/testdata/sf0.001"
 
@@ -58,13 +58,48 @@ def test_first_hints(spark, events):
 def test_uptake(spark, events):
     rows = lambda df: df.select(F.col("user_id").alias("target"), "ts", F.when(F.col("event_id") % 10 == 0, F.col("event_id")).alias("id"))
     batch = rows(events[0])
-    ordered = batch.orderBy("ts").select("target", "ts", "id")
-    assert ordered.count()
-    got = run(spark, jobs.uptake_state(rows(by_time(spark, events))), "uptake", "append")
+    stateful.with_rocksdb(spark)
+    got = run(spark, stateful.uptake(rows(by_time(spark, events)), "400 days"), "uptake", "append")
     want = log.first_visit_after(batch.where("id is not null").select("id", "target", "ts"), batch.where("id is null").select("target", "ts")).where("followed_at is not null")
     assert same(got, want.select("id", "target", F.unix_micros("ts").alias("ts"), F.unix_micros("followed_at").alias("followed_at"))) and got.count()
 
 
+def state_rows(spark, df, tmp_path, name):
+    """Rows that the state of a query holds after it has taken in everything, by the state reader."""
+    checkpoint = str(tmp_path / name)
+    df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name), lambda variable: spark.read.format("statestore").option("path", checkpoint).option("stateVarName", variable).load().count()
+
+
+def parts(spark, tmp_path, name, schema, *batches):
+    path = str(tmp_path / name)
+    for b in batches:
+        spark.createDataFrame(b, schema).selectExpr("*", "timestamp_micros(cast(s * 1000000 as bigint)) as ts").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_state_of_suggestions_ends(spark, tmp_path):
+    stateful.with_rocksdb(spark)
+    day = 86_400
+    rows = parts(spark, tmp_path, "s", "target long, s long, id long", [(1, day, 10), (1, day + 5, 11), (2, day, 20)], [(1, day + 9, None), (3, day + 9, 30)], [(3, 40 * day, None), (9, 40 * day, None)], [(9, 80 * day, None)])
+    out, held = state_rows(spark, stateful.uptake(rows, "30 days"), tmp_path, "ends")
+    assert sorted((r.id, r.target) for r in out.collect()) == [(10, 1), (11, 1)]  # 30 was followed too late
+    assert held("open") == 0
+
+
+def test_cache_is_reused_under_conditions_and_ends(spark, tmp_path):
+    stateful.with_rocksdb(spark)
+    rows = parts(
+        spark, tmp_path, "c", "key string, seq long, s long, ttl double, etag string",
+        [("a", 1, 100, 50.0, "e1"), ("a", 2, 120, None, None), ("b", 3, 100, 10.0, None), ("b", 4, 120, None, None), ("c", 5, 100, None, None)],
+        [("a", 6, 200, None, None), ("a", 7, 210, 5.0, "e2"), ("a", 8, 212, None, None)], [("a", 9, 90_000, None, None), ("d", 10, 90_000, 10.0, "x")], [("a", 11, 400_000, None, None)],
+    )
+    out, held = state_rows(spark, stateful.cache(rows, "1 hour", "1 minute"), tmp_path, "cached")
+    got = {r.seq: (r.outcome, r.etag) for r in out.collect()}
+    assert got == {2: ("hit", None), 4: ("miss", None), 5: ("miss", None), 6: ("conditional", "e1"), 8: ("hit", None), 9: ("miss", None), 11: ("miss", None)}
+    assert held("row") == 0
+
+
 def by_time(spark, events):
     """The events as a stream of three parts in order of time."""
     import tempfile
@@ -85,8 +120,10 @@ def test_cache(spark, events):
     b = rows(events[0])
     reads = b.where("ttl is null").select(F.col("seq").alias("id"), F.col("key").alias("url"), F.lit("").alias("variant"), "at")
     writes = b.where("ttl is not null").select(F.col("key").alias("url"), F.lit("").alias("variant"), F.col("at").alias("fetched_at"), "ttl")
-    got = run(spark, jobs.cache_state(rows(by_time(spark, events))), "cache", "append")
-    assert same(got.select(F.col("seq").alias("id"), "hit"), state.cache_hits(reads, writes).select("id", "hit")) and got.where("hit").count()
+    timed = by_time(spark, events).select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), "ts", F.when(F.col("event_id") % 2 == 0, F.col("value") * 3600).alias("ttl"), F.lit(None).cast("string").alias("etag"))
+    stateful.with_rocksdb(spark)
+    got = run(spark, stateful.cache(timed, "400 days"), "cache", "append").select(F.col("seq").alias("id"), (F.col("outcome") == "hit").alias("hit"))
+    assert same(got, state.cache_hits(reads, writes).select("id", "hit")) and got.where("hit").count()
 
 
 def test_breaker(spark, events):
