@@ -14,7 +14,8 @@ CONTACT, UNFETCHABLE = r"(?i)^(mailto|tel):", r"(?i)^(javascript|data|blob|about
 ARCHIVES = ["web.archive.org", "archive.org", "ghostarchive.org", "archive.ph", "archive.today", "archive.is"]
 GENERIC_REASONS = ["discussed page", "item page", "discussion thread"]
 COMMENTS = r"(?i)\b\d+\s*comments?\b"
-_ANCHOR = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))[^>]*>(.*?)</a>"""
+_HREF = r"""<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))[^>]*>"""
+_ANCHOR, _OPENING, _ENDS = rf"(?is){_HREF}(.*?)</a>", rf"(?is)^{_HREF}", rf"(?is)^{_HREF}|</a>$"
 HANDLE = r"\{\{(\d+)\}\}"
 
 
@@ -71,22 +72,29 @@ def archive_mirror(url: Column) -> Column:
 
 
 def _folded(p: Column) -> Column:
-    """An absolute path without dot segments and empty ones."""
+    """An absolute path without dot segments."""
     parts = F.slice(F.split(p, "/"), 2, 1 << 20)
-    end = F.when(F.element_at(parts, -1).isin("", ".", ".."), "/").otherwise("")
-    step = lambda a, s: F.when(s == "..", F.regexp_replace(a, "/[^/]*$", "")).when(s.isin("", "."), a).otherwise(F.concat(a, F.lit("/"), s))
-    return F.regexp_replace(F.concat(F.aggregate(parts, F.lit(""), step), end), "^$", "/")
+    end = F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise("")
+    step = lambda a, s: F.when(s == "..", F.regexp_replace(a, "/[^/]*$", "")).when(s == ".", a).otherwise(F.concat(a, F.lit("/"), s))
+    folded = F.concat(F.aggregate(parts, F.lit(""), step), end)
+    return F.when(F.contains(p, F.lit("/.")), F.regexp_replace(folded, "^$", "/")).when(p == "", "/").otherwise(p)
+
+
+def _merged(base: Column, own: Column) -> Column:
+    """The path of base's directory and own after it, empty segments left out but for the last: what is written as an absolute
+    path keeps its own."""
+    whole = F.concat(F.regexp_replace(path(base), "[^/]*$", ""), own)
+    whole = F.when(whole.startswith("/"), whole).otherwise(F.concat(F.lit("/"), whole))
+    return F.regexp_replace(whole, "/{2,}", "/")
 
 
 def joined(base: Column, href: Column) -> Column:
     """href as seen from the page at base: absolute as it is, else with base's scheme, host and directory."""
     scheme, root = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1), F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
     own, tail = F.regexp_extract(href, r"^([^?#]*)", 1), F.regexp_extract(href, r"^[^?#]*(.*)$", 1)
-    folder = F.concat(F.regexp_replace(path(base), "[^/]*$", ""), own)
-    folder = F.when(folder.startswith("/"), folder).otherwise(F.concat(F.lit("/"), folder))
     out = F.when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(scheme, href)).when(href == "", base)
     out = out.when(href.startswith("?"), F.concat(F.regexp_extract(base, r"^([^?#]*)", 1), href)).when(href.startswith("#"), F.concat(F.regexp_extract(base, r"^([^#]*)", 1), href))
-    return out.otherwise(F.concat(root, _folded(F.when(own.startswith("/"), own).otherwise(folder)), tail))
+    return out.otherwise(F.concat(root, _folded(F.when(own.startswith("/"), own).otherwise(_merged(base, own))), tail))
 
 
 def target_key(url: Column) -> Column:
@@ -102,18 +110,22 @@ def resolved(base: Column, href: Column) -> Column:
     Contacts stay as they are written. Empty links, fragments alone, schemes that cannot be fetched and other schemes than
     http and https are cut.
     """
-    raw = F.trim(F.coalesce(href, F.lit("")))
-    absolute = joined(base, raw)
     row = lambda k, h, c: F.struct(k.alias("key"), h.alias("href"), F.lit(c).alias("is_contact"))
-    fetchable = (raw != "") & ~raw.rlike(UNFETCHABLE) & ~raw.startswith("#") & absolute.rlike("(?i)^https?://")
-    return F.when(raw.rlike(CONTACT), row(raw, raw, True)).when(fetchable & (target_key(absolute) != target_key(base)), row(target_key(absolute), absolute, False))
+    # what several tests read is worked out once, by way of an array of one
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def fetched(raw: Column) -> Column:
+        of = lambda absolute: once(target_key(absolute), lambda key: F.when(absolute.rlike("(?i)^https?://") & (key != target_key(base)), row(key, absolute, False)))
+        return F.when((raw != "") & ~raw.rlike(UNFETCHABLE) & ~raw.startswith("#"), once(joined(base, raw), of))
+
+    return once(F.trim(F.coalesce(href, F.lit(""))), lambda raw: F.when(raw.rlike(CONTACT), row(raw, raw, True)).otherwise(fetched(raw)))
 
 
 def anchors(pages: DataFrame) -> DataFrame:
     """(page_id, url, pos, href, label) of every <a href>, in page order; label without tags, white space collapsed."""
     each = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(_ANCHOR), F.lit(0))).alias("pos", "a"))
-    part = lambda k: F.regexp_extract("a", _ANCHOR, k)
-    label = F.trim(F.regexp_replace(F.regexp_replace(part(4), r"(?s)<[^>]+>", " "), r"\s+", " "))
+    part = lambda k: F.regexp_extract("a", _OPENING, k)
+    label = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace("a", _ENDS, ""), r"(?s)<[^>]+>", " "), r"\s+", " "))
     return each.select("page_id", "url", "pos", F.concat(part(1), part(2), part(3)).alias("href"), label.alias("label"))
 
 
@@ -123,7 +135,8 @@ def digest(links: DataFrame, cap: int = DIGEST_CAP) -> DataFrame:
     One handle for each target in first-seen order, `cap` at most; labels are the different ones that are not empty, in order
     of first use; href is the first one written for the target.
     """
-    a = links.select("page_id", "url", "pos", F.trim("label").alias("label"), resolved(F.col("url"), F.col("href")).alias("r")).where("r is not null")
+    row = resolved(F.col("url"), F.col("href"))
+    a = links.select("page_id", "url", "pos", F.trim("label").alias("label"), F.explode(F.array_compact(F.array(row))).alias("r"))  # no filter, which would work the row out again
     labels = F.array_distinct(F.filter(F.transform(F.sort_array(F.collect_list(F.struct("pos", "label"))), lambda x: x["label"]), lambda x: x != ""))
     one = a.groupBy("page_id", "url", F.col("r.key").alias("key")).agg(F.min(F.struct("pos", "r.href", "r.is_contact")).alias("first"), labels.alias("labels"))
     one = one.withColumn("handle", F.row_number().over(Window.partitionBy("page_id").orderBy("first.pos"))).where(F.col("handle") <= cap)

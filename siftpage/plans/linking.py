@@ -10,7 +10,7 @@ from siftpage.plans.queries import _q, query, table
 
 # One page's links, one row each: page_id, url of the page, place, href, label.
 _BASES = ["https://x.com/a/b/page?q=1#top", "https://www.shop.example.com", "http://h.net:8080/d/"]
-_HREFS = ["c", "../d", "//y.com/z", "/r/./s/../t", "?p=2", "#frag", "", "  ", "mailto:a@b.c", "TEL:+12", "javascript:void(0)", "data:x,y", "https://x.com/a/b/page/?q=1", "HTTP://Other.org/Path/#f", "ftp://f.com/x", "./", "..", "../../../../up", "e//f", "c/?k=v#z", "c", "https://a.shop.example.com/i", "https://example.com/j", "page", "blob:1", "about:blank", "http://h.net/d"]
+_HREFS = ["c", "../d", "//y.com/z", "/r/./s/../t", "?p=2", "#frag", "", "  ", "mailto:a@b.c", "TEL:+12", "javascript:void(0)", "data:x,y", "https://x.com/a/b/page/?q=1", "HTTP://Other.org/Path/#f", "ftp://f.com/x", "./", "..", "../../../../up", "e//f", "/e//f", "/a//b/../c//", "/", "c/?k=v#z", "c", "https://a.shop.example.com/i", "https://example.com/j", "page", "blob:1", "about:blank", "http://h.net/d"]
 HREFS = Fixture("pages/8: page_id int, url string, pos int, href string, label string", [(p, b, i, h, ["First §", "", "Second", "First §"][(i + p) % 4]) for p, b in enumerate(_BASES) for i, h in enumerate(_HREFS)])
 
 _NETLOC = "regexp_extract({0}, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)"
@@ -27,9 +27,9 @@ def _resolve_sql(source: str) -> str:
     SELECT * EXCLUDE (raw, own, tail, full_path, parts, folded), CASE WHEN contact THEN raw ELSE {_KEY.format('abs')} END AS key FROM (
       SELECT *, CASE WHEN contact OR regexp_matches(raw, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN raw WHEN starts_with(raw, '//') THEN regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*:)', 1) || raw WHEN starts_with(raw, '?') THEN regexp_extract(url, '^([^?#]*)', 1) || raw
         ELSE regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) || CASE WHEN folded || mark = '' THEN '/' ELSE folded || mark END || tail END AS abs FROM (
-        SELECT *, list_reduce(parts, lambda a, s: CASE WHEN s = '..' THEN regexp_replace(a, '/[^/]*$', '') WHEN s IN ('', '.') THEN a ELSE a || '/' || s END, '') AS folded, CASE WHEN parts[-1] IN ('', '.', '..') THEN '/' ELSE '' END AS mark FROM (
+        SELECT *, list_reduce(parts, lambda a, s: CASE WHEN s = '..' THEN regexp_replace(a, '/[^/]*$', '') WHEN s = '.' THEN a ELSE a || '/' || s END, '') AS folded, CASE WHEN parts[-1] IN ('.', '..') THEN '/' ELSE '' END AS mark FROM (
           SELECT *, string_split(full_path, '/')[2:] AS parts FROM (
-            SELECT *, CASE WHEN starts_with(own, '/') THEN own WHEN starts_with(regexp_replace({_PATHQ.format('url')}, '[^/]*$', '') || own, '/') THEN regexp_replace({_PATHQ.format('url')}, '[^/]*$', '') || own ELSE '/' || own END AS full_path FROM (
+            SELECT *, CASE WHEN starts_with(own, '/') THEN own ELSE regexp_replace('/' || regexp_replace({_PATHQ.format('url')}, '[^/]*$', '') || own, '/{{2,}}', '/', 'g') END AS full_path FROM (
               SELECT *, regexp_extract(raw, '^([^?#]*)', 1) AS own, regexp_extract(raw, '^[^?#]*(.*)$', 1) AS tail, regexp_matches(raw, '(?i)^(mailto|tel):') AS contact FROM (SELECT *, trim(coalesce(href, '')) AS raw FROM {source}) WHERE raw <> ''
     ))))) WHERE contact OR (NOT regexp_matches(raw, '(?i)^(javascript|data|blob|about):') AND NOT starts_with(raw, '#') AND regexp_matches(abs, '(?i)^https?://') AND {_KEY.format('abs')} <> {_KEY.format('url')})"""
 
