@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, without, written
+from .common import fresh, id_and_text, written
 
 WINDOW = 8  # canonical tokens, at most; fewer in short items
 LEAST_WINDOW = 4  # tokens of a window in items that have more than one
@@ -66,10 +66,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     slot is looked up by the shift of the most windows around it, or by the only shift there is, and not compared where
     that leads to no slot or parts of different shift leave it out. slots counts the slots compared and changed those whose value differs, so re-parameterised questions show as
     changed > 0. A capital at the start of a sentence cannot be told from a word and stays one. Null and empty texts and
-    items have no windows; rows without an id are left out; repeated rows give one result; empty tables give an empty result.
+    items have no windows; rows without an id are left out; rows of one doc_id are texts of their own, of which the one that
+    holds most of an item counts; of rows of one item_id the smallest text is the item; empty tables give an empty result.
     """
-    base = id_and_text(docs).where("doc_id is not null")
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("body")).where("item_id is not null").dropDuplicates(["item_id"])
+    found = _leaks(docs, benchmark, window, coverage)
+    return found.groupBy("doc_id", "item_id").agg(F.max("b").alias("b")).select("doc_id", "item_id", "b.matched", "b.windows", "b.slots", "b.changed")
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
+    """(doc_id, same, item_id, b) of each text; same is a hash that tells texts of one doc_id apart."""
+    base = id_and_text(docs).where("doc_id is not null").select(F.struct("doc_id", F.unhex(F.md5("body")).alias("same")).alias("doc_id"), "body")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("body")).where("item_id is not null").groupBy("item_id").agg(F.min("body").alias("body"))
     n = F.size("toks")
     third = F.greatest(F.lit(min(LEAST_WINDOW, window)), F.floor((n + 3) / 3).cast("int"))
     items = items.select("item_id", "body", tokens(F.col("body")).alias("toks")).where("size(toks) > 0").withColumn("len", F.when(n < min(window, WINDOW), n).otherwise(F.least(F.lit(window), third)))
@@ -103,7 +110,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     runs = runs.withColumn("matched", F.size(F.array_distinct(F.flatten("chain.places"))).cast("long"))
     runs = written(runs.where(F.col("matched") >= F.lit(coverage) * F.col("windows")).select("doc_id", "item_id", "shift", "matched", "windows", "len", "chain"), "bench-runs")
     # slots, of the documents and items that meet alone
-    met = base.join(runs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "body")
+    met = base.join(runs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "body").dropDuplicates(["doc_id"])
     theirs = met.select("doc_id", F.explode(slots(F.col("body"))).alias("s")).select("doc_id", F.col("s.pos").alias("pos"), F.col("s.value").alias("value"))
     asked = items.select("item_id", F.explode(slots(F.col("body"))).alias("s")).select("item_id", F.col("s.pos").alias("ipos"), F.col("s.value").alias("asked"))
     around = lambda c: F.size(F.filter(c["places"], lambda q: (q <= F.col("ipos")) & (F.col("ipos") < q + F.col("len"))))
@@ -115,9 +122,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     good = runs.drop("chain", "len").join(checked, ["doc_id", "item_id", "shift"], "left").where("coalesce(values, 1) <= 1")
     zero = F.lit(0).cast("long")
     best = good.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", -F.col("shift"), "windows", F.coalesce("slots", zero).alias("slots"), F.coalesce("changed", zero).alias("changed"))).alias("b"))
-    return best.select("doc_id", "item_id", "b.matched", "b.windows", "b.slots", "b.changed")
+    return best.select("doc_id.doc_id", "doc_id.same", "item_id", "b")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that leak no item, with all their columns."""
-    return without(docs, leaks(docs, benchmark).select("doc_id"))
+    """The documents that leak no item, with all their columns; of rows of one doc_id those go whose own text leaks."""
+    gone = _leaks(docs, benchmark).select("doc_id", "same").distinct()
+    gone = gone.toDF(*fresh(docs, "id", "same"))
+    own = F.unhex(F.md5(F.coalesce(docs["text"], F.lit(""))))
+    return docs.join(gone, (docs["doc_id"] == gone[gone.columns[0]]) & (own == gone[gone.columns[1]]), "left_anti")

@@ -40,3 +40,14 @@ def test_a_slot_of_another_length_leaves_the_item_found(spark, make_docs):
     rows += [(1, f"so then {changed} and after"), (2, f"so then {changed.replace('then Ines Lund', 'then Karl')} and after")]
     got = {(r.doc_id, r.item_id): (r.slots, r.changed) for r in leaks(make_docs(rows), bench(spark, [*items, (50, item, 1)])).collect()}
     assert {(i, i // 100) for i, _ in rows if i > 2} <= set(got) and got[1, 50] == (3, 3) and (2, 50) not in got
+
+
+def test_rows_of_one_id_are_texts_of_their_own(spark, make_docs):
+    words = [f"w{chr(97 + k)}{chr(97 + k // 3)}" for k in range(20)]
+    item = spark.createDataFrame([(7, " ".join(words)), (7, "z " + " ".join(words[::-1]))], "item_id long, text string")
+    first, second = " ".join(words[:10]), " ".join(words[10:])
+    rows = [(1, first), (1, second), (2, first), (3, second), (4, " ".join(words)), (4, "clean text"), (4, " ".join(words)), (5, "other")]
+    got = leaks(make_docs(rows), item).collect()
+    assert {(r.doc_id, r.item_id, r.matched == r.windows) for r in got} == {(4, 7, True)} and len(got) == 1
+    left = sorted((r.doc_id, r.text) for r in drop_leaks(make_docs(rows), item).collect())
+    assert left == sorted([(1, first), (1, second), (2, first), (3, second), (4, "clean text"), (5, "other")])
