@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftpage.functions.fragments import fragment_markdown, fragment_text
-from siftpage.functions.texts import quoted
+from siftpage.functions.texts import partial_note, quoted
 from siftpage.operators.trees import ordered, rooted, shown
 
 COMMENTS, DEEPEST = 400, 20  # fixed values: comments of a thread that are shown, and levels of them
@@ -126,3 +126,46 @@ def topics(answers: DataFrame, deepest: int = DEEPEST) -> DataFrame:
     out = a.join(opening, "tree").join(g, "tree", "left").select("tree", title.alias("title"), F.col("op.author").alias("author"), F.nullif(F.col("op.body"), F.lit("")).alias("body"), "posts", F.coalesce("shown", F.lit(0)).alias("shown"), "texts")
     head = F.array(F.concat(F.lit("# "), "title", F.lit("\n")), F.concat(F.lit("by "), "author", F.lit("\n")), F.concat("body", F.lit("\n")), F.lit("---\n"), F.lit("## Discussion\n"))
     return out.select("tree", "title", "author", "posts", "shown", _closed(F.array_compact(F.concat(head, F.coalesce("texts", F.array().cast("array<string>"))))).alias("markdown"))
+
+
+ARTICLE = "titleHtml string, textHtml string, author struct<alias:string>"
+MAPPED = "comments map<string,struct<parentId:string,message:string,author:struct<alias:string>>>, threads array<string>"
+MISSING = "_(this section was NOT retrieved — treat as unknown, not as empty)_"  # a fixed value
+
+
+def mapped_comments(answers: DataFrame) -> DataFrame:
+    """answers (tree, comments) with comments in a map by id and the roots in a list -> (tree, id, parent, pos, author, body).
+
+    The children of a comment come in the order of the map, roots in that of their list, an id listed twice once. A comment
+    that is neither listed nor under another one hangs on a parent that is not there.
+    """
+    a = answers.select("tree", F.from_json("comments", MAPPED).alias("c"))
+    each = a.select("tree", F.posexplode(F.map_entries("c.comments")).alias("at", "e"), F.col("c.threads").alias("threads")).where("e.value is not null")
+    place = F.array_position("threads", F.col("e.key"))
+    root = F.coalesce(place > 0, F.lit(False))
+    parent = F.when(~root, F.coalesce("e.value.parentId", F.lit("")))
+    return each.select("tree", F.col("e.key").alias("id"), parent.alias("parent"), F.when(root, place).otherwise(F.col("at")).cast("long").alias("pos"), F.coalesce(F.nullif(F.col("e.value.author.alias"), F.lit("")), F.lit("[unknown]")).alias("author"), fragment_markdown(F.coalesce("e.value.message", F.lit(""))).alias("body"))
+
+
+def discussed_articles(answers: DataFrame, most: int = COMMENTS, deepest: int = DEEPEST) -> DataFrame:
+    """answers (tree, article, comments) -> (tree, title, byline, came, shown, rotten, markdown).
+
+    Comments that are null did not come, and the text says so; an answer of another shape has rotted; one without comments adds
+    nothing. What the budget or the depth leaves out is counted in a note. A removed comment leaves a line.
+    """
+    found = mapped_comments(answers)
+    drawn_ = shown(ordered(found.select("tree", "id", "parent", "pos", F.lit(1).alias("level"))), most, deepest)
+    mark = F.repeat(F.lit(">"), F.col("depth"))
+    block = F.when(F.col("body") != "", signed(F.concat(quoted(F.col("body"), F.col("depth")), F.lit("\n"), mark, F.lit("\n")), F.col("author"))).otherwise(F.concat(mark, F.lit(" _[comment removed]_ — "), "author", F.lit("\n")))
+    blocks = drawn_.join(found, ["tree", "id"]).groupBy("tree", "top").agg(F.count(F.lit(1)).alias("shown"), F.min("place").alias("first"), _joined(F.struct("place", block.alias("block"))).alias("text"))
+    g = blocks.groupBy("tree").agg(F.sum("shown").alias("shown"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "text"))), lambda x: x["text"]), "\n").alias("body"))
+    came = found.groupBy("tree").agg(F.count(F.lit(1)).alias("came"))
+    art, com = F.from_json("article", ARTICLE), F.from_json("comments", "comments string, threads string")
+    rows = answers.select("tree", art.alias("a"), F.col("comments").isNull().alias("lost"), com.alias("c")).join(g, "tree", "left").join(came, "tree", "left")
+    shaped = F.coalesce(F.col("c.comments").startswith("{") & F.col("c.threads").startswith("["), F.lit(False))
+    title, byline, text = F.nullif(fragment_text(F.coalesce("a.titleHtml", F.lit(""))), F.lit("")), F.nullif(F.col("a.author.alias"), F.lit("")), F.nullif(fragment_markdown(F.coalesce("a.textHtml", F.lit(""))), F.lit(""))
+    note = partial_note(F.coalesce("shown", F.lit(0)), F.coalesce("came", F.lit(0)), F.lit("comments"))
+    discussion = F.when(F.col("lost"), F.lit(f"---\n\n## Discussion\n\n{MISSING}\n")).when(F.coalesce("came", F.lit(0)) > 0, F.concat(F.lit("---\n\n## Discussion\n\n"), F.when(note != "", F.concat(note, F.lit("\n"))).otherwise(""), F.coalesce("body", F.lit(""))))
+    parts = F.array_compact(F.array(F.concat(F.lit("# "), title, F.lit("\n")), F.concat(F.lit("by "), byline, F.lit("\n")), F.concat(text, F.lit("\n")), discussion))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return rows.select("tree", title.alias("title"), byline.alias("byline"), zero("came"), zero("shown"), (~F.col("lost") & ~shaped).alias("rotten"), _closed(parts).alias("markdown"))

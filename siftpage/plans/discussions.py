@@ -101,3 +101,24 @@ def win8_order_of_deep_threads(spark, sf_dir):
     posts = rows(spark, sf_dir, f"{_POSTS} ({_SPARK_WORDS})", "conversations").where("number > 1")
     nodes = posts.select("tree", F.col("number").alias("id"), F.when(F.col("answers") > 1, F.col("answers")).alias("parent"), F.col("number").alias("pos"), F.lit(1).alias("level"))
     return trees.shown(trees.ordered(trees.rooted(nodes)), 2**31 - 1, 2**31 - 1)
+
+
+# Comments in a map by id: every fifth word starts a thread, every 35th of them is not listed, threads are listed from the last; of every seventh tree the comments did not come.
+_PARENT = "CASE WHEN r % 5 = 0 THEN NULL WHEN r % 5 = 1 THEN r - 1 ELSE r - 2 + r % 2 END"
+_ARTICLES = f"""SELECT tree, concat('{{"titleHtml":"<b>A ', tree, '</b>","textHtml":"<p>Body</p>","author":{{"alias":"ann"}}}}') AS article,
+    CASE WHEN tree % 7 = 3 THEN NULL WHEN tree % 7 = 4 THEN '{{"comments":[]}}' ELSE concat('{{"comments":{{', array_join(transform(array_sort(collect_list(struct(r, concat('"', r, '":{{"parentId":', coalesce(CAST({_PARENT} AS STRING), 'null'), ',"message":"', CASE WHEN r % 6 = 5 THEN '' ELSE concat('<p>', word, '</p>') END, '","author":', CASE WHEN r % 8 = 0 THEN 'null' ELSE concat('{{"alias":"', role, '"}}') END, '}}') AS x))), x -> x.x), ','),
+        '}},"threads":[', array_join(transform(sort_array(collect_list(CASE WHEN r % 5 = 0 AND r % 35 <> 0 THEN r END), false), x -> concat('"', x, '"')), ','), ']}}') END AS comments FROM ({_SPARK_WORDS}) GROUP BY tree"""
+
+
+@query(f"""
+    WITH RECURSIVE w AS ({_WORDS}), n AS (SELECT tree, r, {_PARENT} AS parent, CASE WHEN r % 8 = 0 THEN '[unknown]' ELSE role END AS author, CASE WHEN r % 6 = 5 THEN '' ELSE word END AS word FROM w WHERE tree % 7 NOT IN (3, 4)),
+    t AS (SELECT *, 1 AS depth, [-r] AS path FROM n WHERE parent IS NULL AND r % 35 <> 0 UNION ALL SELECT n.*, t.depth + 1, list_append(t.path, n.r) FROM n JOIN t ON n.tree = t.tree AND n.parent = t.r),
+    o AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY path) AS place FROM t WHERE depth <= 20), s AS (SELECT * FROM o WHERE place <= 400),
+    b AS (SELECT tree, path[1] AS top, count(*) AS shown, string_agg(CASE WHEN word = '' THEN {_MARKS} || ' _[comment removed]_ — ' || author || chr(10) ELSE {_MARKS} || ' ' || word || chr(10) || {_MARKS} || chr(10) || {_MARKS} || ' — ' || author || chr(10) END, '' ORDER BY place) AS block FROM s GROUP BY tree, path[1]),
+    g AS (SELECT tree, sum(shown)::BIGINT AS shown, string_agg(block, chr(10) ORDER BY top) AS body FROM b GROUP BY tree),
+    c AS (SELECT tree, count(*) FILTER (WHERE tree % 7 NOT IN (3, 4)) AS came FROM w GROUP BY tree)
+    SELECT tree, 'A ' || tree AS title, 'ann' AS byline, came, coalesce(shown, 0) AS shown, tree % 7 = 4 AS rotten, regexp_replace('# A ' || tree || chr(10) || chr(10) || 'by ann' || chr(10) || chr(10) || 'Body' || chr(10) || CASE WHEN tree % 7 = 3 THEN chr(10) || '---' || chr(10) || chr(10) || '## Discussion' || chr(10) || chr(10) || '_(this section was NOT retrieved — treat as unknown, not as empty)_' WHEN tree % 7 = 4 THEN '' ELSE chr(10) || '---' || chr(10) || chr(10) || '## Discussion' || chr(10) || chr(10)
+        || CASE WHEN came > coalesce(shown, 0) THEN '_Showing ' || coalesce(shown, 0) || ' of ' || came || ' comments — this is a partial view._' || chr(10) || chr(10) ELSE '' END || coalesce(body, '') END, '\\s+$', '') || chr(10) AS markdown FROM c LEFT JOIN g USING (tree)
+""")
+def hnd9_discussed_articles(spark, sf_dir):
+    return T.discussed_articles(rows(spark, sf_dir, _ARTICLES, "conversations"))

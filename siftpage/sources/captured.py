@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+try:
+    import yaml
+except ImportError:  # JSON, which is YAML too, is read without
+    yaml = None
 
 SEPARATOR = "\n===== exchange =====\n"
 HEADERS, BODY, REQUEST = "--- headers ---", "--- body ---", ">>> GET "
@@ -48,24 +55,41 @@ def latest_exchanges(found: DataFrame) -> DataFrame:
     return found.groupBy("file", "url").agg(F.max_by(F.struct(*[c for c in found.columns if c not in ("file", "url")]), "pos").alias("x")).select("file", "url", "x.*")
 
 
+def _json(text: str | None) -> str | None:
+    """A YAML document as JSON; what is JSON already stays, dates become texts, what is neither is null."""
+    try:
+        json.loads(text or "")
+        return text
+    except ValueError:
+        pass
+    try:
+        return json.dumps(yaml.safe_load(text or ""), ensure_ascii=False, default=str) if yaml else None
+    except yaml.YAMLError:
+        return None
+
+
+def as_json(text: Column) -> Column:
+    return F.pandas_udf(lambda texts: texts.map(_json), StringType())(text)
+
+
 def _documents(spark: SparkSession, path: str) -> DataFrame:
-    """The members of `urls` of a JSON document (which YAML takes too) as maps of JSON texts, in order."""
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "urls array<map<string,string>>")["urls"].alias("urls"))
-    listed = F.when(F.coalesce(F.size("urls"), F.lit(0)) > 0, F.col("urls")).otherwise(F.raise_error(F.lit("no `urls` list, or an empty one")).cast("array<map<string,string>>"))
-    return whole.select(F.posexplode(listed).alias("pos", "row"))
+    """The members of `urls` of YAML or JSON documents as maps of JSON texts, in order; file is where they come from."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.from_json(as_json(F.col("value")), "urls array<map<string,string>>")["urls"].alias("urls"))
+    listed = F.when(F.coalesce(F.size("urls"), F.lit(0)) > 0, F.col("urls")).otherwise(F.raise_error(F.concat("file", F.lit(" has no `urls` list, or an empty one"))).cast("array<map<string,string>>"))
+    return whole.select("file", F.posexplode(listed).alias("pos", "row"))
 
 
 def _required(name: str, bad: Column | None = None) -> Column:
     value = F.try_element_at("row", F.lit(name))
     missing = value.isNull() if bad is None else value.isNull() | bad
-    return F.when(~missing, value).otherwise(F.raise_error(F.concat(F.lit("row "), F.col("pos").cast("string"), F.lit(f" has no valid {name}")))).alias(name)
+    return F.when(~missing, value).otherwise(F.raise_error(F.concat("file", F.lit(": row "), F.col("pos").cast("string"), F.lit(f" has no valid {name}")))).alias(name)
 
 
 def corpus(spark: SparkSession, path: str) -> DataFrame:
     """(pos, slug, url, task, criteria, class, needs): an evaluation corpus. A row without a required field or criteria raises."""
     rows = _documents(spark, path)
     criteria = F.from_json(F.try_element_at("row", F.lit("criteria")), "array<string>")
-    listed = F.when(F.coalesce(F.size(criteria), F.lit(0)) > 0, criteria).otherwise(F.raise_error(F.concat(F.lit("row "), F.col("pos").cast("string"), F.lit(" has no valid criteria"))).cast("array<string>"))
+    listed = F.when(F.coalesce(F.size(criteria), F.lit(0)) > 0, criteria).otherwise(F.raise_error(F.concat("file", F.lit(": row "), F.col("pos").cast("string"), F.lit(" has no valid criteria"))).cast("array<string>"))
     needs = F.coalesce(F.from_json(F.try_element_at("row", F.lit("needs")), "array<string>"), F.array().cast("array<string>"))
     return rows.select("pos", _required("slug"), _required("url"), _required("task"), listed.alias("criteria"), F.coalesce(F.try_element_at("row", F.lit("class")), F.lit("")).alias("class"), needs.alias("needs"))
 
@@ -83,6 +107,23 @@ def cases(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.substring_index(at, "/", 1).alias("slug"), F.regexp_replace(at, "^[^/]*/", "").alias("name"), "content")
 
 
+CASE = "slug string, url string, question string, failure_class string, tags array<string>, notes string"
+META = "captured_at string, source_url string, layers map<string,string>, content_sha256 string"
+
+
+def case_table(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per case under folder: slug, what the case says of itself, what its capture says, its contract as (key, JSON value)
+    pairs, and whether the captured copy is of another address than the case asks for. A case without case.yaml or case.json
+    raises; a capture or a contract may be missing."""
+    files = cases(spark, folder).select("slug", "name", as_json(F.decode("content", "UTF-8")).alias("text"))
+    of = lambda *names: F.max(F.when(F.col("name").isin(*names), F.col("text")))
+    g = files.where(F.col("name").isin("case.yaml", "case.json", "meta.yaml", "meta.json", "baseline/contract.json")).groupBy(F.col("slug").alias("folder")).agg(of("case.yaml", "case.json").alias("case"), of("meta.yaml", "meta.json").alias("meta"), of("baseline/contract.json").alias("contract"))
+    case = F.coalesce(F.col("case"), F.raise_error(F.concat(F.lit("no case in "), "folder")))
+    rows = g.select("folder", F.from_json(case, CASE).alias("c"), F.from_json("meta", META).alias("m"), F.map_entries(F.from_json("contract", "map<string,string>")).alias("contract"))
+    other = F.col("m.source_url").isNotNull() & (F.col("m.source_url") != F.col("c.url"))
+    return rows.select(F.coalesce("c.slug", "folder").alias("slug"), "c.url", "c.question", "c.failure_class", F.coalesce("c.tags", F.array().cast("array<string>")).alias("tags"), "m.captured_at", "m.content_sha256", F.coalesce(other, F.lit(False)).alias("moved"), "contract")
+
+
 ATOM = "title string, entry array<struct<id:string,title:string,author:struct<name:string,uri:string>,content:string,link:struct<_href:string>,published:string,updated:string>>"
 
 

@@ -54,3 +54,30 @@ def test_cases_and_feeds(spark, tmp_path):
     feeds = spark.createDataFrame([(0, feed), (1, "no feed"), (2, None)], "id int, body string")
     got = [(r.id, r.feed_title, r.pos, r.kind, r.entry_id, r.author, r.link, r.content) for r in C.feed_entries(feeds).orderBy("id", "pos").collect()]
     assert got == [(0, "T : sub", 0, "t3", "t3_a", "al", "https://r/1", "<b>x</b>"), (0, "T : sub", 1, "t1", "t1_b", None, None, None)]
+
+
+def test_yaml_corpora_and_cases(spark, tmp_path):
+    yaml = pytest.importorskip("yaml")
+    rows = [{"slug": "a", "url": "https://x.com/", "class": "shop", "task": "t: with colon", "criteria": ["one", "two"], "needs": ["js"]}, {"slug": "b", "url": "https://y.com/", "task": "u", "criteria": ["c"], "seen": "x"}]
+    (tmp_path / "corpus.yaml").write_text("# a comment\n" + yaml.safe_dump({"urls": rows}))
+    got = {r.slug: r for r in C.corpus(spark, str(tmp_path / "corpus.yaml")).collect()}
+    assert got["a"].criteria == ["one", "two"] and got["a"]["class"] == "shop" and got["a"].needs == ["js"] and got["b"].task == "u" and got["b"]["class"] == ""
+    (tmp_path / "gold.yaml").write_text("urls:\n  - slug: g\n    url: https://z.com/\n    gold_md: |\n      # Head\n\n      two lines\n")
+    assert C.gold(spark, str(tmp_path / "gold.yaml")).first().gold_md == "# Head\n\ntwo lines\n"
+    (tmp_path / "bad.yaml").write_text("urls:\n  - slug: h\n    url: u\n    gold_md: '  '\n")
+    with pytest.raises(Exception, match="bad.yaml: row 0 has no valid gold_md"):
+        C.gold(spark, str(tmp_path / "bad.yaml")).collect()
+    (tmp_path / "none.yaml").write_text("urls: [\n")
+    with pytest.raises(Exception, match="none.yaml has no `urls` list"):
+        C.gold(spark, str(tmp_path / "none.yaml")).collect()
+    one, two = tmp_path / "cases/one", tmp_path / "cases/two"
+    (one / "baseline").mkdir(parents=True)
+    two.mkdir(parents=True)
+    (one / "case.yaml").write_text("slug: one\nurl: https://x.com/\nquestion: what?\nfailure_class: thin\ntags: [a, b]\n")
+    (one / "meta.yaml").write_text("captured_at: 2026-01-02\nsource_url: https://x.com/moved\nlayers: {raw: raw.http}\ncontent_sha256: abc\n")
+    (one / "baseline/contract.json").write_text('{"has_content": true, "steps": ["raw"]}')
+    (two / "case.yaml").write_text("url: https://y.com/\n")
+    got = {r.slug: r for r in C.case_table(spark, str(tmp_path / "cases")).collect()}
+    assert (got["one"].tags, got["one"].captured_at, got["one"].moved) == (["a", "b"], "2026-01-02", True)
+    assert [tuple(x) for x in got["one"].contract] == [("has_content", "true"), ("steps", '["raw"]')]
+    assert (got["two"].url, got["two"].tags, got["two"].contract, got["two"].moved) == ("https://y.com/", [], None, False)
