@@ -80,10 +80,35 @@ def tsv(rows: Column) -> Column:
     return F.array_join(F.concat(F.array(F.array_join(keys, "\t")), lines), "\n")
 
 
-def write_report(rows: DataFrame, folder: str, baseline: str) -> None:
-    """The artifacts of a run under a folder: its rows as JSON and TSV, leaderboard, axes, coverage and costs."""
-    parts = {"axes": axes(rows, baseline), "coverage": coverage(dispositions(rows)), "cost": costs(rows), "errors": first_errors(rows), "headline": headline(rows)}
+def leaderboard(rows: DataFrame) -> DataFrame:
+    """(system, class, n, reached, mean, median): each system over all cells (class null) and over each class, scored cells alone in
+    the mean and the true median."""
+    g = rows.groupingSets([[F.col("system")], [F.col("system"), F.col("class")]], "system", "class").agg(F.grouping("class").alias("every"), F.count(F.lit(1)).alias("n"), F.count_if("reached").alias("reached"), F.round(F.avg("quality"), 9).alias("mean"), F.median("quality").alias("median"))
+    return g.select("system", F.when(F.col("every") == 0, F.coalesce("class", F.lit(""))).alias("class"), "n", "reached", "mean", "median")
+
+
+def manifest(rows: DataFrame, run: dict[str, str]) -> DataFrame:
+    """One row: what the run says of itself, its systems, and how many pages and cells it has."""
+    g = rows.agg(F.array_sort(F.collect_set("system")).alias("systems"), F.countDistinct("slug").alias("pages"), F.count(F.lit(1)).alias("cells"))
+    return g.select(*(F.lit(v).alias(k) for k, v in sorted(run.items())), "systems", "pages", "cells")
+
+
+def findings(rows: DataFrame, baseline: str, run: dict[str, str]) -> str:
+    """The report as text, a few lines for each system: how many pages were reached, the mean, and how it differs from the baseline."""
+    each = leaderboard(rows).where("class is null").join(axes(rows, baseline).select("system", "quality_delta"), "system").orderBy(F.desc("mean"), "system").collect()  # a row a system
+    number = lambda x: "—" if x is None else f"{x:.2f}"
+    lines = [f"- **{r['system']}**: reached {r['reached']}/{r['n']}, mean {number(r['mean'])}, median {number(r['median'])}" + ("" if r["quality_delta"] is None else f" ({r['quality_delta']:+.2f} to {baseline})") for r in each]
+    return "\n".join([f"# Findings of {run.get('name', 'a run')}", "", *lines, ""])
+
+
+def write_report(rows: DataFrame, folder: str, baseline: str, run: dict[str, str] | None = None) -> None:
+    """The artifacts of a run under a folder: its rows as JSON and TSV, manifest, leaderboard, axes, coverage, costs, errors, headline, findings."""
+    run = run or {}
+    parts = {"leaderboard": leaderboard(rows), "axes": axes(rows, baseline), "coverage": coverage(dispositions(rows)), "cost": costs(rows), "errors": first_errors(rows), "headline": headline(rows)}
     rows.write.mode("overwrite").json(f"{folder}/results.json")
     rows.write.mode("overwrite").option("sep", "\t").option("header", True).csv(f"{folder}/results.tsv")
+    manifest(rows, run).coalesce(1).write.mode("overwrite").json(f"{folder}/manifest.json")
+    text = rows.sparkSession.createDataFrame([(findings(rows, baseline, run),)], "value string")
+    text.coalesce(1).write.mode("overwrite").text(f"{folder}/findings.md")
     for name, df in parts.items():
         df.coalesce(1).write.mode("overwrite").option("sep", "\t").option("header", True).csv(f"{folder}/{name}.tsv")
