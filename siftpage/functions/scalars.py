@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siftpage.functions.patterns import LENGTH_FLOOR
+
 # Fixed values.
 READER_PREFIXES = ["https://r.jina.ai/", "http://r.jina.ai/", "r.jina.ai/"]
 ITEMS = r'(?i)"?numberOfItems"?\s*[:=]\s*"?([0-9][0-9.,]*)"?'
@@ -81,3 +83,13 @@ def unwrapped(url: Column) -> Column:
         inner = F.substring(url, F.lit(len(p) + 1), F.length(url))
         out = F.when(url.startswith(p), F.when(inner.rlike("^https?://"), inner)).otherwise(out)
     return out
+
+
+def read_flags(rendered: Column, verdict: Column, chars: Column) -> tuple[Column, Column]:
+    """Whether a rendered page was read, with enough text and a clean verdict, and whether it got past the walls at all."""
+    return rendered & (verdict == "ok") & (chars >= LENGTH_FLOOR), rendered & ~verdict.isin("anti_bot", "block_page_detected")
+
+
+def read_again(body: Column, content_type: Column) -> Column:
+    """Whether what an escalation brought is markup to be read once more: text that is Markdown or JSON already is not."""
+    return (F.coalesce(F.length(body), F.lit(0)) > 0) & F.contains(F.coalesce(content_type, F.lit("")), F.lit("html"))

@@ -97,6 +97,12 @@ def joined(base: Column, href: Column) -> Column:
     return out.otherwise(F.concat(root, _folded(F.when(own.startswith("/"), own).otherwise(_merged(base, own))), tail))
 
 
+def served_elsewhere(requested: Column, served: Column) -> Column:
+    """Whether what was served is of another site than what was asked for; redirects within a site are none."""
+    filled = (F.coalesce(requested, F.lit("")) != "") & (F.coalesce(served, F.lit("")) != "")
+    return filled & (site(requested) != site(served))
+
+
 def target_key(url: Column) -> Column:
     """Scheme, host, path without trailing slashes, and query."""
     p = F.regexp_replace(path(url), "/+$", "")

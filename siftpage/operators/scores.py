@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +36,33 @@ def token_estimate(text: Column) -> Column:
     return F.when(n == 0, 0).otherwise(F.greatest(F.lit(1), F.bround(n / 4.0).cast("int")))
 
 
+class Fields:
+    """UDTF: the length of every field of an envelope as JSON with a blank behind commas and colons, of texts as they are; of debug
+    its own fields too, and of the whole at last."""
+
+    def eval(self, envelope: str):
+        try:
+            whole = json.loads(envelope or "")
+        except ValueError:
+            return
+        if not isinstance(whole, dict):
+            return
+        size = lambda v: len(v) if isinstance(v, str) else len(json.dumps(v, ensure_ascii=False))
+        for key, value in whole.items():
+            yield key, size(value)
+            for sub, inner in value.items() if key == "debug" and isinstance(value, dict) else ():
+                yield f"debug.{sub}", size(inner)
+        yield "total", size(whole)
+
+
+def token_breakdown(envelopes: DataFrame) -> DataFrame:
+    """envelopes (id, envelope) -> (id, field, tokens): the estimate of each field and of the total; what is no object has none."""
+    each = F.udtf(Fields, returnType="field string, chars int")
+    rows = envelopes.select("id", "envelope").lateralJoin(each(F.col("envelope").outer()))
+    tokens = F.when(F.col("chars") == 0, 0).otherwise(F.greatest(F.lit(1), F.bround(F.col("chars") / 4.0).cast("int")))
+    return rows.select("id", "field", tokens.alias("tokens"))
+
+
 def wins(rows: DataFrame) -> DataFrame:
     """rows (slug, system, overall) -> (system, wins): every system at a slug's maximum wins."""
     top = rows.withColumn("place", F.rank().over(Window.partitionBy("slug").orderBy(F.desc_nulls_last("overall")))).where("place = 1 and overall is not null")

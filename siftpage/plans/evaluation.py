@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftpage.plans.queries import _F1, _ROWS, _f1, query, table
+from siftpage.functions.gate import gate, visible_text
+from siftpage.functions.scalars import confidence, read_again, read_flags
+from siftpage.functions.texts import capped_confidence
+from siftpage.operators.links import served_elsewhere
+from siftpage.operators.scores import token_breakdown
+from siftpage.plans.queries import _F1, _ROWS, _SITE, _VISIBLE, _f1, gate_sql, query, table
 from siftpage.plans.retrieval import rows
 
 _LANGS = ["de", "en", "es", "fr"]
@@ -50,11 +55,22 @@ def agg22_unscored_reasons(spark, sf_dir):
     return d.groupBy(F.col("source").alias("system"), reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT event_type AS backend, count(*) FILTER (WHERE event_id % 4 <> 0 AND value >= 20) AS read_ok, count(*) FILTER (WHERE event_id % 5 <> 0) AS survived, coalesce(trunc(median(value) FILTER (WHERE event_id % 4 <> 0)), 0)::INT AS median_wall FROM events GROUP BY event_type")
-def agg24_bakeoff(spark, sf_dir):
-    ok = F.col("event_id") % 4 != 0
-    wall = F.coalesce(F.median(F.when(ok, F.col("value"))), F.lit(0)).cast("int")
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("backend")).agg(F.count_if(ok & (F.col("value") >= 20)).alias("read_ok"), F.count_if(F.col("event_id") % 5 != 0).alias("survived"), wall.alias("median_wall"))
+# A page as each of three backends saw it: rendered by the page's number, with the verdict of the gate over its visible text.
+_MARKDOWN = "(SELECT page_id, html, " + _VISIBLE.format("html") + " AS md, 'text/html' AS content_type FROM pages)"
+
+
+@query(f"""
+    SELECT 'b' || page_id % 3 AS backend, count(*) FILTER (WHERE rendered AND verdict = 'ok' AND length(md) >= 500) AS read_ok, count(*) FILTER (WHERE rendered AND verdict NOT IN ('anti_bot', 'block_page_detected')) AS survived, coalesce(trunc(median(wall) FILTER (WHERE rendered)), 0)::INT AS median_wall
+    FROM (SELECT *, page_id % 11 <> 0 AS rendered, (page_id * 37 % 9000)::DOUBLE AS wall FROM ({gate_sql(_MARKDOWN, 'page_id')})) GROUP BY ALL
+""")
+def flt12_agg24_bakeoff(spark, sf_dir):
+    """Flags of each cell from the gate, then per backend: pages read, pages not blocked, the median wall time of those rendered."""
+    html, rendered = F.col("html"), F.col("page_id") % 11 != 0
+    cells = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("b"), F.col("page_id") % 3).alias("backend"), rendered.alias("rendered"), (F.col("page_id") * 37 % 9000).alias("wall"), visible_text(html).alias("md"), "html")
+    cells = cells.select("backend", "rendered", "wall", F.length("md").alias("chars"), gate(F.col("md"), html, F.lit("text/html"))["verdict"].alias("verdict"))
+    read_ok, survived = read_flags(F.col("rendered"), F.col("verdict"), F.col("chars"))
+    wall = F.coalesce(F.median(F.when(F.col("rendered"), F.col("wall"))), F.lit(0)).cast("int")
+    return cells.groupBy("backend").agg(F.count_if(read_ok).alias("read_ok"), F.count_if(survived).alias("survived"), wall.alias("median_wall"))
 
 
 @query(r"SELECT doc_id, greatest(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \t\r]'))) - 1, 0)::INT AS candidates FROM documents WHERE text IS NOT NULL")
@@ -77,3 +93,35 @@ def set5_registry_diff(spark, sf_dir):
     used = table(spark, sf_dir, "documents").where("lang is not null").select("lang").distinct().withColumn("used", F.lit(True))
     both = used.join(declared, "lang", "full").where("used is null or declared is null")
     return both.select("lang", F.when(F.col("used").isNull(), "missing").otherwise("undeclared").alias("fault"))
+
+
+_ENVELOPE = """SELECT doc_id, concat('{"answer":"', lang, ' ', source, '","n":', doc_id, ',"none":null,"pages":[{"url":"u","kind":"k"},{"url":"', source, '"}],"debug":{"tier":"raw","steps":["a","b"]},"empty":""}') AS envelope FROM documents"""
+
+
+@query("""
+    WITH d AS (SELECT doc_id, length(lang) + length(source) + 1 AS answer, length(doc_id::VARCHAR) AS n, length('[{"url": "u", "kind": "k"}, {"url": ""}]') + length(source) AS pages, length('{"tier": "raw", "steps": ["a", "b"]}') AS debug FROM documents),
+    f AS (SELECT doc_id, unnest([{'field': 'answer', 'chars': answer}, {'field': 'n', 'chars': n}, {'field': 'none', 'chars': 4}, {'field': 'pages', 'chars': pages}, {'field': 'debug', 'chars': debug}, {'field': 'debug.tier', 'chars': 3}, {'field': 'debug.steps', 'chars': 10}, {'field': 'empty', 'chars': 0},
+        {'field': 'total', 'chars': length('{"answer": "", "n": , "none": null, "pages": , "debug": , "empty": ""}') + answer + n + pages + debug}], recursive := true) FROM d)
+    SELECT doc_id, field, CASE WHEN chars = 0 THEN 0 ELSE greatest(1, round_even(chars / 4, 0)) END::INT AS tokens FROM f
+""")
+def agg25_token_breakdown(spark, sf_dir):
+    return token_breakdown(rows(spark, sf_dir, _ENVELOPE, "documents").select(F.col("doc_id").alias("id"), "envelope")).withColumnRenamed("id", "doc_id")
+
+
+@query(f"""
+    WITH p AS (SELECT page_id, url, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN 'https://www.elsewhere.org/x' WHEN 2 THEN replace(url, '://', '://m.') ELSE '' END AS served, page_id * 53 % 4000 AS chars FROM pages),
+    d AS (SELECT *, served <> '' AND {_SITE.format('url')} <> {_SITE.format('served')} AS differs FROM p)
+    SELECT page_id, differs, CASE WHEN chars > 2000 AND NOT differs THEN 'high' ELSE 'medium' END AS confidence FROM d
+""")
+def pln24_served_elsewhere(spark, sf_dir):
+    served = F.when(F.col("page_id") % 4 == 0, F.col("url")).when(F.col("page_id") % 4 == 1, "https://www.elsewhere.org/x").when(F.col("page_id") % 4 == 2, F.replace(F.col("url"), F.lit("://"), F.lit("://m."))).otherwise("")
+    p = table(spark, sf_dir, "pages").select("page_id", served_elsewhere(F.col("url"), served).alias("differs"), F.repeat(F.lit("x"), (F.col("page_id") * 53 % 4000).cast("int")).alias("body"))
+    return p.select("page_id", "differs", capped_confidence(confidence(F.lit("ok"), F.col("body")), F.col("differs")).alias("confidence"))
+
+
+@query("""
+    SELECT page_id, length(html) > 0 AND page_id % 4 IN (0, 1) AS read FROM pages
+""")
+def flt11_read_again(spark, sf_dir):
+    kind = F.element_at(F.array(*map(F.lit, ["text/html", "application/xhtml+xml; html", "text/markdown", "application/json"])), (F.col("page_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", read_again(F.col("html"), kind).alias("read"))
