@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siftpage.operators import feeds as D
 from siftpage.operators import publications as P
 from siftpage.plans.queries import query
 from siftpage.plans.retrieval import rows
@@ -82,3 +83,38 @@ def hnd4_paper_listings(spark, sf_dir):
 @query("SELECT page_id, i AS place, 'Paper ' || (1 + 2 * i) AS anchor, 'https://arxiv.org/abs/2401.' || (1 + 2 * i) AS url, 'A , B' || page_id AS reason, 'drilldown' AS kind FROM pages, (SELECT unnest([0, 1]) AS i) WHERE page_id % 4 = 0")
 def hnd13_paper_links(spark, sf_dir):
     return P.paper_listings(rows(spark, sf_dir, _LISTING, "pages"))[1]
+
+
+_POSTS = """SELECT page_id AS id, concat('Search: q', page_id) AS heading, 'Results' AS label, CASE page_id % 5 WHEN 4 THEN 'no feed' WHEN 3 THEN '<feed><title>t</title></feed>' ELSE concat('<feed><title>t</title>', repeat(concat('<entry><author><name>/u/al</name></author><id>t3_a</id><link href="https://r.com/r/spark/comments/', page_id, '"/><updated>2024-01-02T00:00:00+00:00</updated><title> Post ', page_id, ' </title></entry>'), CAST(page_id % 30 AS INT)), '<entry><id>t1_c</id><title>comment</title></entry><entry><id>t3_b</id><title></title></entry><entry><id>t3_d</id><title>Bare</title></entry></feed>') END AS body FROM pages"""
+
+
+@query("""
+    WITH p AS (SELECT page_id AS id, least(page_id % 30, 25) AS n, page_id % 30 < 25 AS bare FROM pages WHERE page_id % 5 < 3)
+    SELECT page_id AS id, coalesce(n + bare::INT, 0) AS shown, CASE WHEN n IS NOT NULL THEN '# Search: q' || page_id || chr(10) || chr(10) || '## Results (' || (n + bare::INT) || ')' || chr(10) || chr(10)
+        || repeat('- **Post ' || page_id || '** (r/spark · u/al · 2d)' || chr(10) || '  <https://r.com/r/spark/comments/' || page_id || '>' || chr(10), n::INT) || CASE WHEN bare THEN '- **Bare**' || chr(10) ELSE '' END END AS markdown FROM pages LEFT JOIN p ON id = page_id
+""")
+def hnd1_post_lists(spark, sf_dir):
+    return D.post_lists(rows(spark, sf_dir, _POSTS, "pages"), F.lit(1704153600 + 2 * 86400))
+
+
+_REPLIED = """SELECT page_id AS id, concat('{"title":"T', page_id, '","content":" raw\\\\r\\\\ntext ","member":{"username":"ann"}}') AS topic, CASE page_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '[]' ELSE concat('[', repeat('{"content":"same","member":{"username":"bo"}},', CAST(CASE WHEN page_id % 4 = 2 THEN 0 ELSE 210 END AS INT)), '{"content":"","content_rendered":"<p>b<br>c</p>"},{"member":{"username":""}}]') END AS replies FROM pages"""
+
+
+@query("""
+    SELECT page_id AS id, 'T' || page_id AS title, 'ann' AS byline, CASE page_id % 4 WHEN 2 THEN 2 WHEN 3 THEN 212 ELSE 0 END::BIGINT AS came, page_id % 4 = 0 AS lost, '# T' || page_id || chr(10) || chr(10) || 'by ann' || chr(10) || chr(10) || 'raw' || chr(10) || 'text' || chr(10)
+        || CASE page_id % 4 WHEN 0 THEN chr(10) || '---' || chr(10) || chr(10) || '## Replies' || chr(10) || chr(10) || '_(this section was NOT retrieved — treat as unknown, not as empty)_' || chr(10) WHEN 1 THEN ''
+            WHEN 2 THEN chr(10) || '---' || chr(10) || chr(10) || '## Replies (2)' || chr(10) || chr(10) || '**[unknown]:**' || chr(10) || chr(10) || 'b' || chr(10) || 'c' || chr(10) || chr(10) || '**[unknown]:** _[empty]_' || chr(10)
+            ELSE chr(10) || '---' || chr(10) || chr(10) || '## Replies (200)' || chr(10) || chr(10) || '_Showing 200 of 212 replies — this is a partial view._' || chr(10) || chr(10) || array_to_string(list_transform(range(200), lambda i: '**bo:**' || chr(10) || chr(10) || 'same' || chr(10)), chr(10)) END AS markdown FROM pages
+""")
+def hnd10_replies(spark, sf_dir):
+    return D.replies(rows(spark, sf_dir, _REPLIED, "pages"))
+
+
+_WIKI = """SELECT page_id, 'en' AS lang, concat('<html><body class="mw-body mw-parser-output">', repeat('<a rel="mw:WikiLink" href="./Same#x">Same</a>', 3), '<a rel="mw:WikiLink" href="./File:X">f</a><a rel="mw:WikiLink" href="./Empty"> </a><a href="./Other">o</a><a rel="mw:WikiLink" href="./P', page_id, '">P <i>', page_id, '</i></a>', CASE WHEN page_id % 2 = 0 THEN concat_ws('', transform(sequence(1, 12), i -> concat('<a rel="mw:WikiLink" href="./N', i, '">n</a>'))) ELSE '' END, '</body></html>') AS html FROM pages"""
+
+
+@query("""
+    SELECT page_id, i AS place, CASE i WHEN 0 THEN 'Same' WHEN 1 THEN 'P ' || page_id ELSE 'n' END AS anchor, 'https://en.wikipedia.org/wiki/' || CASE i WHEN 0 THEN 'Same' WHEN 1 THEN 'P' || page_id ELSE 'N' || (i - 1) END AS url, 'related article' AS reason, 'related' AS kind FROM pages, (SELECT unnest(range(10))::INT AS i) WHERE i < 2 OR page_id % 2 = 0
+""")
+def hnd6_hnd13_article_links(spark, sf_dir):
+    return D.article_links(rows(spark, sf_dir, _WIKI, "pages"))
