@@ -116,7 +116,7 @@ def topics(answers: DataFrame, deepest: int = DEEPEST) -> DataFrame:
     opening = posts.groupBy("tree").agg(F.min_by(F.struct("id", "author", "body"), "id").alias("op"), F.count(F.lit(1)).alias("posts"))
     replies = posts.join(opening.select("tree", F.col("op.id").alias("first")), "tree").where("id <> first")
     hung = rooted(replies.withColumn("parent", F.when(F.col("parent") != F.col("first"), F.col("parent"))))
-    found = shown(ordered(hung.select("tree", "id", "parent", F.col("id").alias("pos"), F.lit(1).alias("level"))), 2**31 - 1, deepest)
+    found = shown(ordered(hung.select("tree", "id", "parent", F.col("id").alias("pos"), F.lit(1).alias("level")), deepest), 2**31 - 1, deepest)
     author = F.coalesce("author", F.lit("[unknown]"))
     mark = F.repeat(F.lit(">"), F.col("depth"))
     block = F.when(F.col("body") != "", signed(F.concat(quoted(F.col("body"), F.col("depth")), F.lit("\n"), mark, F.lit("\n")), author)).otherwise(F.concat(mark, F.lit(" _[post removed]_ — "), author, F.lit("\n")))
@@ -154,7 +154,7 @@ def discussed_articles(answers: DataFrame, most: int = COMMENTS, deepest: int =
     nothing. What the budget or the depth leaves out is counted in a note. A removed comment leaves a line.
     """
     found = mapped_comments(answers)
-    drawn_ = shown(ordered(found.select("tree", "id", "parent", "pos", F.lit(1).alias("level"))), most, deepest)
+    drawn_ = shown(ordered(found.select("tree", "id", "parent", "pos", F.lit(1).alias("level")), deepest), most, deepest)
     mark = F.repeat(F.lit(">"), F.col("depth"))
     block = F.when(F.col("body") != "", signed(F.concat(quoted(F.col("body"), F.col("depth")), F.lit("\n"), mark, F.lit("\n")), F.col("author"))).otherwise(F.concat(mark, F.lit(" _[comment removed]_ — "), "author", F.lit("\n")))
     blocks = drawn_.join(found, ["tree", "id"]).groupBy("tree", "top").agg(F.count(F.lit(1)).alias("shown"), F.min("place").alias("first"), _joined(F.struct("place", block.alias("block"))).alias("text"))

@@ -26,14 +26,16 @@ def rooted(nodes: DataFrame) -> DataFrame:
     return nodes.join(ids, ["tree", "parent"], "left").withColumn("parent", F.when(F.col("known") & (F.col("parent") != F.col("id")), F.col("parent"))).drop("known")
 
 
-def ordered(nodes: DataFrame) -> DataFrame:
+def ordered(nodes: DataFrame, deepest: int | None = None) -> DataFrame:
     """nodes (tree, id, parent, pos, level) -> (tree, id, depth, path) of all that hang on a root.
 
     level is what a node adds to the depth of what is below it, 1 as a rule and 0 for a node that is passed over; depth is 1
     plus the levels of the ancestors. path has the places from the root down, by which nodes sort depth first. Each round
     doubles how far every node has seen and joins only those that have not seen a root; it is written, so the plan does not
-    grow with the depth. Nodes on a ring of parents hang on no root and are left out.
+    grow with the depth. Nodes on a ring of parents hang on no root and are left out, and so are those deeper than `deepest`
+    as soon as they are known to be, with all below them, which keeps paths short.
     """
+    near = lambda df: df if deepest is None else df.where(F.col("levels") < deepest)
     base = nodes.select("tree", "id", "parent", "pos", F.coalesce("level", F.lit(1)).cast("long").alias("level"))
     up = base.select("tree", F.col("id").alias("parent"), F.col("level").alias("above"))
     start = base.join(up, ["tree", "parent"], "left")
@@ -43,8 +45,8 @@ def ordered(nodes: DataFrame) -> DataFrame:
     while seen < most and not state.where("up is not null").isEmpty():  # as many rounds as the logarithm of the depth; a ring ends at the size of its tree
         far = state.select("tree", F.col("id").alias("up"), F.col("up").alias("next"), F.col("levels").alias("more"), F.col("path").alias("before"))
         moved = state.where("up is not null").join(far, ["tree", "up"]).select("tree", "id", F.col("next").alias("up"), (F.col("levels") + F.col("more")).alias("levels"), F.concat("before", "path").alias("path"))
-        state, seen = stored(state.where("up is null").union(moved)), 2 * seen
-    return state.where("up is null").select("tree", "id", (F.col("levels") + 1).cast("int").alias("depth"), "path")
+        state, seen = stored(state.where("up is null").union(near(moved))), 2 * seen
+    return near(state.where("up is null")).select("tree", "id", (F.col("levels") + 1).cast("int").alias("depth"), "path")
 
 
 def shown(found: DataFrame, most: int, deepest: int) -> DataFrame:
