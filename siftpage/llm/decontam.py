@@ -18,12 +18,11 @@ BROADCAST_ROWS = 200_000  # windows of the benchmark; more are joined by shuffle
 UNITS = "km kg g mg m cm mm l ml s ms min h hours days weeks months years dollars euros miles feet percent mph watts volts degrees".split()
 
 _NAME = r"(?<=[\p{L}\p{N},;] )\p{Lu}\p{L}*"  # a capital inside a sentence
-_NUMBER = r"[0-9]+(?:[.,][0-9]+)*%?"
-
+_NUMBER = r"[0-9]+(?:[.,][0-9]+)*+%?"  # possessive: Java repeats other groups by recursion, which long runs overflow
 
 _UNIT = rf"(?i)([0-9]%? ?)((?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}]))"
 NAME, UNIT = "\ue000", "\ue001"  # marks before names and units
-_TOKEN = rf"{NAME}\p{{Lu}}\p{{L}}*(?: {NAME}\p{{Lu}}\p{{L}}*)*|{UNIT}\p{{L}}+|{_NUMBER}|[\p{{L}}\p{{N}}&&[^0-9]]+"
+_TOKEN = rf"{NAME}\p{{Lu}}\p{{L}}*(?: {NAME}\p{{Lu}}\p{{L}}*)*+|{UNIT}\p{{L}}+|{_NUMBER}|[\p{{L}}\p{{N}}&&[^0-9]]+"
 
 
 def _marked(text: Column) -> Column:

@@ -51,3 +51,9 @@ def test_rows_of_one_id_are_texts_of_their_own(spark, make_docs):
     assert {(r.doc_id, r.item_id, r.matched == r.windows) for r in got} == {(4, 7, True)} and len(got) == 1
     left = sorted((r.doc_id, r.text) for r in drop_leaks(make_docs(rows), item).collect())
     assert left == sorted([(1, first), (1, second), (2, first), (3, second), (4, "clean text"), (5, "other")])
+
+
+def test_long_runs_of_names_and_numbers(spark, make_docs):
+    rows = [(1, "we saw " + "Ab " * 20000 + ITEM), (2, "see 1" + ".1" * 20000 + " then " + ITEM), (3, "we saw " + "Ab " * 20000)]
+    got = leaks(make_docs(rows), bench(spark, [(10, ITEM, 1)])).collect()
+    assert sorted((r.doc_id, r.item_id, r.matched == r.windows) for r in got) == [(1, 10, True), (2, 10, True)]
