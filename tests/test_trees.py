@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from siftpage.functions.fragments import fragment_markdown
 from siftpage.operators import threads as T
 from siftpage.operators import trees
+from siftpage.plans.discussions import _SPARK_WORDS
 
 
 def brute(edges, most, deepest):
@@ -95,3 +96,30 @@ def test_fragments(spark):
     ]
     df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(cases)], "i int, h string").select("i", fragment_markdown(F.col("h")).alias("m"))
     assert [r.m for r in df.orderBy("i").collect()] == [m for _, m in cases]
+
+
+def test_paths_take_a_byte_a_node(spark):
+    rows = [(0, i, i - 1 if i else None, i, 1) for i in range(200)] + [(1, i, 0 if i else None, -i, 1) for i in range(70000)]
+    df = spark.createDataFrame(rows, "tree long, id long, parent long, pos long, level int")
+    found = trees.ordered(df)
+    way = F.length("path.way")
+    assert found.groupBy("tree").agg(F.sum(way), F.max(way)).orderBy("tree").collect() == [(0, 199 * 100, 199), (1, 224 + 32 * 2 + (65536 - 256) * 3 + (69999 - 65536) * 4, 4)]
+    got = trees.shown(found, 10**9, 10**9).where("tree = 1").select("id", "place").collect()
+    assert sorted(got, key=lambda r: r.place) == [(0, 1)] + [(i, 70001 - i) for i in range(69999, 0, -1)]  # siblings of any number in order
+
+
+def test_lost_nodes_are_adopted(spark):
+    rows = [(0, 1, None, 1, 1), (0, 2, 99, 2, 1), (0, 3, 3, 3, 1), (0, 4, 2, 4, 1), (0, 5, 6, 5, 1), (0, 6, 5, 6, 1)]
+    df = spark.createDataFrame(rows, "tree long, id long, parent long, pos long, level int")
+    every = lambda found: sorted((r.id, r.depth, r.place, r.top) for r in trees.shown(found, 9, 9).collect())
+    assert every(trees.ordered(df, adopt=True)) == every(trees.ordered(trees.rooted(df))) == [(1, 1, 1, 1), (2, 1, 2, 2), (3, 1, 4, 3), (4, 2, 3, 2)]
+    assert every(trees.ordered(df)) == [(1, 1, 1, 1)]
+
+
+def test_words_of_threads_are_counted_a_row(spark):
+    rows = [(0, 1, "user", "one two 3 three"), (0, 1, "user", "one two 3 three"), (0, 0, "user", "first"), (1, 0, None, None), (1, 1, "user", ""), (3, 0, "user", "last"), (4, 0, "user", "other tree"), (4, 0, "tool", None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").createOrReplaceTempView("conversations")
+    words = spark.sql(_SPARK_WORDS)
+    assert sorted((r.tree, r.r, r.word) for r in words.collect()) == [(0, i, w) for i, w in enumerate("first one one two two three three last".split())] + [(1, 0, "other"), (1, 1, "tree")]
+    sorts = [line for line in words._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in line]
+    assert len(sorts) == 1 and "row_number" not in sorts[0]  # the window is over rows, not over words
