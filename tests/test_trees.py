@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from siftpage.functions.fragments import fragment_markdown
 from siftpage.operators import threads as T
 from siftpage.operators import trees
-from siftpage.plans.discussions import _SPARK_WORDS
+from siftpage.plans.discussions import _SPARK_WORDS, _nested
+from siftpage.plans.structuring import ext16_tables
 
 
 def brute(edges, most, deepest):
@@ -123,3 +124,15 @@ def test_words_of_threads_are_counted_a_row(spark):
     assert sorted((r.tree, r.r, r.word) for r in words.collect()) == [(0, i, w) for i, w in enumerate("first one one two two three three last".split())] + [(1, 0, "other"), (1, 1, "tree")]
     sorts = [line for line in words._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in line]
     assert len(sorts) == 1 and "row_number" not in sorts[0]  # the window is over rows, not over words
+
+
+def test_answers_are_put_together_in_one_pass(spark):
+    answers = _nested(spark, "/root/testdata/sf0.001")
+    assert "aggregate(" not in answers._jdf.queryExecution().optimizedPlan().toString()  # a fold copies the whole text a word
+    assert all(json.loads(r.payload)["children"] for r in answers.collect())
+    assert sum("Comments(" in line for line in T.threads(answers)._jdf.queryExecution().optimizedPlan().toString().splitlines()) == 0  # parsed once, before
+
+
+def test_a_table_is_made_once(spark):
+    plan = ext16_tables(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("partial view") == 1
