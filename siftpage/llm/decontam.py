@@ -108,8 +108,8 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage
     runs = parts.withColumn("chain", F.collect_list(F.struct("shift", "places")).over(near))
     runs = runs.withColumn("matched", F.size(F.array_distinct(F.flatten("chain.places"))).cast("long"))
     runs = written(runs.where(F.col("matched") >= F.lit(coverage) * F.col("windows")).select("doc_id", "item_id", "shift", "matched", "windows", "len", "chain"), "bench-runs")
-    # slots, of the documents and items that meet alone
-    met = base.join(runs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "body").dropDuplicates(["doc_id"])
+    # slots, of the documents and items that meet alone; always by shuffle, so that disk grows with the input and ids are not broadcast
+    met = base.join(runs.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").select("doc_id", "body").dropDuplicates(["doc_id"])
     theirs = met.select("doc_id", F.explode(slots(F.col("body"))).alias("s")).select("doc_id", F.col("s.pos").alias("pos"), F.col("s.value").alias("value"))
     asked = items.select("item_id", F.explode(slots(F.col("body"))).alias("s")).select("item_id", F.col("s.pos").alias("ipos"), F.col("s.value").alias("asked"))
     around = lambda c: F.size(F.filter(c["places"], lambda q: (q <= F.col("ipos")) & (F.col("ipos") < q + F.col("len"))))
@@ -127,6 +127,6 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that leak no item, with all their columns; of rows of one doc_id those go whose own text leaks."""
     gone = _leaks(docs, benchmark).select("doc_id", "same").distinct()
-    gone = gone.toDF(*fresh(docs, "id", "same"))
+    gone = gone.toDF(*fresh(docs, "id", "same")).hint("merge")
     own = F.unhex(F.md5(F.coalesce(docs["text"], F.lit(""))))
     return docs.join(gone, (docs["doc_id"] == gone[gone.columns[0]]) & (own == gone[gone.columns[1]]), "left_anti")
