@@ -81,7 +81,8 @@ def links(fps: DataFrame, bits: int = 2, blocks: int = BLOCKS) -> DataFrame:
     keys = [F.xxhash64(F.lit(i), *(F.col(f"b{b}") for b in range(blocks) if b not in out)) for i, out in enumerate(combinations(range(blocks), bits))]
     keyed = coords.select("fp", "pivots", F.explode(F.array(*keys)).alias("key"))
     x, y = keyed.alias("x"), keyed.alias("y")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")))
+    # Spark takes keyed for as small as fps and would broadcast it, though it has a row for each of the keys
+    pairs = x.join(y.hint("merge"), (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")))
     apart = [F.abs(F.shiftright("x.pivots", 7 * j).bitwiseAND(127) - F.shiftright("y.pivots", 7 * j).bitwiseAND(127)) for j in range(REFERENCES)]
     pairs = pairs.where(F.greatest(*apart) <= bits).where(F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= bits)
     return pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
@@ -97,7 +98,7 @@ def near_groups(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
     fps = written(fingerprints(docs, words), "simhash-fps")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     labels = components(links(nodes.select("fp"), bits)).withColumnRenamed("id", "fp")
-    nodes = nodes.join(labels, "fp", "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
+    nodes = nodes.join(labels.hint("merge"), "fp", "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
     roots = nodes.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    named = nodes.join(roots, "label").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = nodes.join(roots.hint("merge"), "label").select("fp", "component_id")
+    return fps.join(named.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -2,6 +2,7 @@ import random
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from siftpage.llm.components import components
 from siftpage.llm.simhash import links, near_groups
@@ -43,6 +44,17 @@ def test_links_lose_no_pair(spark, bits, blocks):
     assert got == want and len(want) > 100
 
 
+def test_no_table_is_broadcast(spark, make_docs, texts):
+    """Small files can hold many rows, and an explode makes more of them: any broadcast fails here."""
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1b")
+    try:
+        assert near_groups(make_docs(texts)).count() == len(texts)
+        fps = spark.range(2000).select(F.col("id").alias("fp"))
+        assert components(links(fps)).agg(F.max("label"), F.count("id")).first() == (0, 2000)
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, j) for j in range(8, 30)] + [(None, 3), (4, 4)]
     got = {r.id: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
