@@ -77,6 +77,43 @@ def test_nested_answers(spark):
     assert (got[7].shown, got[7].truncated) == (0, False)
 
 
+def test_answers_that_cannot_be_read_say_so(spark):
+    n = 60_000
+    chain = '{"id":' + "7" * 5000 + ',"title":"deep","children":[' + '{"text":"x","children":[' * n + "]}" * n + "]}"
+    flat = json.dumps({"title": "t", "children": [kid("one")]})
+    rows = [(0, chain), (1, "no json"), (2, chain[:-1]), (3, "[1]"), (4, None), (5, ""), (None, flat), (6, flat)]
+    got = {r.tree: r for r in T.threads(spark.createDataFrame(rows, "tree long, payload string")).collect()}
+    assert (got[0].title, got[0].shown, got[0].truncated, got[0].failure) == ("deep", 20, True, None)
+    assert got[1].failure == "no JSON: Expecting value: line 1 column 1 (char 0)" and got[2].failure.startswith("no JSON: Expecting ,") and got[5].failure.startswith("no JSON: ")
+    assert (got[3].failure, got[4].failure) == ("no object", "no answer")
+    assert all(got[i].markdown is None and got[i].shown is None for i in range(1, 6))
+    assert got[None].shown == 1 and got[None].markdown == got[6].markdown == "# t\n\n---\n\n## Comments\n\n> one\n>\n> — a\n"
+
+
+def test_deep_json_is_read_as_json_is():
+    rng = random.Random(6)
+
+    def outcome(read, text):
+        try:
+            return repr(read(text))
+        except ValueError:
+            return "no JSON"
+
+    def some(depth):
+        kind = rng.randrange(9 if depth else 7)
+        return [None, True, -1.5, 12.0, "", 'a"\\\u00e9\n', "x", *([] if kind < 7 else [[some(depth - 1) for _ in range(rng.randrange(4))], {rng.choice("abc"): some(depth - 1) for _ in range(rng.randrange(4))}])][kind]
+
+    bad = 0
+    for _ in range(3000):
+        text = json.dumps(some(4), indent=rng.choice([None, 1]))
+        if rng.random() < 0.6:
+            i = rng.randrange(len(text))
+            text = text[:i] + rng.choice(["", ",", "]", "}", "{", "[", ":", '"', " ", "1", '"a":']) + text[i + rng.randrange(2) :]
+        assert outcome(T.unnested, text) == outcome(lambda t: json.loads(t, parse_int=float), text), text
+        bad += outcome(T.unnested, text) == "no JSON"
+    assert 300 < bad < 2700
+
+
 def test_topics(spark):
     post = lambda n, to=None, user="u", text="<p>t</p>": {"post_number": n, "reply_to_post_number": to, "username": user, "cooked": text}
     rows = [
